@@ -73,6 +73,8 @@ def match_catalog(contents: DataFrame, catalog: DataFrame, vocab: DataFrame) ->
     """H2: for each content, the first matching template in descending size,
     ties by first line (insertion order).  contents(canon, tokens),
     catalog(template_key, template, n_lines, first_line)."""
+    # the catalog is small and used several times below: materialise it once
+    catalog = catalog.select("template_key", "template", "n_lines", "first_line").checkpoint()
     anchors = _literal_anchor(catalog)
     cat = catalog.join(anchors, "template_key", "left")
     ctoks = contents.select("canon", F.explode(F.array_distinct("tokens")).alias("anchor"))

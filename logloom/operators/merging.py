@@ -29,7 +29,8 @@ def _with_tokens(catalog: DataFrame) -> DataFrame:
 
 def mergeable_pairs(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     """Undirected pairs (a_key < b_key) that may merge."""
-    t = _with_tokens(catalog.select("template_key", "template"))
+    catalog = catalog.select("template_key", "template").checkpoint()
+    t = _with_tokens(catalog)
     # equal length, sharing a literal at one position
     lit = t.select("template_key", "len", F.posexplode("tokens").alias("pos", "tok")).where(F.col("tok") != WILDCARD)
     a, b = lit.alias("a"), lit.alias("b")

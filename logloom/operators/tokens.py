@@ -19,6 +19,7 @@ NEVER_STATIC = ["true", "false"]
 SNAKE_RE = r"^[a-zA-Z]+(_[a-zA-Z]+)+$"
 CAMEL_RE = r"^[a-zA-Z]+([A-Z][a-z0-9]+)+(\(\))?$"
 CAMEL_PART_RE = r"[a-z]+|[A-Z][a-z0-9]*"
+NON_UPPER_LETTER = r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]"
 SCOPED_RE = r"^[^:]+::[^:]+$"
 LOWER_SNAKE_RE = r"^[a-z]+(_[a-z]+)+$"
 PLAIN_CAMEL_RE = r"^[a-zA-Z]+([A-Z][a-z0-9]+)+$"
@@ -111,7 +112,7 @@ def token_flags(tokens: DataFrame, vocab: DataFrame, token_col="token") -> DataF
 
 def all_capital(tok: Column) -> Column:
     """Not ``<*>``, no digit, and every letter upper case (true for pure punctuation)."""
-    return (tok != WILDCARD) & ~tok.rlike(r"(?U)\p{Nd}") & ~tok.rlike(r"[\p{L}&&[^\p{Lu}]]")
+    return (tok != WILDCARD) & ~tok.rlike(r"(?U)\p{Nd}") & ~tok.rlike(NON_UPPER_LETTER)
 
 
 def static_flag(t: DataFrame) -> Column:
