@@ -72,7 +72,8 @@ def cosine_similarity(a_tok: Column, b_tok: Column) -> Column:
     dot = F.aggregate(F.zip_with(ca, cb, lambda x, y: x * y), F.lit(0), lambda acc, v: acc + v)
     na = F.aggregate(ca, F.lit(0), lambda acc, v: acc + v * v)
     nb = F.aggregate(cb, F.lit(0), lambda acc, v: acc + v * v)
-    return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / F.sqrt(na * nb))
+    return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(
+        dot.cast("double") / F.sqrt(na.cast("double") * nb.cast("double")))
 
 
 MEASURES = {"lcs": lcs_similarity, "jaccard": jaccard_similarity, "cosine": cosine_similarity}

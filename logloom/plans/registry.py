@@ -660,6 +660,20 @@ def _fix_h1_oracle():
 ORACLES["template_match"] = _fix_h1_oracle()
 
 
+_CATALOG_SQL = (f"SELECT md5(template) AS template_key, template, CAST(sum(n) AS BIGINT) AS n_lines, "
+                f"CAST(min(min_line) AS BIGINT) AS first_line FROM (SELECT i.template, c.n, c.min_line FROM ({_INDUCE_SAME_SQL}) i "
+                f"JOIN clusters c USING (cluster_key, canon)) GROUP BY template")
+
+
+def _match_oracle(select):
+    body = _h1_oracle("SELECT c.canon, t.template_key, t.template, t.n_lines, t.first_line FROM cc c, catf t",
+                      "canon", "template", "canon, template_key")
+    sql = with_pipeline(select, [("catf", _CATALOG_SQL)])
+    ranked = (",\nmc AS (SELECT canon, template_key, template FROM (SELECT *, row_number() OVER (PARTITION BY canon "
+              "ORDER BY n_lines DESC, first_line ASC, template_key) AS r FROM h1) WHERE r = 1)")
+    return sql.replace("\n" + select, "," + body + ranked + "\n" + select)
+
+
 @query("match_catalog")
 def q_match_catalog(spark, sf):
     """H2: orders contents matched against the events + orders catalogs."""
@@ -668,12 +682,15 @@ def q_match_catalog(spark, sf):
     return matching.match_catalog(v.cc.select("canon", "tokens"), cat, v.vocab)
 
 
-@query("unmatched_lines")
+ORACLES["match_catalog"] = _match_oracle("SELECT canon, template_key, template FROM mc")
+
+
+@query("unmatched_lines", _match_oracle("SELECT canon, CAST(n AS BIGINT) AS n FROM cc WHERE canon NOT IN (SELECT canon FROM mc)"))
 def q_unmatched_lines(spark, sf):
     """H3: event contents no induced template answers."""
     v = vpipe(spark, sf)
     m = matching.match_catalog(v.cc.select("canon", "tokens"), _induced_catalog(spark, sf), v.vocab)
-    return matching.unmatched(v.cc.select("canon", "n"), m)
+    return matching.unmatched(v.cc.select("canon", F.col("n").cast("bigint")), m)
 
 
 def _merge_input(spark, sf):
@@ -698,10 +715,33 @@ def q_mergeable_pairs(spark, sf):
             .select("a_template", "b_template"))
 
 
-@query("positional_merge")
+def _x1_oracle(select):
+    pairs = ("SELECT p.template AS p_template, x.template AS x_template FROM tt2 p JOIN tt2 x "
+             "ON abs(len(p.tokens) - len(x.tokens)) BETWEEN 1 AND 2")
+    body = _h1_oracle(pairs, "x_template", "p_template", "p_template, x_template")
+    extra = [("tpl", "SELECT DISTINCT canon AS template FROM clusters"),
+             ("tt2", "SELECT template, string_split(template, ' ') AS tokens FROM tpl")]
+    sql = with_pipeline(select, extra)
+    x1 = (",\neqp AS (SELECT a.template AS a_template, b.template AS b_template FROM tt2 a JOIN tt2 b "
+          "ON len(a.tokens) = len(b.tokens) AND md5(a.template) < md5(b.template) WHERE list_bool_and(list_transform("
+          "range(1, len(a.tokens) + 1), lambda i: a.tokens[i] = b.tokens[i] OR a.tokens[i] = '<*>' OR b.tokens[i] = '<*>'))),\n"
+          "x1 AS (SELECT * FROM eqp UNION SELECT CASE WHEN md5(p_template) < md5(x_template) THEN p_template ELSE x_template END, "
+          "CASE WHEN md5(p_template) < md5(x_template) THEN x_template ELSE p_template END FROM h1)")
+    return sql.replace("\n" + select, "," + body + x1 + "\n" + select)
+
+
+ORACLES["mergeable_pairs"] = _x1_oracle("SELECT a_template, b_template FROM x1")
+
+
+@query("positional_merge", _x1_oracle(
+    "SELECT a_template, b_template, merged FROM (SELECT a_template, b_template, string_split(a_template, ' ') AS a, "
+    "string_split(b_template, ' ') AS b, CASE WHEN len(a) = len(b) AND list_bool_and(list_transform(range(1, len(a) + 1), "
+    "lambda i: a[i] = b[i] OR a[i] = '<*>' OR b[i] = '<*>')) THEN array_to_string(list_transform(range(1, len(a) + 1), "
+    "lambda i: CASE WHEN a[i] = b[i] THEN a[i] ELSE '<*>' END), ' ') END AS merged FROM x1) WHERE merged IS NOT NULL"))
 def q_positional_merge(spark, sf):
     """X2 on the equal-length mergeable pairs."""
-    return merging.positional_merge_pairs(q_mergeable_pairs(spark, sf)).where("merged IS NOT NULL")
+    return (merging.positional_merge_pairs(q_mergeable_pairs(spark, sf)).where("merged IS NOT NULL")
+            .select("a_template", "b_template", "merged"))
 
 
 @query("merge_templates")
@@ -767,33 +807,46 @@ _LCS_DUCK = ("list_reduce(a.tokens, lambda prev, x: list_reduce(range(1, len(b.t
              "list_transform(range(0, len(b.tokens) + 1), lambda z: 0))[len(b.tokens) + 1]")
 
 
-@query("lcs_similarity", with_pipeline(f"""
-SELECT a.canon AS a_canon, b.canon AS b_canon, round(CASE WHEN a.canon = b.canon THEN 1.0
+_LCS_SCORE_DUCK = f"""CASE WHEN a.canon = b.canon THEN 1.0
  WHEN instr(CASE WHEN length(a.canon) >= length(b.canon) THEN a.canon ELSE b.canon END,
             CASE WHEN length(a.canon) >= length(b.canon) THEN b.canon ELSE a.canon END) > 0 THEN 1.0
  WHEN abs(len(a.tokens) - len(b.tokens)) > least(len(a.tokens), len(b.tokens)) THEN 0.0
- ELSE {_LCS_DUCK} / least(len(a.tokens), len(b.tokens)) END, 6) AS score
-FROM cc a JOIN cc b ON a.canon < b.canon WHERE len(a.tokens) > 0 AND len(b.tokens) > 0"""))
+ ELSE {_LCS_DUCK} / least(len(a.tokens), len(b.tokens)) END"""
+
+
+@query("lcs_similarity", with_pipeline(f"""
+SELECT a_canon, b_canon, round(score, 6) AS score FROM (
+ SELECT a.canon AS a_canon, b.canon AS b_canon, {_LCS_SCORE_DUCK} AS score, a.tokens AS ta, b.tokens AS tb,
+  a.min_line AS amin, a.max_line AS amax, b.min_line AS bmin, b.max_line AS bmax
+ FROM cc a JOIN cc b ON a.canon < b.canon WHERE len(a.tokens) > 0 AND len(b.tokens) > 0)
+WHERE (amin < bmax AND score >= 1 - log2(len(ta)) / len(ta)) OR (bmin < amax AND score >= 1 - log2(len(tb)) / len(tb))"""))
 def q_lcs_similarity(spark, sf):
-    """L1/L2 over all pairs of distinct event contents (a small set: it is the
-    scoring function that is checked; candidate generation is L7)."""
-    cc = vpipe(spark, sf).cc.where(F.size("tokens") > 0)
-    a = cc.select(F.col("canon").alias("a_canon"), F.col("tokens").alias("a_tokens"))
-    b = cc.select(F.col("canon").alias("b_canon"), F.col("tokens").alias("b_tokens"))
-    pairs = a.join(b, F.col("a_canon") < F.col("b_canon"))
-    return similarity.score_pairs(pairs, "lcs").select("a_canon", "b_canon", F.round("score", 6).alias("score"))
-
-
-@query("cosine_similarity", f"""WITH nodes AS ({BENCH_NODES_SQL}),
-cnt AS (SELECT id, t, count(*) AS c FROM (SELECT id, unnest(tokens) AS t FROM nodes) GROUP BY id, t),
-dots AS (SELECT a.id AS a_id, b.id AS b_id, sum(a.c * b.c) AS dot FROM cnt a JOIN cnt b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
-norms AS (SELECT id, sum(c * c) AS nn FROM cnt GROUP BY id)
-SELECT CAST(a_id AS BIGINT) AS a_id, CAST(b_id AS BIGINT) AS b_id, round(dot / sqrt(na.nn * nb.nn), 6) AS score
-FROM dots JOIN norms na ON na.id = a_id JOIN norms nb ON nb.id = b_id WHERE dot / sqrt(na.nn * nb.nn) >= 0.5""")
+    """LCS similar pairs (dynamic threshold) among the distinct
+    event contents, from prefix-filtered and substring candidates; the
+    oracle brute-forces every pair."""
+    cc = vpipe(spark, sf).cc
+    nodes = cc.select(F.col("canon").alias("id"), "tokens", "min_line", "max_line")
+    p = similarity.similar_pairs(nodes, "lcs", 0.0)
+    return p.select(F.col("a_id").alias("a_canon"), F.col("b_id").alias("b_canon"), F.round("score", 6).alias("score"))
+
+
+_COS_DUCK = ("list_sum(list_transform(list_distinct(list_concat(a.tokens, b.tokens)), lambda k: "
+             "len(list_filter(a.tokens, lambda x: x = k)) * len(list_filter(b.tokens, lambda x: x = k)))) / "
+             "sqrt(list_sum(list_transform(list_distinct(a.tokens), lambda k: len(list_filter(a.tokens, lambda x: x = k)) ^ 2)) * "
+             "list_sum(list_transform(list_distinct(b.tokens), lambda k: len(list_filter(b.tokens, lambda x: x = k)) ^ 2)))")
+
+
+@query("cosine_similarity", f"""WITH nodes AS ({BENCH_NODES_SQL})
+SELECT CAST(a.id AS BIGINT) AS a_id, CAST(b.id AS BIGINT) AS b_id, round({_COS_DUCK}, 6) AS score
+FROM nodes a JOIN nodes b ON a.id < b.id WHERE {_JACC_DUCK} >= 0.2""")
 def q_cosine_similarity(spark, sf):
-    """L4 (extension, real cosine) with a fixed threshold of 0.5."""
-    p = similarity.similar_pairs(_bench_nodes(spark, sf), "cosine", 0.5)
-    return p.select(F.col("a_id").cast("bigint"), F.col("b_id").cast("bigint"), F.round("score", 6).alias("score"))
+    """L4 (extension, real token-count cosine) scored on the Jaccard >= 0.2 pairs."""
+    nodes = _bench_nodes(spark, sf)
+    p = similarity.similar_pairs(nodes, "jaccard", 0.2).select("a_id", "b_id")
+    a = nodes.select(F.col("id").alias("a_id"), F.col("tokens").alias("a_tokens"))
+    b = nodes.select(F.col("id").alias("b_id"), F.col("tokens").alias("b_tokens"))
+    sc = similarity.score_pairs(p.join(a, "a_id").join(b, "b_id"), "cosine")
+    return sc.select(F.col("a_id").cast("bigint"), F.col("b_id").cast("bigint"), F.round("score", 6).alias("score"))
 
 
 @query("components", f"""WITH RECURSIVE nodes AS ({BENCH_NODES_SQL}),
