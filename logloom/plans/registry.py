@@ -1016,9 +1016,9 @@ def q_run_summary(spark, sf):
 # ------------------------------------------------------------- streaming ---
 @query("stream_mine")
 def q_stream_mine(spark, sf):
-    """events_log replayed as a file stream in chunks; final catalog."""
+    """events_log replayed as a file stream in two chunks; final catalog."""
     from ..streaming.incremental import replay_stream
-    return replay_stream(spark, tables.events_log(spark, sf), chunks=4)
+    return replay_stream(spark, tables.events_log(spark, sf), chunks=2)
 
 
 @query("resolve_alias", """
