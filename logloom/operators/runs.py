@@ -45,3 +45,8 @@ def run_line(dataset: Column, score_row: DataFrame) -> DataFrame:
 def run_summary(dataset: str, scores: DataFrame) -> DataFrame:
     """E7 without timings: one typed row per scored run."""
     return scores.select(F.lit(dataset).alias("dataset"), "ga", "pa", "fga", "fta", "n_lines", "n_templates")
+
+
+def write_summary(table: DataFrame, path: str) -> None:
+    """The metrics table as CSV with a header (one task per output part)."""
+    table.write.mode("overwrite").option("header", True).csv(path)

@@ -69,3 +69,19 @@ def test_metrics_fixture(spark):
     s = score(pred, truth).first()
     assert (s.ga, s.pga, s.rga, s.fga) == (0.5, 0.3333, 0.5, 0.4)
     assert (s.pa, s.fta) == (1.0, 0.4)
+
+
+def test_leaderboard_and_summary(spark, tmp_path):
+    from logloom.operators import runs
+    line = ("Evaluation on Dataset: {d}, Group Accuracy: {g}, PA Accuracy: 0.5000, FGA: 0.5000, FTA: 0.5000, "
+            "Duration: 1.00 sec, Total of 2000 lines, rate 2000.0 lines/sec, 3 templates, "
+            "Total LLM Call count: 0, Total LLM Call Tokens: 0")
+    rows = [(1, line.format(d="A", g="0.9000")), (2, line.format(d="A", g="0.9000")), (3, line.format(d="B", g="0.7000")),
+            (4, "noise")]
+    r = runs.read_runs(spark.createDataFrame(rows, "seq long, line string"))
+    best = {x.dataset: x.seq for x in runs.best_run(r).collect()}
+    assert best == {"A": 1, "B": 3}
+    lb = {x.dataset: x.ga for x in runs.leaderboard(r).collect()}
+    assert lb["Average"] == 0.8
+    runs.write_summary(runs.leaderboard(r), str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
