@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from logloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from logloom.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op10_benchmark_decontamination": OP10_SQL,
+}
