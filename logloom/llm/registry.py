@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from logloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
+from logloom.llm.quality import op5_quality_classifier
 from logloom.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
 }
 
 ORACLES = {
