@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
+from logloom.llm.pii import OP3_SQL, op3_pii
 from logloom.llm.quality import op5_quality_classifier
 from logloom.llm.simhash import op2_simhash_near_dedup
 
@@ -10,8 +11,10 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op3_pii": op3_pii,
 }
 
 ORACLES = {
     "op10_benchmark_decontamination": OP10_SQL,
+    "op3_pii": OP3_SQL,
 }
