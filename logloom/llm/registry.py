@@ -5,16 +5,21 @@ from __future__ import annotations
 from logloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from logloom.llm.pii import OP3_SQL, op3_pii
 from logloom.llm.quality import op5_quality_classifier
+from logloom.llm.secrets import OP8_SQL, op8_secret_scan
 from logloom.llm.simhash import op2_simhash_near_dedup
 
-QUERIES = {
-    "op2_simhash_near_dedup": op2_simhash_near_dedup,
-    "op10_benchmark_decontamination": op10_benchmark_decontamination,
-    "op5_quality_classifier": op5_quality_classifier,
-    "op3_pii": op3_pii,
-}
+QUERIES = {f.__name__: f for f in (
+    op2_simhash_near_dedup,
+    op3_pii,
+    op5_quality_classifier,
+    op8_secret_scan,
+    op10_benchmark_decontamination,
+)}
 
+# Operators 2 and 5 (iterated components, a trained model) have none: they are
+# tested against brute force and held-out accuracy.
 ORACLES = {
-    "op10_benchmark_decontamination": OP10_SQL,
     "op3_pii": OP3_SQL,
+    "op8_secret_scan": OP8_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
 }
