@@ -22,6 +22,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct ``row``, so that working columns cannot clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def sha_join(parts) -> F.Column:
     """Comma-joined array column of strings; empty string for an empty array."""
     return F.array_join(parts, ",")

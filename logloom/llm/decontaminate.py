@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import durable, map_batches, sha_join, table
+from logloom.llm.common import durable, map_batches, packed, sha_join, table
 
 WINDOW_WORDS = 10
 BROADCAST_WORDS = 500_000  # about 60 MB in a worker
@@ -254,16 +254,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     there is one) changes.  Rows with the same doc_id and text share a verdict.
     """
     hits = _hits(docs, benchmark, size).where("size(spans) > 0").select(
-        F.col("doc_id").alias("__d"), F.col("h").alias("__g"), F.col("spans").alias("__s")).dropDuplicates(["__d", "__g"])
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64("text").eqNullSafe(F.col("__g"))
+        F.col("doc_id").alias("d"), F.col("h"), "spans").dropDuplicates(["d", "h"])
+    on = F.col("row.doc_id").eqNullSafe(F.col("d")) & F.xxhash64("row.text").eqNullSafe(F.col("h"))
     if mode == "documents":
-        return docs.join(hits, on, "left_anti")
+        return packed(docs).join(hits, on, "left_anti").select("row.*")
     cut = F.udf(_cut, "string", useArrow=True)
-    out = docs.join(hits, on, "left").withColumn("text", cut("text", "__s"))
+    new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__s").isNotNull(), F.char_length("text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans").isNotNull(), F.char_length("cut").cast(
+            docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    out = packed(docs).join(hits, on, "left").withColumn("cut", cut(F.col("row.text").cast("string"), "spans"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import table
+from logloom.llm.common import packed, table
 
 BUCKETS = 1 << 14  # bucket 0 is the gap between documents
 DIM = 32
@@ -254,9 +254,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS)
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, columns unchanged."""
-    cols = docs.columns
     score = scorer(docs, labels, limit)
-    return docs.withColumn("__score", score("text")).where(F.col("__score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in cols])
+    return packed(docs).withColumn("score", score("row.text")).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,18 +6,21 @@ from logloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from logloom.llm.pii import OP3_SQL, op3_pii
 from logloom.llm.quality import op5_quality_classifier
 from logloom.llm.secrets import OP8_SQL, op8_secret_scan
+from logloom.llm.sentencepiece_codec import op6_sentencepiece
 from logloom.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {f.__name__: f for f in (
     op2_simhash_near_dedup,
     op3_pii,
     op5_quality_classifier,
+    op6_sentencepiece,
     op8_secret_scan,
     op10_benchmark_decontamination,
 )}
 
-# Operators 2 and 5 (iterated components, a trained model) have none: they are
-# tested against brute force and held-out accuracy.
+# Operators 2, 5 and 6 (iterated components, a trained model, a tokenizer) have
+# none: they are tested against brute force, held-out accuracy and the
+# sentencepiece library.
 ORACLES = {
     "op3_pii": OP3_SQL,
     "op8_secret_scan": OP8_SQL,

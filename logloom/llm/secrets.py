@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import durable, table
+from logloom.llm.common import packed, table
 from logloom.llm.spans import add_spans, joined, sql_spans, total
 
 _parse, _ops = re._parser.parse, re._constants
@@ -190,9 +190,9 @@ def secrets(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
 def without_secrets(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """The rows of ``docs`` in which no rule finds a secret, columns unchanged."""
     found = secrets(docs, rules).where(reduce(lambda a, b: a | b, [F.size(r.kind) > 0 for r in rules])).select(
-        F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).eqNullSafe(F.col("__h"))
-    return docs.join(found, on, "left_anti")
+        F.col("doc_id").alias("d"), F.col("h")).distinct()
+    on = F.col("row.doc_id").eqNullSafe(F.col("d")) & F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).eqNullSafe(F.col("h"))
+    return packed(docs).join(found, on, "left_anti").select("row.*")
 
 
 def _sorted(kinds) -> F.Column:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import durable, map_batches, table
+from logloom.llm.common import durable, map_batches, packed, table
 from logloom.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -304,14 +304,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_
     Rows that agree in doc_id and text are one document and stay once.  Null
     doc_ids come last.  Columns of ``docs`` are returned unchanged.
     """
-    cols = docs.columns
-    docs = docs.withColumn("__h", F.xxhash64("text"))
-    fps = durable(fingerprints(docs, id_cols=("doc_id", "__h"), shingle=shingle))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__h")).alias("k")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    fps = durable(fingerprints(keyed, id_cols=("doc_id", "h"), shingle=shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("k")
     kept = (fps.groupBy("fp").agg(first).join(clusters(fps, max_bits), "fp")
-            .groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("__d"), F.col("k.__h").alias("__k")))
-    on = docs["__h"].eqNullSafe(kept["__k"]) & docs["doc_id"].eqNullSafe(kept["__d"])
-    return docs.join(kept, on, "left_semi").dropDuplicates(["doc_id", "__h"]).select(*cols)
+            .groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.h").alias("g")))
+    rows = packed(docs).withColumn("doc_id", F.col("row.doc_id")).withColumn("h", F.xxhash64("row.text"))
+    on = F.col("h").eqNullSafe(F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    return rows.join(kept, on, "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
