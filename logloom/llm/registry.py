@@ -5,11 +5,13 @@ from __future__ import annotations
 from logloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from logloom.llm.pii import OP3_SQL, op3_pii
 from logloom.llm.quality import op5_quality_classifier
+from logloom.llm.rules import OP1_SQL, op1_quality_rules
 from logloom.llm.secrets import OP8_SQL, op8_secret_scan
 from logloom.llm.sentencepiece_codec import op6_sentencepiece
 from logloom.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {f.__name__: f for f in (
+    op1_quality_rules,
     op2_simhash_near_dedup,
     op3_pii,
     op5_quality_classifier,
@@ -22,6 +24,7 @@ QUERIES = {f.__name__: f for f in (
 # none: they are tested against brute force, held-out accuracy and the
 # sentencepiece library.
 ORACLES = {
+    "op1_quality_rules": OP1_SQL,
     "op3_pii": OP3_SQL,
     "op8_secret_scan": OP8_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
