@@ -179,8 +179,8 @@ def secrets(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
         hits = docs.withColumn("h", F.xxhash64("text")).join(named, key).drop("__d", "__h").dropDuplicates(["doc_id", "h"])
         for r in indexed:
             hits = _verify(hits, r, F.array_contains("__rules", r.kind))
-        hits = hits.where(reduce(lambda a, b: a | b, [F.size(r.kind) > 0 for r in indexed])).select(
-            F.col("doc_id").alias("__d"), F.col("h").alias("__h"), *[r.kind for r in indexed])
+        # no filter on the spans here: pushed below them, it would evaluate every expression again
+        hits = hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), *[r.kind for r in indexed])
         out = out.join(hits, key, "left").drop("__d", "__h")
         for r in indexed:
             out = out.withColumn(r.kind, F.coalesce(r.kind, F.array().cast(out.schema[r.kind].dataType)))
