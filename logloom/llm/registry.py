@@ -9,6 +9,7 @@ from logloom.llm.rules import OP1_SQL, op1_quality_rules
 from logloom.llm.secrets import OP8_SQL, op8_secret_scan
 from logloom.llm.sentencepiece_codec import op6_sentencepiece
 from logloom.llm.simhash import op2_simhash_near_dedup
+from logloom.llm.substrings import op7_substring_dedup
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
@@ -16,13 +17,14 @@ QUERIES = {f.__name__: f for f in (
     op3_pii,
     op5_quality_classifier,
     op6_sentencepiece,
+    op7_substring_dedup,
     op8_secret_scan,
     op10_benchmark_decontamination,
 )}
 
-# Operators 2, 5 and 6 (iterated components, a trained model, a tokenizer) have
-# none: they are tested against brute force, held-out accuracy and the
-# sentencepiece library.
+# Operators 2, 5, 6 and 7 (iterated components, a trained model, a tokenizer,
+# runs of units) have none: they are tested against brute force, held-out
+# accuracy and the sentencepiece library.
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op3_pii": OP3_SQL,
