@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from logloom.llm.common import map_batches, packed, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
-CACHE_PIECES = 200_000  # pieces kept by a worker; then it starts anew
+CACHE_PIECES = 500_000  # pieces kept by a worker (about 110 MB); then it starts anew
 CACHE_LENGTH = 64  # longer pieces are not kept
 MARK = "▁"
 PIECE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -106,23 +106,26 @@ class Codec:
         self.bare = build(proto)  # without normaliser: its input is normalised already
         from tokenizers import normalizers
         self.bare.normalizer = normalizers.Sequence([])
-        self.known: dict[str, list[int]] = {}
+        # what a piece stands for in a text: its marker is a space, a byte token its byte
+        self.spelling = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
+        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        self.known: dict[str, bytes] = {}  # piece -> its ids as 32-bit integers
         self.odd: set[str] = set()
 
     def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        mine = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.reference.encode(texts, num_threads=self.threads)
         return theirs, [a == b for a, b in zip(mine, theirs)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, list[int]]:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of new pieces (each starts with the marker), verified."""
-        mine = [e.ids for e in self.bare.encode_batch(pieces, add_special_tokens=False)]
+        mine = [e.ids for e in self.bare.encode_batch_fast(pieces, add_special_tokens=False)]
         theirs = self.reference.encode([p[1:].replace(MARK, " ") for p in pieces], num_threads=self.threads)
         out = {}
         for p, a, b in zip(pieces, mine, theirs):
             if p == MARK:  # the reference reads this as an empty text
                 b = a
-            out[p] = b
+            out[p] = array("i", b).tobytes()
             if a != b:
                 self.odd.add(p)
         return out
@@ -135,16 +138,21 @@ class Codec:
         if len(self.known) > CACHE_PIECES:
             self.known, self.odd = {}, set()
         cut = [PIECE.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list(dict.fromkeys(p for c in cut for p in c if p not in self.known))
+        found = [list(map(self.known.get, c)) for c in cut]
+        new = list(dict.fromkeys(p for c, f in zip(cut, found) if None in f for p, x in zip(c, f) if x is None))
         extra = self._learn(new) if new else {}
-        long = {p: extra.pop(p) for p in new if len(p) > CACHE_LENGTH}
-        self.known.update(extra)
-        get = (self.known | long).__getitem__ if long else self.known.__getitem__
-        ids = [np.fromiter(chain.from_iterable(map(get, c)), np.int32) for c in cut]
+        ids = [np.frombuffer(b"".join([extra[p] if x is None else x for p, x in zip(c, f)] if None in f else f), np.int32)
+               for c, f in zip(cut, found)]
         same = [not self.odd or self.odd.isdisjoint(c) for c in cut]
-        self.odd -= long.keys()
+        self.known.update((p, x) for p, x in extra.items() if len(p) <= CACHE_LENGTH)
+        self.odd -= {p for p in self.odd if len(p) > CACHE_LENGTH}
         return ids, same
 
+    def spelled(self, ids: np.ndarray) -> str:
+        """The text that ids stand for, read from the model's pieces (for the round-trip check)."""
+        text = b"".join(map(self.spelling.__getitem__, ids.tolist())).decode(errors="replace")
+        return text[1:] if self.prefix and text[:1] == " " else text
+
     def decode(self, ids: list) -> list[str]:
         return self.tok.decode_batch([list(i) for i in ids], skip_special_tokens=False)
 
@@ -193,11 +201,10 @@ def encode(docs: DataFrame, model_path: str = MODEL, threads: int = THREADS) ->
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, same = codec.encode(texts)
-            back = codec.decode([i.tolist() for i in ids])
             yield pa.RecordBatch.from_pydict({
                 "row": batch.column("row"), "token_ids": _list(ids), "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
                 "n_byte_tokens": pa.array([int(codec.bytes[i].sum()) for i in ids], pa.int64()),
-                "parity": pa.array(same, pa.bool_()), "round_trip": pa.array([a == b for a, b in zip(back, texts)], pa.bool_())})
+                "parity": pa.array(same, pa.bool_()), "round_trip": pa.array([codec.spelled(i) == t for i, t in zip(ids, texts)], pa.bool_())})
 
     return rows.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names], *names)
 
