@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
+from logloom.llm.html_text import OP4_SQL, op4_html_extraction
 from logloom.llm.pii import OP3_SQL, op3_pii
 from logloom.llm.quality import op5_quality_classifier
 from logloom.llm.rules import OP1_SQL, op1_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
     op2_simhash_near_dedup,
     op3_pii,
+    op4_html_extraction,
     op5_quality_classifier,
     op6_sentencepiece,
     op7_substring_dedup,
@@ -28,6 +30,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op3_pii": OP3_SQL,
+    "op4_html_extraction": OP4_SQL,
     "op8_secret_scan": OP8_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
