@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from logloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from logloom.llm.html_text import OP4_SQL, op4_html_extraction
+from logloom.llm.licenses import OP9_SQL, op9_license_scan
 from logloom.llm.pii import OP3_SQL, op3_pii
 from logloom.llm.quality import op5_quality_classifier
 from logloom.llm.rules import OP1_SQL, op1_quality_rules
@@ -21,6 +22,7 @@ QUERIES = {f.__name__: f for f in (
     op6_sentencepiece,
     op7_substring_dedup,
     op8_secret_scan,
+    op9_license_scan,
     op10_benchmark_decontamination,
 )}
 
@@ -32,5 +34,6 @@ ORACLES = {
     "op3_pii": OP3_SQL,
     "op4_html_extraction": OP4_SQL,
     "op8_secret_scan": OP8_SQL,
+    "op9_license_scan": OP9_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
