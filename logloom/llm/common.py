@@ -32,14 +32,21 @@ def sha_join(parts) -> F.Column:
     return F.array_join(parts, ",")
 
 
+SLICE = 1000  # rows turned into Python objects at once
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, without empty ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` where ``fn`` maps one record batch to one dict of columns (or None)."""
+    """``mapInArrow`` where ``fn`` maps a record batch of at most SLICE rows to a dict of columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out)
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_pydict(fn(batch))
 
     return df.mapInArrow(run, schema)

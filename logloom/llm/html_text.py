@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import durable, map_batches, packed, table
+from logloom.llm.common import durable, map_batches, packed, sliced, table
 
 MIN_PAGES = 5  # articles of a host that must share a subtree ...
 MIN_SHARE = 0.3  # ... and their share of the host's articles
@@ -227,7 +227,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             by_host: dict[int, set] = {}
             for h, d in zip(*map(np.ndarray.tolist, shared.value)):
                 by_host.setdefault(h, set()).add(d)
-            for batch in batches:
+            for batch in sliced(batches):
                 yield pa.RecordBatch.from_pydict(lines(batch, [by_host.get(h, frozenset()) for h in batch.column("host").to_pylist()]))
 
         return rows.mapInArrow(run, schema)

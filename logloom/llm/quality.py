@@ -20,12 +20,11 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import packed, table
+from logloom.llm.common import SLICE, packed, sliced, table
 
 BUCKETS = 1 << 14  # bucket 0 is the gap between documents
 DIM = 32
@@ -81,7 +80,7 @@ def _partial_sums(batches):
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         total[own[first]] += np.add.reduceat(ctx[order], first, axis=0, dtype=np.int64)
 
-    for batch in batches:
+    for batch in sliced(batches):
         held, n = [], 0
         for text in batch.column(0).to_pylist():
             for piece in bucket_pieces(text):
@@ -222,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np
         x = [pool(t, shared.value).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_pydict({"x": pa.array(x, pa.binary()), "y": batch.column("y")})
 
-    rows = training_rows(docs, labels, limit).mapInArrow(lambda it: map(features, it), "x binary, y int").toArrow()
+    rows = training_rows(docs, labels, limit).mapInArrow(lambda it: map(features, sliced(it)), "x binary, y int").toArrow()
     y = rows["y"].to_numpy().astype(np.float64)
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     return vectors, Network(x, y) if 0 < y.sum() < len(y) else Prior(y)
@@ -232,10 +231,11 @@ def scorer(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS):
     """A column function text -> score, fitted on ``docs`` and ``labels``."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         vectors, net = shared.value
-        return pd.Series(net.score(np.stack([pool(t, vectors) for t in text])) if len(text) else [], dtype="float64")
+        out = [net.score(np.stack([pool(t, vectors) for t in text.slice(i, SLICE).to_pylist()])) for i in range(0, len(text), SLICE)]
+        return pa.array(np.concatenate(out or [np.zeros(0)]))
 
     return lambda text: score(F.col(text).cast("string"))
 

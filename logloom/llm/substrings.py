@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import packed, table
+from logloom.llm.common import packed, sliced, table
 from logloom.llm.decontaminate import words_of
 
 BOUNDARY = {"sentence": re.compile(r"[.!?]+\s+|\s*\n\s*"), "line": re.compile(r"\s*\n\s*"), "paragraph": re.compile(r"\s*\n[^\S\n]*\n\s*")}
@@ -42,7 +42,7 @@ def units(text: str | None, unit: str) -> list[tuple[int, int, int]]:
 
 def _unit_rows(unit: str, unit_words: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, hashes = batch.column("doc_id"), batch.column("h").to_numpy()
             row, start, digest = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
@@ -120,7 +120,7 @@ def dedup_substrings(docs: DataFrame, unit: str = "sentence", unit_words: int =
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, removed, counts, sources = [], [], [], []
             for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
                 spans, n, src = [], 0, []
