@@ -224,7 +224,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run_limit: int = RUN_LIMIT)
         key = np.concatenate([k for k, _ in out])
         return {"key": key, "sub": np.zeros(len(key), np.int64), "fp": np.concatenate([f for _, f in out])}
 
-    keys = map_batches(fps.select("fp"), expand, "key long, sub long, fp long")
+    # a fixed number of partitions: each row becomes some 180, which a small-partition merge would gather in few tasks
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = map_batches(spread, expand, "key long, sub long, fp long")
     found = durable(keys.repartition("key").sortWithinPartitions("key")
                     .mapInArrow(_verify(max_bits, run_limit), _OUT))
     plain = found.where("key IS NULL").select("u", "v")
