@@ -29,6 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 CACHE_PIECES = 500_000  # pieces kept by a worker (about 110 MB); then it starts anew
 CACHE_LENGTH = 64  # longer pieces are not kept
+GROUP = 64  # new pieces encoded as one text
 MARK = "▁"
 PIECE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -108,6 +109,8 @@ class Codec:
         self.bare.normalizer = normalizers.Sequence([])
         # what a piece stands for in a text: its marker is a space, a byte token its byte
         self.spelling = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
+        # bytes of a piece, markers included; the unknown piece spells nothing that can be counted
+        self.size = np.array([1 if p.type == BYTE else len(p.piece.encode()) if p.type != UNKNOWN else -(1 << 40) for p in proto.pieces])
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.known: dict[str, bytes] = {}  # piece -> its ids as 32-bit integers
         self.odd: set[str] = set()
@@ -118,7 +121,28 @@ class Codec:
         return theirs, [a == b for a, b in zip(mine, theirs)]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces (each starts with the marker), verified."""
+        """Ids of new pieces, verified; many at a time, and cut apart by the bytes that the ids spell."""
+        words = [p for p in pieces if p.strip(MARK)]  # markers alone would join with what follows
+        out = self._learn_each([p for p in pieces if not p.strip(MARK)])
+        groups = [words[i:i + GROUP] for i in range(0, len(words), GROUP)]
+        joined = ["".join(g) for g in groups]
+        mine = [e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)]
+        theirs = self.reference.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=self.threads)
+        for group, a, b in zip(groups, mine, theirs):
+            ids = np.array(b, np.int32)
+            spelled, wanted = np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in group])
+            stop = np.searchsorted(spelled, wanted)
+            if a != b or stop[-1] != len(ids) - 1 or (spelled[stop] != wanted).any():
+                out |= self._learn_each(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for p, end in zip(group, (4 * (stop + 1)).tolist()):
+                out[p] = data[at:end]
+                at = end
+        return out
+
+    def _learn_each(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces (each starts with the marker), verified one by one."""
         mine = [e.ids for e in self.bare.encode_batch_fast(pieces, add_special_tokens=False)]
         theirs = self.reference.encode([p[1:].replace(MARK, " ") for p in pieces], num_threads=self.threads)
         out = {}
