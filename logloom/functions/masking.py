@@ -46,6 +46,9 @@ DEFAULT_MASK_RULES: list[tuple[str, str]] = [
     (r"(?<![A-Za-z0-9])((B|KB|MB|GB|sec|secs|kbps))(?![A-Za-z0-9])", "*"),
     (r"(?<=executed cmd )(\".+?\")", "*"),
 ]
+# A text without the literal cannot match the rule (rule number -> literal).
+DEFAULT_GUARDS = {DEFAULT_MASK_RULES[n - 1][0]: lit for n, lit in (
+    (1, ":"), (3, "<*>"), (4, ":"), (5, "."), (6, ":"), (7, "/"), (8, ":"), (9, "."), (13, "executed cmd "))}
 DEFAULT_PREFIX = "<"
 DEFAULT_SUFFIX = ">"
 WILDCARD = "<*>"
@@ -87,10 +90,19 @@ def mask_col(c: Column, rules=None, prefix: str = DEFAULT_PREFIX, suffix: str =
     """Apply the ordered rules; a hit becomes prefix + mask name + suffix."""
     rules = as_rules(DEFAULT_MASK_RULES if rules is None else rules)
     for r in rules:
-        c = F.regexp_replace(c, java_pattern(r.pattern, unicode), _quote_replacement(prefix + r.mask_with + suffix))
+        c = _guarded(c, DEFAULT_GUARDS.get(r.pattern), java_pattern(r.pattern, unicode),
+                     _quote_replacement(prefix + r.mask_with + suffix))
     return c
 
 
+def _guarded(c: Column, literal: str | None, pattern: str, replacement: str) -> Column:
+    """``regexp_replace``, run only on texts that hold ``literal``; the text so far is evaluated once."""
+    if literal is None:
+        return F.regexp_replace(c, pattern, replacement)
+    return F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit(literal)), F.regexp_replace(x, pattern, replacement))
+                       .otherwise(x))[0]
+
+
 def replace_all_col(c: Column, patterns, replacement: str, unicode: bool = True) -> Column:
     """P1 (replacement ``''``) and P2 (replacement ``'<*>'``)."""
     for p in patterns:

@@ -86,6 +86,12 @@ def wildcarded(clusters_with_wild: DataFrame) -> DataFrame:
                            "THEN '<*>' ELSE t END), ' ')"))
 
 
+def _first_of_length(clusters: DataFrame, col: str) -> DataFrame:
+    """(cluster_key, len, min_line, col) of the first content of each length: a partial aggregate, no window."""
+    return (clusters.groupBy("cluster_key", "len")
+            .agg(F.min("min_line").alias("min_line"), F.min_by(col, F.struct("min_line", "tokens")).alias(col)))
+
+
 def arbitration_queue(clusters: DataFrame, vocab: DataFrame) -> DataFrame:
     """I8: what an arbiter would be asked.
 
@@ -102,20 +108,38 @@ def arbitration_queue(clusters: DataFrame, vocab: DataFrame) -> DataFrame:
           .where(F.col("rank") <= QUEUE_SAMPLES)
           .select("cluster_key", F.lit(1).alias("mode"), "rank", F.col("wcontent").alias("sample")))
     mixed = clusters.join(prof.where("path = 'mixed'").select("cluster_key"), "cluster_key", "left_semi")
-    w2 = (mixed.withColumn("r", F.row_number().over(
-        Window.partitionBy("cluster_key", F.size("tokens")).orderBy("min_line")))
-        .where("r = 1")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("cluster_key").orderBy(F.size("tokens"), "min_line")))
-        .select("cluster_key", F.lit(2).alias("mode"), "rank", F.col("canon").alias("sample")))
+    w2 = (_first_of_length(mixed.withColumn("len", F.size("tokens")), "canon")
+          .withColumn("rank", F.row_number().over(Window.partitionBy("cluster_key").orderBy("len")))
+          .select("cluster_key", F.lit(2).alias("mode"), "rank", F.col("canon").alias("sample")))
     return w1.unionByName(w2)
 
 
+def last_object(text) -> F.Column:
+    """The last balanced top-level ``{...}`` of a text, NULL when there is none.
+
+    One pass over the characters: a brace opens an object at depth 0, the one
+    that takes the depth back to 0 ends it; closing braces outside are ignored.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("open"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def step(s, ch):
+        opens, closes = ch == "{", (ch == "}") & (s["depth"] > 0)
+        ends = closes & (s["depth"] == 1)
+        return F.struct(
+            F.when(opens, s["depth"] + 1).when(closes, s["depth"] - 1).otherwise(s["depth"]).alias("depth"),
+            (s["i"] + 1).alias("i"),
+            F.when(opens & (s["depth"] == 0), s["i"] + 1).otherwise(s["open"]).alias("open"),
+            F.when(ends, s["open"]).otherwise(s["first"]).alias("first"),
+            F.when(ends, s["i"] + 1).otherwise(s["last"]).alias("last"))
+
+    found = F.aggregate(F.split(text, ""), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.when(found["first"] > 0, F.substring(text, found["first"], found["last"] - found["first"] + 1))
+
+
 def read_decisions(answers: DataFrame, key_col="cluster_key", text_col="answer") -> DataFrame:
-    """Last flat ``{...}`` object of an answer, its ``template`` field."""
-    last = F.element_at(F.regexp_extract_all(F.col(text_col), F.lit(r"\{[^{}]*\}"), 0), -1)
-    tmpl = F.get_json_object(last, "$.template")
-    return answers.select(key_col, F.coalesce(F.when(F.size(F.regexp_extract_all(F.col(text_col), F.lit(r"\{[^{}]*\}"), 0)) > 0, tmpl),
-                                              F.lit("")).alias("template"))
+    """Last balanced object of an answer, its ``template`` field ('' when there is none)."""
+    tmpl = F.get_json_object(last_object(F.col(text_col)), "$.template")
+    return answers.select(key_col, F.coalesce(tmpl, F.lit("")).alias("template"))
 
 
 _ALIGN_SCHEMA = "cluster_key string, template string"
@@ -133,9 +157,7 @@ def align_templates(mixed_clusters: DataFrame) -> DataFrame:
     Samples are cut with a ranked filter first, so each pandas group holds at
     most one row per distinct token count.
     """
-    samples = (mixed_clusters.withColumn("len", F.size("tokens"))
-               .withColumn("r", F.row_number().over(Window.partitionBy("cluster_key", "len").orderBy("min_line")))
-               .where("r = 1").select("cluster_key", "tokens", "len", "min_line"))
+    samples = _first_of_length(mixed_clusters.withColumn("len", F.size("tokens")), "tokens")
     return samples.groupBy("cluster_key").applyInPandas(_align_group, _ALIGN_SCHEMA)
 
 
@@ -144,20 +166,24 @@ def unique_fallback(clusters: DataFrame, content_col="canon") -> DataFrame:
     return clusters.select("cluster_key", "canon", F.col(content_col).alias("template"))
 
 
+def single_content(clusters: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """The content of a cluster that has one is its template."""
+    prof = length_profile(clusters) if profile is None else profile
+    return unique_fallback(clusters.join(prof.where("path = 'single'").select("cluster_key"), "cluster_key"))
+
+
 def frequency_split(clusters: DataFrame) -> DataFrame:
     """Split a cluster by content when its top content's share >= 1/types."""
-    w = Window.partitionBy("cluster_key")
-    s = (clusters.withColumn("types", F.count(F.lit(1)).over(w))
-         .withColumn("share", F.col("n") / F.sum("n").over(w))
-         .withColumn("top_share", F.max("share").over(w)))
-    return s.where(F.col("top_share") >= 1.0 / F.col("types")).select("cluster_key", "canon", F.col("canon").alias("template"))
+    size = clusters.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tot"), F.max("n").alias("top"))
+    split = size.where(F.col("top") * F.col("types") >= F.col("tot")).select("cluster_key")
+    return unique_fallback(clusters.join(split, "cluster_key"))
 
 
 def induce(clusters: DataFrame, vocab: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """I1-I11 composed: (cluster_key, canon) -> template for every content."""
     prof = length_profile(clusters).select("cluster_key", "path")
     c = clusters.join(prof, "cluster_key")
-    single = c.where("path = 'single'").select("cluster_key", "canon", F.col("canon").alias("template"))
+    single = unique_fallback(c.where("path = 'single'"))
 
     same = c.where("path = 'same'")
     asm = assemble(position_decision(position_entropy(same, vocab)))

@@ -69,20 +69,26 @@ def _literal_anchor(catalog: DataFrame) -> DataFrame:
             .select("template_key", F.col("token").alias("anchor")))
 
 
+def candidates(contents: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Pairs (canon, catalog row) that may match: the template's rarest whole
+    literal token is a token of the content.  A template without one may match
+    any content, so it meets all of them."""
+    anchors = _literal_anchor(catalog)
+    cat = catalog.join(anchors, "template_key", "left")
+    ctoks = contents.select("canon", F.explode(F.array_distinct("tokens")).alias("anchor"))
+    by_anchor = ctoks.join(cat.where(F.col("anchor").isNotNull()), "anchor").select("canon", "template_key")
+    free = cat.where(F.col("anchor").isNull()).select("template_key")
+    pairs = by_anchor if free.isEmpty() else by_anchor.unionByName(contents.select("canon").join(free, how="cross"))
+    return pairs.distinct().join(catalog, "template_key")
+
+
 def match_catalog(contents: DataFrame, catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     """H2: for each content, the first matching template in descending size,
     ties by first line (insertion order).  contents(canon, tokens),
     catalog(template_key, template, n_lines, first_line)."""
     # the catalog is small and used several times below: materialise it once
     catalog = catalog.select("template_key", "template", "n_lines", "first_line").checkpoint()
-    anchors = _literal_anchor(catalog)
-    cat = catalog.join(anchors, "template_key", "left")
-    ctoks = contents.select("canon", F.explode(F.array_distinct("tokens")).alias("anchor"))
-    by_anchor = ctoks.join(cat.where(F.col("anchor").isNotNull()), "anchor").select("canon", "template_key")
-    no_anchor = cat.where(F.col("anchor").isNull()).select("template_key")
-    # templates with no literal token (e.g. "<*>") are few: broadcast them
-    loose = contents.select("canon").join(F.broadcast(no_anchor), how="cross")
-    cand = by_anchor.unionByName(loose).distinct().join(catalog, "template_key")
+    cand = candidates(contents, catalog)
     m = template_match(cand, vocab, content_col="canon", id_cols=("canon", "template_key"))
     w = Window.partitionBy("canon").orderBy(F.col("n_lines").desc(), F.col("first_line").asc(), "template_key")
     return (m.withColumn("r", F.row_number().over(w)).where("r = 1")

@@ -61,8 +61,9 @@ def mergeable_pairs(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     gap = (F.abs(F.col("p_len") - F.col("x_len")) >= 1) & (F.abs(F.col("p_len") - F.col("x_len")) <= 2)
     by_anchor = pat.where(F.col("anchor").isNotNull()).join(txt, "anchor").where(gap)
     free = (pat.where(F.col("anchor").isNull()).drop("anchor")
+            .withColumn("x_len", F.explode(F.array(*[F.col("p_len") + d for d in (-2, -1, 1, 2)])))
             .join(t.select(F.col("template_key").alias("x_key"), F.col("template").alias("x_template"),
-                           F.col("len").alias("x_len")), on=gap, how="inner"))
+                           F.col("len").alias("x_len")), "x_len"))
     directed = (by_anchor.select("p_key", "p_template", "x_key", "x_template")
                 .unionByName(free.select("p_key", "p_template", "x_key", "x_template")).distinct())
     matched = template_match(directed, vocab, content_col="x_template", template_col="p_template",
@@ -106,20 +107,23 @@ def merge_round(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
     return grp.join(merged, "hub_key").select(F.col("template").alias("old_template"), "new_template")
 
 
-def merge_templates(catalog: DataFrame, vocab: DataFrame, max_rounds: int = 50) -> DataFrame:
+def merge_templates(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     """Repeat hub rounds until no pair is left; returns the final alias
-    map (old_template -> new_template) for every template that changed."""
+    map (old_template -> new_template) for every template that changed.
+
+    There is no round limit: a round with pairs turns at least two templates
+    into one, and a round that does not is an error."""
     spark = catalog.sparkSession
     checkpoint_dir(spark)
     cat = catalog.select("template", "n_lines", "first_line").withColumn("template_key", F.md5("template"))
     alias = None
-    for _ in range(max_rounds):
+    while True:
         pairs = mergeable_pairs(cat, vocab).checkpoint()
         if pairs.isEmpty():
             break
         step = merge_round(cat, pairs).checkpoint()
         if step.isEmpty():
-            break
+            raise RuntimeError("mergeable templates are left, but none of them was merged")
         alias = step if alias is None else (
             alias.join(step.withColumnRenamed("old_template", "new_template")
                        .withColumnRenamed("new_template", "nn"), "new_template", "left")

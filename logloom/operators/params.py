@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,57 +16,72 @@ def _escaped(part: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(part, _SPECIAL, r"\\$1"), " ", r"\\s+")
 
 
+def mask_names(rules=None) -> list[str]:
+    """Names a template may hold between ``<`` and ``>``: those of the rules, and the catch-all ``*``."""
+    return list(dict.fromkeys([r.mask_with for r in as_rules(rules if rules is not None else DEFAULT_MASK_RULES)] + ["*"]))
+
+
+def _slot(rules) -> str:
+    """Pattern of one mask in a template; group 1 is its name."""
+    return "<(" + "|".join(re.escape(n) for n in sorted(mask_names(rules), key=len, reverse=True)) + ")>"
+
+
+def slot_names(template: Column, rules=None) -> Column:
+    """Mask names of a template in the order of its slots."""
+    return F.regexp_extract_all(template, F.lit(_slot(rules)), F.lit(1))
+
+
+def _group(name: str, exact: bool, rules) -> str:
+    """Capture group of a slot: any text, or with ``exact`` the patterns of its rules (any text last for ``*``)."""
+    alts = [_noncapturing(r.pattern) for r in as_rules(rules if rules is not None else DEFAULT_MASK_RULES)
+            if r.mask_with == name] if exact else []
+    return "(" + "|".join(alts + [".+?"] * (not exact or name == "*" or not alts)) + ")"
+
+
 def param_regex(template: Column, exact: bool = False, rules=None) -> Column:
-    """O1: escaped literal parts, each ``<*>`` one positional capture group,
-    spaces -> ``\\s+``, anchored.  ``exact`` alternates the mask's own rules
-    (groups inside them made non-capturing) before the catch-all ``.+?``."""
-    if exact:
-        alts = []
-        for r in as_rules(rules if rules is not None else DEFAULT_MASK_RULES):
-            if r.mask_with == "*":
-                p = r.pattern.replace("(?<", "(?<").replace("(?P<", "(?:(?P<")
-                alts.append(_noncapturing(p))
-        alts.append(".+?")
-        group = "(" + "|".join(alts) + ")"
-    else:
-        group = "(.+?)"
-    parts = F.split(template, r"<\*>", -1)
-    return F.concat(F.lit("^"), F.array_join(F.transform(parts, _escaped), group), F.lit("$"))
+    """O1: escaped literal parts, each mask one positional capture group,
+    spaces -> ``\\s+``, anchored."""
+    parts = F.transform(F.split(template, _slot(rules), -1), _escaped)
+    group = F.create_map(*[x for n in mask_names(rules) for x in (F.lit(n), F.lit(_group(n, exact, rules)))])
+    groups = F.transform(slot_names(template, rules), lambda n: F.element_at(group, n))
+    joined = F.zip_with(parts, groups, lambda p, g: F.concat(p, F.coalesce(g, F.lit(""))))
+    return F.concat(F.lit("^"), F.array_join(joined, ""), F.lit("$"))
 
 
 def _noncapturing(p: str) -> str:
-    """Turn plain ``(`` groups into ``(?:`` so only the slot groups capture;
-    back-references become ``(?:.+?)``."""
-    out, i = [], 0
-    import re as _re
-    p = _re.sub(r"\\(?!0)\d{1,2}", "(?:.+?)", p)
+    """The pattern with every plain or named group non-capturing, so that only
+    slots capture; back-references become ``(?:.+?)``."""
+    p = re.sub(r"\\(?!0)\d{1,2}|\\k<\w+>|\(\?P=\w+\)", "(?:.+?)", p)
+    out, i, in_class = [], 0, False
     while i < len(p):
         ch = p[i]
         if ch == "\\":
             out.append(p[i:i + 2])
             i += 2
             continue
-        if ch == "(" and not p.startswith("(?", i):
+        named = None if in_class else re.compile(r"\(\?P?<\w+>").match(p, i)
+        if named:
             out.append("(?:")
-        else:
-            out.append(ch)
+            i = named.end()
+            continue
+        in_class = ch == "[" or in_class and ch != "]"
+        out.append("(?:" if ch == "(" and not in_class and not p.startswith("(?", i) else ch)
         i += 1
     return "".join(out)
 
 
 def extract_params(lines: DataFrame, text_col: str = "text", template_col: str = "template",
-                   key_cols=("line_id",), exact: bool = False) -> DataFrame:
+                   key_cols=("line_id",), exact: bool = False, rules=None) -> DataFrame:
     """O2: (line, position, mask name, value) for lines whose text the
     template's regex matches.  Rows are sorted by template inside each task
     so the JVM compiles each pattern once per run of equal templates."""
-    df = (lines.withColumn("_pat", param_regex(F.col(template_col), exact))
-          .withColumn("_k", F.size(F.split(F.col(template_col), r"<\*>", -1)) - 1)
+    df = (lines.withColumn("_pat", param_regex(F.col(template_col), exact, rules))
+          .withColumn("_names", slot_names(F.col(template_col), rules)).withColumn("_k", F.size("_names"))
           .sortWithinPartitions("_pat")
           .where(F.expr(f"`{text_col}` RLIKE _pat") & (F.col("_k") > 0)))
-    caps = F.expr(f"transform(sequence(1, _k), i -> regexp_extract(`{text_col}`, _pat, i))")
-    return (df.select(*key_cols, template_col, F.posexplode(caps).alias("position", "value"))
-            .withColumn("mask_name", F.lit("*"))
-            .withColumn("position", F.col("position").cast("bigint")))
+    caps = F.expr(f"transform(_names, (n, i) -> struct(n AS mask_name, regexp_extract(`{text_col}`, _pat, i + 1) AS value))")
+    return (df.select(*key_cols, template_col, F.posexplode(caps).alias("position", "s"))
+            .select(*key_cols, template_col, F.col("position").cast("bigint").alias("position"), "s.value", "s.mask_name"))
 
 
 def param_profile(params: DataFrame, template_col: str = "template") -> DataFrame:

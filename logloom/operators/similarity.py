@@ -84,6 +84,25 @@ def score_pairs(pairs: DataFrame, measure: str = "lcs") -> DataFrame:
     return pairs.withColumn("score", MEASURES[measure](F.col("a_tokens"), F.col("b_tokens")))
 
 
+def _cosine_candidates(nodes: DataFrame, t: float) -> DataFrame:
+    """Pairs whose rare-first prefixes of token counts share a token.
+
+    With tokens in rare-first order, what follows the prefix has a norm below
+    t times the whole; two contents that share no prefix token have a cosine
+    below t.
+    """
+    counts = nodes.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("c"))
+    df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "token")
+    left = F.sum(F.col("c") * F.col("c")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    total = F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("id"))
+    prefix = (counts.join(df, "token").withColumn("left", left).withColumn("total", total)
+              .where(F.col("left") >= (t * t - 1e-9) * F.col("total")).select("id", "token"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    return (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")))
+            .select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")))
+
+
 def _prefix_candidates(nodes: DataFrame, measure: str, t_lb: float = MIN_DYNAMIC_THRESHOLD) -> DataFrame:
     """Pairs whose rare-first prefixes share a (token, occurrence)."""
     occ = (nodes.select("id", F.posexplode("tokens").alias("pos", "token"))
@@ -137,13 +156,10 @@ def similar_pairs(contents: DataFrame, measure: str = "lcs", sim_th: float = 0.0
     dedupe both orders can occur, so either passing orientation makes an edge.
     """
     nodes = contents.where(F.size("tokens") > 0)
-    t_lb = min(sim_th, MIN_DYNAMIC_THRESHOLD) if sim_th and sim_th > 0 else MIN_DYNAMIC_THRESHOLD
-    cand = _prefix_candidates(nodes, measure, t_lb)
+    t_lb = sim_th if sim_th and sim_th > 0 else MIN_DYNAMIC_THRESHOLD
+    cand = _cosine_candidates(nodes, t_lb) if measure == "cosine" else _prefix_candidates(nodes, measure, t_lb)
     if measure == "lcs":
         cand = cand.unionByName(_substring_candidates(nodes))
-    if measure == "cosine":
-        # token overlap is necessary for a positive cosine; blocked like jaccard
-        cand = _prefix_candidates(nodes, "jaccard", t_lb * t_lb)
     cand = cand.distinct()
     a = nodes.select(F.col("id").alias("a_id"), F.col("tokens").alias("a_tokens"),
                      F.col("min_line").alias("a_min"), F.col("max_line").alias("a_max"))
@@ -159,21 +175,26 @@ def similar_pairs(contents: DataFrame, measure: str = "lcs", sim_th: float = 0.0
     return scored.where(keep).select("a_id", "b_id", "score")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _edge_state(edges: DataFrame) -> tuple:
+    """Number of edges and sum of their hashes: equal before and after a round only at the fixpoint."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) where component is the smallest id reachable.
 
     Alternating large-star / small-star rounds (published label-contraction
-    algorithm for MapReduce-style systems).  Each round is two aggregates and
-    two joins over the edge table; the edge table is checkpointed into the
-    session's checkpoint directory every round, so lineage stays short and a
-    lost executor recomputes at most one round.
+    algorithm for MapReduce-style systems) until nothing changes; there is no
+    round limit.  Each round is two aggregates and two joins over the edge
+    table, checkpointed into the session's checkpoint directory, so lineage
+    stays short and a lost executor recomputes at most one round.  The test
+    for the fixpoint is one count and one sum.
     """
-    spark = nodes.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(nodes.sparkSession)
     e = (edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-         .where(F.col("a") != F.col("b")).distinct())
-    e = e.checkpoint()
-    for _ in range(max_rounds):
+         .where(F.col("a") != F.col("b")).distinct()).checkpoint()
+    state = _edge_state(e)
+    while state[0]:
         nbr = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         mn = nbr.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -181,12 +202,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
                  .select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b"))
                  .where(F.col("a") != F.col("b")).distinct())
         sm = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = (large.join(sm, "b").select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b"))
-                 .unionByName(sm.select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")))
-                 .where(F.col("a") != F.col("b")).distinct()).checkpoint()
-        changed = not (small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty())
-        e = small
-        if not changed:
+        e = (large.join(sm, "b").select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b"))
+             .unionByName(sm.select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")))
+             .where(F.col("a") != F.col("b")).distinct()).checkpoint()
+        before, state = state, _edge_state(e)
+        if state == before:
             break
     label = e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
     return (nodes.select("id").distinct().join(label, "id", "left")

@@ -39,8 +39,12 @@ def canonical_contents(distinct_masked: DataFrame) -> DataFrame:
     Different masked texts can share one canonical form (e.g. ``a,b`` and
     ``a , b``); weights and line spans add up.
     """
-    tok = tokenize(distinct_masked)
-    return (tok.groupBy("canon")
+    return collapse_canonical(tokenize(distinct_masked))
+
+
+def collapse_canonical(tokenized: DataFrame) -> DataFrame:
+    """One row per canonical text of a tokenized table of distinct contents."""
+    return (tokenized.groupBy("canon")
             .agg(F.first("tokens").alias("tokens"), F.sum("n").cast("bigint").alias("n"),
                  F.min("min_line").alias("min_line"), F.max("max_line").alias("max_line")))
 

@@ -19,8 +19,8 @@ from ..functions.masking import WILDCARD
 from ..operators import induction, merging
 from ..operators.preprocess import distinct_contents, preprocess
 from ..operators.similarity import similarity_clusters
-from ..operators.tokens import build_vocabulary, canonical_contents, materialize_vocab, static_keys
-from ..session import checkpoint_dir
+from ..operators.tokens import build_vocabulary, collapse_canonical, materialize_vocab, static_keys, tokenize
+from ..session import checkpoint_dir, written
 
 
 @dataclass
@@ -37,25 +37,30 @@ def _hash_cols(c: str):
 
 def cluster_contents(contents: DataFrame, vocab: DataFrame, measure="lcs", sim_th=0.0) -> DataFrame:
     """G1-G3 + L7/L8: attach ``cluster_key`` to every distinct content."""
-    keyed = static_keys(contents, vocab)
+    return cluster_keyed(static_keys(contents, vocab), measure, sim_th)
+
+
+def cluster_keyed(keyed: DataFrame, measure="lcs", sim_th=0.0) -> DataFrame:
+    """G2-G3 + L7/L8 on contents that have their static key; no content is left out."""
     normal = keyed.where(F.col("static_key") != WILDCARD).withColumn("cluster_key", F.col("static_key"))
     catch = keyed.where(F.col("static_key") == WILDCARD)
     empty = catch.where(F.size("tokens") == 0).withColumn("cluster_key", F.lit("<*>#empty"))
     rest = catch.where(F.size("tokens") > 0)
+    if rest.isEmpty():
+        return normal.unionByName(empty)
     comp = similarity_clusters(rest, measure, sim_th)
-    rest = rest.join(comp, "canon")
-    return normal.unionByName(empty).unionByName(rest)
+    return normal.unionByName(empty).unionByName(rest.join(comp, "canon"))
 
 
 def mine_templates(lines: DataFrame, vocab: DataFrame | None = None, regex=(), drop=(), rules=None,
                    decisions: DataFrame | None = None, measure="lcs", sim_th=0.0, merge=True,
                    min_df: int = 2, text_col: str = "line") -> MineResult:
     checkpoint_dir(lines.sparkSession)
-    masked = preprocess(lines.select("line_id", text_col), regex, drop, rules, text_col=text_col)
-    dm = distinct_contents(masked)
-    tok_map = dm.select("content", *_hash_cols("content"))
-    # materialisation point 1: distinct canonical contents
-    contents_m = canonical_contents(dm.select("content", "n", "min_line", "max_line")).checkpoint()
+    # materialisation point 1: masked lines, so that the mask chain runs once per line; a null line is an empty one
+    masked = written(preprocess(lines.select("line_id", F.coalesce(text_col, F.lit("")).alias(text_col)),
+                                regex, drop, rules, text_col=text_col).select("line_id", "content"))
+    tokenized = written(tokenize(distinct_contents(masked)))  # distinct contents (D6), tokenized once
+    contents_m = collapse_canonical(tokenized)
     vocab = materialize_vocab(build_vocabulary(contents_m, min_df) if vocab is None else vocab)
     # materialisation point 2: contents with their cluster (after the L8 loop)
     clustered = cluster_contents(contents_m, vocab, measure, sim_th).checkpoint()
@@ -68,9 +73,7 @@ def mine_templates(lines: DataFrame, vocab: DataFrame | None = None, regex=(), d
     catalog = induction.template_catalog(contents)
 
     # masked text -> canonical text -> template, then one join with the lines
-    from ..functions.tokenizer import tokenize_expr
-    canon_of = (dm.select("content").withColumn("canon", F.array_join(tokenize_expr("content"), " ")))
-    content_template = (canon_of.join(contents.select("canon", "template_key", "template"), "canon")
+    content_template = (tokenized.select("content", "canon").join(contents.select("canon", "template_key", "template"), "canon")
                         .select(*_hash_cols("content"), "template_key", "template"))
     line_keys = masked.select("line_id", *_hash_cols("content"))
     assignments = line_keys.join(content_template, ["h1", "h2"]).select("line_id", "template_key", "template")

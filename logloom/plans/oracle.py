@@ -85,6 +85,20 @@ def pipeline_ctes(lines_sql: str = EVENTS_LOG_SQL, regex=EVENTS_REGEX) -> list[t
     ]
 
 
+# Canonical contents per event type, known from how the lines are rendered: the
+# default masks leave the constant words, R0-R6 of a region and true / false.
+EVENTS_TEMPLATE_SQL = """CASE event_type WHEN 'click' THEN 'User <*> clicked on <*>' WHEN 'view' THEN 'Rendered <*> in <*>'
+ WHEN 'signup' THEN 'New account created : id = <*> , region = <*>' WHEN 'purchase' THEN 'Payment accepted amount = <*> ( order <*> )'
+ ELSE 'ERROR session <*> failed : code = <*> retry = <*>' END"""
+EVENTS_MASKED_SQL = """CASE event_type WHEN 'click' THEN 'User <*> clicked on <*>' WHEN 'view' THEN 'Rendered <*> in <*> <*>'
+ WHEN 'signup' THEN concat('New account created: id=<*>, region=R', event_id % 7)
+ WHEN 'purchase' THEN 'Payment accepted amount=<*> (order <*>)'
+ ELSE concat('ERROR session <*> failed: code=<*> retry=', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END) END"""
+EVENTS_CATALOG_SQL = f"""SELECT md5(template) AS template_key, template, CAST(count(*) AS BIGINT) AS n_lines,
+ CAST(count(DISTINCT masked) AS BIGINT) AS n_contents, CAST(min(event_id) AS BIGINT) AS first_line
+ FROM (SELECT event_id, {EVENTS_TEMPLATE_SQL} AS template, {EVENTS_MASKED_SQL} AS masked FROM events) GROUP BY template"""
+
+
 def with_pipeline(select: str, extra: list[tuple[str, str]] | None = None) -> str:
     ctes = pipeline_ctes() + (extra or [])
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in ctes) + "\n" + select

@@ -7,7 +7,7 @@ Column names and types agree between the two; floats are rounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokenizer as tk
@@ -17,7 +17,7 @@ from ..operators import induction, matching, merging, metrics, params, runs, sim
 from ..operators.preprocess import dataset_mask, distinct_contents, drop_patterns, mask_hits, mask_lines, preprocess
 from ..operators.tokens import (classified_tokens, identifier_tokens, token_table)
 from ..sources import raw_logs, tables
-from .oracle import _q, pipeline_ctes, with_pipeline
+from .oracle import EVENTS_CATALOG_SQL, EVENTS_MASKED_SQL, EVENTS_TEMPLATE_SQL, _q, with_pipeline
 from .settings import EVENTS_REGEX, NAMED_RULES
 from .vpipe import vpipe
 
@@ -222,9 +222,9 @@ def q_dataset_mask(spark, sf):
     return dataset_mask(pages, URL_MASK).select("page_id", "content")
 
 
-@query("mask_chain")
+@query("mask_chain", f"SELECT CAST(event_id AS BIGINT) AS line_id, {EVENTS_MASKED_SQL} AS content FROM events")
 def q_mask_chain(spark, sf):
-    """P3/P6 with the 13 default rules (lookbehind: Java only, rows-checked)."""
+    """P3/P6 with the 13 default rules; the oracle renders the masked lines from their columns."""
     lines = tables.events_log(spark, sf)
     return mask_lines(lines).select(F.col("line_id").cast("bigint").alias("line_id"), "content")
 
@@ -267,12 +267,11 @@ def q_distinct_content(spark, sf):
 
 
 # ------------------------------------------------------------- tokenizer ---
-DOC_LINES_SQL = ("SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents "
-                 "WHERE lang = 'en')")
+DOC_LINES_SQL = "SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
 def _doc_lines(spark, sf):
-    return tables.doc_lines(spark, sf).where("lang = 'en'").select("line").distinct()
+    return tables.doc_lines(spark, sf).select("line").distinct()
 
 
 def _doc_tokens(spark, sf):
@@ -288,7 +287,7 @@ DOC_TOKENS_SQL = (f"SELECT DISTINCT t FROM (SELECT unnest(string_split_regex(rep
 @query("tokens_basic", f"SELECT line, array_to_string(list_filter(string_split_regex(replace(line, ',', ', '), "
                        f"{_q(tk.WS_CLASS + '+')}), lambda x: x <> ''), ' ') AS basic FROM ({DOC_LINES_SQL})")
 def q_tokens_basic(spark, sf):
-    """Comma spacing and whitespace split, on English document lines."""
+    """Comma spacing and whitespace split, on document lines."""
     return _doc_lines(spark, sf).select("line", F.expr(
         f"array_join(filter(split(replace(line, ',', ', '), r'{tk.WS_CLASS}+'), x -> x <> ''), ' ')").alias("basic"))
 
@@ -310,14 +309,14 @@ def q_edge_punct(spark, sf):
 
 @query("kv_split", f"SELECT t, array_to_string({D.let('_m', 't', tk._kv_split(D, '_m'))}, ' ') AS pieces FROM ({DOC_TOKENS_SQL})")
 def q_kv_split(spark, sf):
-    """T4 on every distinct whitespace token of the English lines."""
+    """T4 on every distinct whitespace token of the document lines."""
     from ..functions.sqlexpr import SPARK as S
     return _doc_tokens(spark, sf).select("t", F.expr(f"array_join({S.let('_m', 't', tk._kv_split(S, '_m'))}, ' ')").alias("pieces"))
 
 
 @query("bracket_split", f"SELECT t, array_to_string({tk._bracket_split(D, 't')}, ' ') AS pieces FROM ({DOC_TOKENS_SQL})")
 def q_bracket_split(spark, sf):
-    """T5 on every distinct whitespace token of the English lines."""
+    """T5 on every distinct whitespace token of the document lines."""
     from ..functions.sqlexpr import SPARK as S
     return _doc_tokens(spark, sf).select("t", F.expr(f"array_join({tk._bracket_split(S, 't')}, ' ')").alias("pieces"))
 
@@ -346,7 +345,7 @@ def q_tokenize(spark, sf):
 
 @query("tokenize_text", f"SELECT line, array_to_string({tk.tokenize_sql(D, 'line')}, ' ') AS canon FROM ({DOC_LINES_SQL})")
 def q_tokenize_text(spark, sf):
-    """T9 on every distinct English document line (free text, whole lines)."""
+    """T9 on every distinct document line (free text, whole lines)."""
     return _doc_lines(spark, sf).select("line", F.array_join(tk.tokenize_expr("line"), " ").alias("canon"))
 
 
@@ -371,7 +370,7 @@ def q_static_tokens(spark, sf):
 @query("identifier_tokens", f"SELECT DISTINCT t AS token FROM ({DOC_TOKENS_SQL}) WHERE regexp_matches(t, '^[a-z]+(_[a-z]+)+$') "
                             f"OR regexp_matches(t, '^[a-zA-Z]+([A-Z][a-z0-9]+)+$')")
 def q_identifier_tokens(spark, sf):
-    """C7 over distinct English document tokens."""
+    """C7 over distinct document tokens."""
     toks = _doc_tokens(spark, sf).select(F.array(F.col("t")).alias("tokens"), F.lit("x").alias("canon"))
     return identifier_tokens(toks).select("token").distinct()
 
@@ -408,14 +407,13 @@ def q_length_profile(spark, sf):
                                        "WHERE path = 'single'"))
 def q_single_content(spark, sf):
     """A cluster with one distinct content is its own template."""
-    c = vpipe(spark, sf).clusters
-    p = induction.length_profile(c).where("path = 'single'").select("cluster_key")
-    return c.join(p, "cluster_key").select("cluster_key", F.col("canon").alias("template"))
+    return induction.single_content(vpipe(spark, sf).clusters).select("cluster_key", "template")
 
 
 def _pos_stats(spark, sf):
     v = vpipe(spark, sf)
-    same = v.clusters.join(induction.length_profile(v.clusters).where("path = 'same'").select("cluster_key"), "cluster_key")
+    c = v.clusters
+    same = c.join(induction.length_profile(c).where("path = 'same'").select("cluster_key"), "cluster_key")
     return induction.position_entropy(same, v.vocab)
 
 
@@ -450,10 +448,10 @@ def q_assemble_template(spark, sf):
 def q_unique_fallback(spark, sf):
     """Undecided clusters -> one template per distinct wildcarded content."""
     v = vpipe(spark, sf)
-    same = v.clusters.join(induction.length_profile(v.clusters).where("path = 'same'").select("cluster_key"), "cluster_key")
+    c = v.clusters
+    same = c.join(induction.length_profile(c).where("path = 'same'").select("cluster_key"), "cluster_key")
     a = induction.assemble(induction.position_decision(induction.position_entropy(same, v.vocab)))
-    w = induction.wildcarded(same.join(a.where("NOT all_decided"), "cluster_key"))
-    return w.select("cluster_key", "canon", F.col("wcontent").alias("template"))
+    return induction.unique_fallback(induction.wildcarded(same.join(a.where("NOT all_decided").drop("template"), "cluster_key")), "wcontent")
 
 
 @query("arbitration_queue", with_pipeline("""
@@ -479,53 +477,32 @@ SELECT cluster_key, canon, canon AS template FROM (
 WHERE top * types >= tot"""))
 def q_frequency_split(spark, sf):
     """I12 (the reference never calls it): split when top share >= 1/types."""
-    c = vpipe(spark, sf).clusters
-    w = Window.partitionBy("cluster_key")
-    s = (c.withColumn("types", F.count(F.lit(1)).over(w)).withColumn("tot", F.sum("n").over(w))
-         .withColumn("top", F.max("n").over(w)))
-    return s.where(F.col("top") * F.col("types") >= F.col("tot")).select("cluster_key", "canon", F.col("canon").alias("template"))
-
-
-ANSWERS_SQL_TAIL = ("concat('Output-1: {\"position\": 1, \"result\": \"variable\"}\\nOutput-2: {\"template\": \"', "
-                    "CASE WHEN n_contents % 2 = 0 THEN '' ELSE first_content END, '\"}')")
+    return induction.frequency_split(vpipe(spark, sf).clusters)
 
 
 @query("read_decisions", with_pipeline(
-    "SELECT cluster_key, coalesce(CASE WHEN len(m) > 0 THEN json_extract_string(m[len(m)], '$.template') END, '') AS template "
-    "FROM (SELECT cluster_key, regexp_extract_all(answer, '\\{[^{}]*\\}') AS m FROM answers)",
-    [("answers", "SELECT cluster_key, concat('Output-1: {\"position\": 1, \"result\": \"variable\"} Output-2: {\"template\": \"', "
-                 "CASE WHEN n_contents % 2 = 0 THEN '' ELSE replace(fc, '\"', '') END, '\"}') AS answer FROM "
-                 "(SELECT cluster_key, count(*) AS n_contents, arg_min(canon, min_line) AS fc FROM clusters GROUP BY cluster_key)")]))
+    "SELECT cluster_key, CASE WHEN n_contents % 2 = 0 THEN '' ELSE concat('{', replace(fc, '\"', ''), '}') END AS template FROM "
+    "(SELECT cluster_key, count(*) AS n_contents, arg_min(canon, min_line) AS fc FROM clusters GROUP BY cluster_key)"))
 def q_read_decisions(spark, sf):
-    """Last flat JSON object of an answer text -> template ('' = not one)."""
+    """Last balanced JSON object of an answer (braces inside it, and after it) -> template ('' = none)."""
     c = vpipe(spark, sf).clusters
     ans = (c.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("n_contents"), F.min_by("canon", "min_line").alias("fc"))
            .select("cluster_key", F.concat(
-               F.lit('Output-1: {"position": 1, "result": "variable"} Output-2: {"template": "'),
-               F.when(F.col("n_contents") % 2 == 0, F.lit("")).otherwise(F.regexp_replace("fc", '"', "")),
-               F.lit('"}')).alias("answer")))
+               F.lit('} Output-1: {"position": 1, "result": "variable"} Output-2: {"why": {"a": {}}, "template": "'),
+               F.when(F.col("n_contents") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("{"), F.regexp_replace("fc", '"', ""), F.lit("}"))),
+               F.lit('"} } end {')).alias("answer")))
     return induction.read_decisions(ans)
 
 
-_MEMO: dict = {}
-
-
-def _induce_same(spark, sf, decisions=False):
-    key = (id(spark), sf, decisions)
-    if key not in _MEMO:
-        _MEMO[key] = _induce_same_build(spark, sf, decisions).checkpoint()
-    return _MEMO[key]
-
-
-def _induce_same_build(spark, sf, decisions=False):
-    v = vpipe(spark, sf)
-    prof = induction.length_profile(v.clusters).where("path <> 'mixed'").select("cluster_key")
-    c = v.clusters.join(prof, "cluster_key")
+def _induced(v, decisions=False):
+    """Every content with its template and cluster (single, same-length and mixed clusters)."""
+    c = v.clusters
     dec = None
     if decisions:
         dec = (c.groupBy("cluster_key").agg(F.min_by("canon", "min_line").alias("fc"), F.count(F.lit(1)).alias("k"))
                .select("cluster_key", F.when(F.col("k") % 3 == 0, F.col("fc")).otherwise(F.lit("")).alias("template")))
-    return induction.induce(c, v.vocab, dec)
+    out = induction.induce(c, v.vocab, dec)
+    return out.join(c.select("cluster_key", "canon", "n", "min_line"), ["cluster_key", "canon"]).checkpoint()
 
 
 _INDUCE_SAME_SQL = """
@@ -536,7 +513,7 @@ UNION ALL SELECT cluster_key, canon, CASE WHEN all_decided THEN asm_template ELS
 @query("induce_templates", with_pipeline(_INDUCE_SAME_SQL))
 def q_induce_templates(spark, sf):
     """I1-I6 + I11: template of every content in single/same-length clusters."""
-    return _induce_same(spark, sf).select("cluster_key", "canon", "template")
+    return _induced(vpipe(spark, sf)).select("cluster_key", "canon", "template")
 
 
 @query("apply_decisions", with_pipeline("""
@@ -547,7 +524,7 @@ UNION ALL SELECT wc.cluster_key, canon, CASE WHEN all_decided THEN asm_template
               "FROM clusters JOIN prof USING (cluster_key) WHERE path <> 'mixed' GROUP BY cluster_key")]))
 def q_apply_decisions(spark, sf):
     """A non-empty decision names the cluster's template; empty -> I11."""
-    return _induce_same(spark, sf, decisions=True).select("cluster_key", "canon", "template")
+    return _induced(vpipe(spark, sf), decisions=True).select("cluster_key", "canon", "template")
 
 
 @query("template_catalog", with_pipeline(f"""
@@ -556,9 +533,7 @@ SELECT md5(template) AS template_key, template, CAST(sum(n) AS BIGINT) AS n_line
  JOIN clusters c USING (cluster_key, canon)) GROUP BY template"""))
 def q_template_catalog(spark, sf):
     """I14 over the induced templates."""
-    v = vpipe(spark, sf)
-    ind = _induce_same(spark, sf).join(v.clusters.select("cluster_key", "canon", "n", "min_line"), ["cluster_key", "canon"])
-    return induction.template_catalog(ind).select("template_key", "template", *_bigint("n_lines", "n_contents", "first_line"))
+    return induction.template_catalog(_induced(vpipe(spark, sf))).select("template_key", "template", *_bigint("n_lines", "n_contents", "first_line"))
 
 
 @query("align_template")
@@ -578,42 +553,50 @@ def _mine(spark, sf, view="events"):
     return mine_templates(lines)
 
 
-@query("mine_templates")
+@query("mine_templates", EVENTS_CATALOG_SQL)
 def q_mine_templates(spark, sf):
     """The full miner with the default mask chain; the template catalog."""
     return _mine(spark, sf).catalog
 
 
-@query("line_templates")
+@query("line_templates", f"SELECT CAST(event_id AS BIGINT) AS line_id, md5(template) AS event_id, template FROM "
+                         f"(SELECT event_id, {EVENTS_TEMPLATE_SQL} AS template FROM events)")
 def q_line_templates(spark, sf):
     """One (line_id, event_id, template) per line."""
     from .mine import line_templates
     return line_templates(_mine(spark, sf))
 
 
-@query("events_quality")
+_PERFECT = "1.0::DOUBLE"
+
+
+@query("events_quality", "SELECT " + ", ".join(f"{_PERFECT} AS {c}" for c in ("ga", "pga", "rga", "fga", "pa", "pta", "rta", "fta")) +
+       ", CAST(count(DISTINCT event_type) AS BIGINT) AS n_templates, CAST(count(DISTINCT event_type) AS BIGINT) AS n_truth, "
+       "CAST(count(*) AS BIGINT) AS n_lines FROM events")
 def q_events_quality(spark, sf):
     """E1-E5 of the full miner against the true events templates."""
     from .mine import line_templates
     return metrics.score(line_templates(_mine(spark, sf)), tables.events_truth(spark, sf))
 
 
-@query("orders_templates")
+@query("orders_templates", """SELECT md5(template) AS template_key, template, CAST(count(*) AS BIGINT) AS n_lines,
+ CAST(1 AS BIGINT) AS n_contents, CAST(min(o_orderkey) AS BIGINT) AS first_line
+ FROM (SELECT o_orderkey, concat('Order <*> for customer <*> status ', o_orderstatus) AS template FROM orders) GROUP BY template""")
 def q_orders_templates(spark, sf):
     return _mine(spark, sf, "orders").catalog
 
 
-@query("lineitem_templates")
+@query("lineitem_templates", """SELECT md5(template) AS template_key, template, CAST(count(*) AS BIGINT) AS n_lines, CAST(1 AS BIGINT) AS n_contents
+ FROM (SELECT concat('Shipped <*> units of part <*> from supplier <*> flag ', l_returnflag, ' state ', l_linestatus) AS template FROM lineitem)
+ GROUP BY template""")
 def q_lineitem_templates(spark, sf):
-    """Volume run: the full miner over every lineitem row."""
-    return _mine(spark, sf, "lineitem").catalog
+    """Volume run: the full miner over every lineitem row (its line ids follow the scan, so they are not returned)."""
+    return _mine(spark, sf, "lineitem").catalog.drop("first_line")
 
 
 # -------------------------------------------------------- match and merge ---
-def _induced_catalog(spark, sf):
-    v = vpipe(spark, sf)
-    ind = _induce_same(spark, sf).join(v.clusters.select("cluster_key", "canon", "n", "min_line"), ["cluster_key", "canon"])
-    return induction.template_catalog(ind)
+def _induced_catalog(v):
+    return induction.template_catalog(_induced(v))
 
 
 _K_PAD = 9  # oracle only: DuckDB reads at most 9 groups with constant numbers, so patterns are padded to 9
@@ -629,8 +612,9 @@ def _h1_duck(content: str, template: str) -> str:
 def _h1_oracle(pairs_sql: str, content: str, template: str, ids: str) -> str:
     caps = ", ".join(f"regexp_extract({content}, _pat || repeat('()', {_K_PAD} - _k), {i})" for i in range(1, _K_PAD + 1))
     return f"""
-h1p AS (SELECT *, {_h1_duck(content, template)} AS _pat, len(string_split({template}, '<*>')) - 1 AS _k FROM ({pairs_sql})),
-h1m AS (SELECT * FROM h1p WHERE regexp_matches({content}, _pat)),
+h1p AS MATERIALIZED (SELECT *, {_h1_duck(content, template)} AS _pat, len(string_split({template}, '<*>')) - 1 AS _k FROM ({pairs_sql})
+ WHERE starts_with({content}, string_split({template}, '<*>')[1])),
+h1m AS MATERIALIZED (SELECT * FROM h1p WHERE regexp_matches({content}, _pat)),
 h1v AS (SELECT {ids}, unnest([{caps}][1:_k]) AS v FROM h1m),
 h1c AS (SELECT {ids}, unnest(string_split_regex(v, '\\s+')) AS tok FROM h1v),
 h1bad AS (SELECT DISTINCT {ids} FROM h1c WHERE tok <> '' AND (regexp_matches(tok, '^\\p{{L}}+$') OR tok IN (',', '.', ';', ':'))
@@ -645,8 +629,8 @@ _CAT_SQL = (f"SELECT md5(template) AS template_key, template FROM (SELECT DISTIN
 def q_template_match(spark, sf):
     """H1 for every (content, induced template) pair of the events pipeline."""
     v = vpipe(spark, sf)
-    cat = _induced_catalog(spark, sf).select("template")
-    pairs = v.cc.select("canon").join(F.broadcast(cat), how="cross")
+    cat = _induced_catalog(v).checkpoint()
+    pairs = matching.candidates(v.cc.select("canon", "tokens"), cat)
     return matching.template_match(pairs, v.vocab, content_col="canon", id_cols=("canon", "template")).select("canon", "template")
 
 
@@ -676,9 +660,9 @@ def _match_oracle(select):
 
 @query("match_catalog")
 def q_match_catalog(spark, sf):
-    """H2: orders contents matched against the events + orders catalogs."""
+    """H2: event contents matched against the induced event templates."""
     v = vpipe(spark, sf)
-    cat = _induced_catalog(spark, sf)
+    cat = _induced_catalog(v)
     return matching.match_catalog(v.cc.select("canon", "tokens"), cat, v.vocab)
 
 
@@ -689,7 +673,7 @@ ORACLES["match_catalog"] = _match_oracle("SELECT canon, template_key, template F
 def q_unmatched_lines(spark, sf):
     """H3: event contents no induced template answers."""
     v = vpipe(spark, sf)
-    m = matching.match_catalog(v.cc.select("canon", "tokens"), _induced_catalog(spark, sf), v.vocab)
+    m = matching.match_catalog(v.cc.select("canon", "tokens"), _induced_catalog(v), v.vocab)
     return matching.unmatched(v.cc.select("canon", F.col("n").cast("bigint")), m)
 
 
@@ -753,12 +737,12 @@ def q_merge_templates(spark, sf):
 
 # ------------------------------------------------------------ similarity ---
 BENCH_NODES_SQL = ("SELECT doc_id AS id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS tokens "
-                   "FROM documents WHERE lang = 'en'")
+                   "FROM documents")
 
 
 def _bench_nodes(spark, sf):
-    """English documents as token lists (they hold exact and near copies)."""
-    b = tables.read_table(spark, sf, "documents").where("lang = 'en'")
+    """Documents as token lists (they hold exact and near copies)."""
+    b = tables.read_table(spark, sf, "documents")
     return b.select(F.col("doc_id").alias("id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("tokens"),
                     F.col("doc_id").alias("min_line"), F.col("doc_id").alias("max_line"))
 
@@ -772,30 +756,34 @@ def q_dynamic_threshold(spark, sf):
                      F.round(similarity.dynamic_threshold(F.size("tokens")), 6).alias("threshold")).distinct()
 
 
+_JACC_CTES = f"""nodes AS MATERIALIZED ({BENCH_NODES_SQL}),
+tk AS MATERIALIZED (SELECT id, unnest(list_distinct(tokens)) AS t FROM nodes),
+sz AS MATERIALIZED (SELECT id, len(list_distinct(tokens)) AS d, len(tokens) AS n FROM nodes),
+sc AS MATERIALIZED (SELECT a_id, b_id, c / (x.d + y.d - c) AS score, x.n AS an, y.n AS bn FROM
+ (SELECT a.id AS a_id, b.id AS b_id, count(*) AS c FROM tk a JOIN tk b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
+ JOIN sz x ON x.id = a_id JOIN sz y ON y.id = b_id)"""
 _JACC_DUCK = ("CASE WHEN len(list_distinct(list_concat(a.tokens, b.tokens))) = 0 THEN 0.0 ELSE "
               "len(list_intersect(list_distinct(a.tokens), list_distinct(b.tokens))) / len(list_distinct(list_concat(a.tokens, b.tokens))) END")
 
 
-@query("jaccard_similarity", f"""WITH nodes AS ({BENCH_NODES_SQL})
-SELECT CAST(a.id AS BIGINT) AS a_id, CAST(b.id AS BIGINT) AS b_id, round({_JACC_DUCK}, 6) AS score
-FROM nodes a JOIN nodes b ON a.id < b.id WHERE {_JACC_DUCK} >= 0.2""")
+@query("jaccard_similarity", f"""WITH {_JACC_CTES}
+SELECT CAST(a_id AS BIGINT) AS a_id, CAST(b_id AS BIGINT) AS b_id, round(score, 6) AS score FROM sc WHERE score >= 0.2""")
 def q_jaccard_similarity(spark, sf):
     """L3 with a fixed threshold of 0.2 (L6): prefix-filtered pairs."""
     p = similarity.similar_pairs(_bench_nodes(spark, sf), "jaccard", 0.2)
     return p.select(F.col("a_id").cast("bigint"), F.col("b_id").cast("bigint"), F.round("score", 6).alias("score"))
 
 
-@query("similar_pairs", f"""WITH nodes AS ({BENCH_NODES_SQL})
-SELECT CAST(a.id AS BIGINT) AS a_id, CAST(b.id AS BIGINT) AS b_id FROM nodes a JOIN nodes b ON a.id < b.id
-WHERE {_JACC_DUCK} >= 1 - log2(len(a.tokens)) / len(a.tokens) OR {_JACC_DUCK} >= 1 - log2(len(b.tokens)) / len(b.tokens)""")
+@query("similar_pairs", f"""WITH {_JACC_CTES}
+SELECT CAST(a_id AS BIGINT) AS a_id, CAST(b_id AS BIGINT) AS b_id FROM sc WHERE score >= 1 - log2(an) / an OR score >= 1 - log2(bn) / bn""")
 def q_similar_pairs(spark, sf):
     """L7 with Jaccard and the dynamic threshold (either orientation)."""
     p = similarity.similar_pairs(_bench_nodes(spark, sf), "jaccard", 0.0)
     return p.select(F.col("a_id").cast("bigint"), F.col("b_id").cast("bigint"))
 
 
-@query("fixed_threshold", f"""WITH nodes AS ({BENCH_NODES_SQL})
-SELECT CAST(a.id AS BIGINT) AS a_id, CAST(b.id AS BIGINT) AS b_id FROM nodes a JOIN nodes b ON a.id < b.id WHERE {_JACC_DUCK} >= 0.3""")
+@query("fixed_threshold", f"""WITH {_JACC_CTES}
+SELECT CAST(a_id AS BIGINT) AS a_id, CAST(b_id AS BIGINT) AS b_id FROM sc WHERE score >= 0.3""")
 def q_fixed_threshold(spark, sf):
     """Fixed similarity threshold 0.3."""
     p = similarity.similar_pairs(_bench_nodes(spark, sf), "jaccard", 0.3)
@@ -830,32 +818,25 @@ def q_lcs_similarity(spark, sf):
     return p.select(F.col("a_id").alias("a_canon"), F.col("b_id").alias("b_canon"), F.round("score", 6).alias("score"))
 
 
-_COS_DUCK = ("list_sum(list_transform(list_distinct(list_concat(a.tokens, b.tokens)), lambda k: "
-             "len(list_filter(a.tokens, lambda x: x = k)) * len(list_filter(b.tokens, lambda x: x = k)))) / "
-             "sqrt(list_sum(list_transform(list_distinct(a.tokens), lambda k: len(list_filter(a.tokens, lambda x: x = k)) ^ 2)) * "
-             "list_sum(list_transform(list_distinct(b.tokens), lambda k: len(list_filter(b.tokens, lambda x: x = k)) ^ 2)))")
-
-
-@query("cosine_similarity", f"""WITH nodes AS ({BENCH_NODES_SQL})
-SELECT CAST(a.id AS BIGINT) AS a_id, CAST(b.id AS BIGINT) AS b_id, round({_COS_DUCK}, 6) AS score
-FROM nodes a JOIN nodes b ON a.id < b.id WHERE {_JACC_DUCK} >= 0.2""")
+@query("cosine_similarity", f"""WITH nodes AS MATERIALIZED ({BENCH_NODES_SQL}),
+tc AS MATERIALIZED (SELECT id, t, count(*) AS c FROM (SELECT id, unnest(tokens) AS t FROM nodes) GROUP BY id, t),
+nm AS MATERIALIZED (SELECT id, sqrt(sum(c * c)) AS n FROM tc GROUP BY id),
+dots AS (SELECT a.id AS a_id, b.id AS b_id, sum(a.c * b.c) AS dot FROM tc a JOIN tc b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
+SELECT CAST(a_id AS BIGINT) AS a_id, CAST(b_id AS BIGINT) AS b_id, round(dot / (x.n * y.n), 6) AS score
+FROM dots JOIN nm x ON x.id = a_id JOIN nm y ON y.id = b_id WHERE dot / (x.n * y.n) >= 0.9""")
 def q_cosine_similarity(spark, sf):
-    """L4 (extension, real token-count cosine) scored on the Jaccard >= 0.2 pairs."""
-    nodes = _bench_nodes(spark, sf)
-    p = similarity.similar_pairs(nodes, "jaccard", 0.2).select("a_id", "b_id")
-    a = nodes.select(F.col("id").alias("a_id"), F.col("tokens").alias("a_tokens"))
-    b = nodes.select(F.col("id").alias("b_id"), F.col("tokens").alias("b_tokens"))
-    sc = similarity.score_pairs(p.join(a, "a_id").join(b, "b_id"), "cosine")
-    return sc.select(F.col("a_id").cast("bigint"), F.col("b_id").cast("bigint"), F.round("score", 6).alias("score"))
+    """L4 (extension, real token-count cosine): pairs of documents at 0.9 or more."""
+    p = similarity.similar_pairs(_bench_nodes(spark, sf), "cosine", 0.9)
+    return p.select(F.col("a_id").cast("bigint"), F.col("b_id").cast("bigint"), F.round("score", 6).alias("score"))
 
 
-@query("components", f"""WITH RECURSIVE nodes AS ({BENCH_NODES_SQL}),
-e AS (SELECT a.id AS s, b.id AS d FROM nodes a JOIN nodes b ON a.id < b.id WHERE {_JACC_DUCK} >= 0.2),
-u AS (SELECT s, d FROM e UNION SELECT d, s FROM e UNION SELECT id, id FROM nodes),
+@query("components", f"""WITH RECURSIVE {_JACC_CTES},
+e AS MATERIALIZED (SELECT a_id AS s, b_id AS d FROM sc WHERE score >= 0.2),
+u AS MATERIALIZED (SELECT s, d FROM e UNION SELECT d, s FROM e UNION SELECT id, id FROM nodes),
 r(id, c) AS (SELECT s, d FROM u UNION SELECT r.id, u.d FROM r JOIN u ON r.c = u.s)
 SELECT CAST(id AS BIGINT) AS id, CAST(min(c) AS BIGINT) AS component FROM r GROUP BY id""")
 def q_components(spark, sf):
-    """L8 over the Jaccard >= 0.2 graph of the benchmark passages."""
+    """L8 over the Jaccard >= 0.2 graph of the documents."""
     nodes = _bench_nodes(spark, sf)
     e = similarity.similar_pairs(nodes, "jaccard", 0.2).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
     return similarity.components(nodes, e).select(F.col("id").cast("bigint"), F.col("component").cast("bigint"))
@@ -863,7 +844,7 @@ def q_components(spark, sf):
 
 @query("similarity_clusters")
 def q_similarity_clusters(spark, sf):
-    """G3 -> L7 -> L8 on catch-all English document lines (rows-checked)."""
+    """G3 -> L7 -> L8 on conversation turns (rows-checked)."""
     from .mine import cluster_contents
     from ..operators.tokens import build_vocabulary, canonical_contents, materialize_vocab
     lines = tables.read_table(spark, sf, "conversations").select(
@@ -881,7 +862,7 @@ _PARAM_RE_DUCK = ("'^' || array_to_string(list_transform(string_split(template,
 @query("param_regex", with_pipeline(f"SELECT template, {_PARAM_RE_DUCK} AS regex FROM (SELECT DISTINCT template FROM ({_INDUCE_SAME_SQL}))"))
 def q_param_regex(spark, sf):
     """O1 for every induced template."""
-    t = _induce_same(spark, sf).select("template").distinct()
+    t = _induced(vpipe(spark, sf)).select("template").distinct()
     return t.select("template", params.param_regex(F.col("template")).alias("regex"))
 
 
@@ -892,7 +873,7 @@ _PARAM_LINES_SQL = (f"SELECT m.line_id, i.template, array_to_string({tk.tokenize
 
 def _param_lines(spark, sf):
     v = vpipe(spark, sf)
-    ind = _induce_same(spark, sf).select("canon", "template")
+    ind = _induced(v).select("canon", "template")
     canon_of = v.dm.select("content", F.array_join(tk.tokenize_expr("content"), " ").alias("canon"))
     return (v.masked.select("line_id", "content").join(canon_of, "content").join(ind, "canon")
             .join(v.lines.select("line_id", "line"), "line_id")
@@ -1005,7 +986,8 @@ def q_occurrence(spark, sf):
     return metrics.occurrence(vpipe(spark, sf).truth).withColumn("occurrence", F.col("occurrence").cast("bigint"))
 
 
-@query("run_summary")
+@query("run_summary", f"SELECT 'events' AS dataset, {_PERFECT} AS ga, {_PERFECT} AS pa, {_PERFECT} AS fga, {_PERFECT} AS fta, "
+                      "CAST(count(*) AS BIGINT) AS n_lines, CAST(count(DISTINCT event_type) AS BIGINT) AS n_templates FROM events")
 def q_run_summary(spark, sf):
     """E7 without timings: the summary row of the full events run."""
     from .mine import line_templates
@@ -1014,26 +996,35 @@ def q_run_summary(spark, sf):
 
 
 # ------------------------------------------------------------- streaming ---
-@query("stream_mine")
+@query("stream_mine", f"SELECT template_key, template, n_lines, first_line FROM ({EVENTS_CATALOG_SQL})")
 def q_stream_mine(spark, sf):
     """events_log replayed as a file stream in two chunks; final catalog."""
     from ..streaming.incremental import replay_stream
     return replay_stream(spark, tables.events_log(spark, sf), chunks=2)
 
 
-@query("resolve_alias", """
-WITH RECURSIVE a AS (SELECT DISTINCT o_orderstatus AS old_key, 'status-' || o_orderstatus AS new_key FROM orders
- UNION ALL SELECT DISTINCT 'status-' || o_orderstatus, 'final-' || CAST(length(o_orderstatus) AS STRING) FROM orders),
-r(k, target, depth) AS (SELECT old_key, new_key, 1 FROM a UNION ALL SELECT r.k, a.new_key, depth + 1 FROM r JOIN a ON r.target = a.old_key),
-fin AS (SELECT k, arg_max(target, depth) AS target FROM r GROUP BY k)
-SELECT CAST(o.o_orderkey AS BIGINT) AS line_id, coalesce(f.target, o.o_orderstatus) AS template_key FROM orders o LEFT JOIN fin f ON f.k = o.o_orderstatus""")
+# batch -> aliases written in it: F is merged in batch 1, created again, merged in
+# batch 2 elsewhere; batch 3 merges O into F and what F became back into F.
+ALIASES = [(1, "F", "A"), (1, "P", "B"), (2, "F", "C"), (2, "A", "C"), (3, "C", "F"), (3, "O", "F"), (4, "B", "P")]
+_BATCH = "o_orderkey % 5"
+
+
+def _alias_oracle() -> str:
+    """Folds the batches one after the other over every line assigned up to then."""
+    rows = ", ".join(f"({b}, '{o}', '{n}')" for b, o, n in ALIASES)
+    cur = f"SELECT CAST(o_orderkey AS BIGINT) AS line_id, {_BATCH} AS b, o_orderstatus AS k FROM orders"
+    for i in sorted({b for b, *_ in ALIASES}):
+        cur = (f"SELECT line_id, b, CASE WHEN b <= {i} THEN coalesce(n, k) ELSE k END AS k FROM ({cur}) c "
+               f"LEFT JOIN (SELECT o, n FROM al WHERE ab = {i}) x ON x.o = c.k")
+    return f"WITH al AS (SELECT * FROM (VALUES {rows}) AS v(ab, o, n)) SELECT line_id, k AS template_key FROM ({cur})"
+
+
+@query("resolve_alias", _alias_oracle())
 def q_resolve_alias(spark, sf):
-    """Z3: assignments rewritten through chained aliases (old -> new -> newer)."""
+    """Z3: assignments of five batches through aliases written in batch order."""
     from ..streaming.incremental import resolve_alias
     orders = tables.read_table(spark, sf, "orders")
-    st = orders.select("o_orderstatus").distinct()
-    alias = st.select(F.col("o_orderstatus").alias("old_key"), F.concat(F.lit("status-"), "o_orderstatus").alias("new_key")).unionByName(
-        st.select(F.concat(F.lit("status-"), "o_orderstatus").alias("old_key"),
-                  F.concat(F.lit("final-"), F.length("o_orderstatus").cast("string")).alias("new_key")))
-    assign = orders.select(F.col("o_orderkey").cast("bigint").alias("line_id"), F.col("o_orderstatus").alias("template_key"))
+    alias = spark.createDataFrame(ALIASES, "batch long, old_key string, new_key string")
+    assign = orders.select(F.col("o_orderkey").cast("bigint").alias("line_id"), F.col("o_orderstatus").alias("template_key"),
+                           F.expr(_BATCH).cast("bigint").alias("batch"))
     return resolve_alias(assign, alias)

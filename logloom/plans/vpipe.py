@@ -2,7 +2,8 @@
 
 events_log -> P2 dataset regexes (no lookaround, no default chain) ->
 distinct -> tokenize -> canonical dedupe -> vocabulary -> static keys ->
-static-key clusters.  Each stage is an operator from ``logloom.operators``.
+static-key clusters, and similarity components of the catch-all contents.
+Each stage is an operator from ``logloom.operators``.
 """
 
 from __future__ import annotations
@@ -10,12 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.masking import WILDCARD
 from ..operators.preprocess import distinct_contents, preprocess
 from ..operators.tokens import build_vocabulary, canonical_contents, materialize_vocab, static_keys
 from ..sources import tables
+from .mine import cluster_keyed
 from .settings import EVENTS_REGEX
 
 
@@ -27,22 +27,16 @@ class VPipe:
     cc: DataFrame
     vocab: DataFrame
     keyed: DataFrame
-    clusters: DataFrame
     truth: DataFrame
 
-
-_CACHE: dict = {}
+    @property
+    def clusters(self) -> DataFrame:
+        """All contents with their cluster, catch-all contents included."""
+        return cluster_keyed(self.keyed).select("cluster_key", "canon", "tokens", "n", "min_line", "max_line").checkpoint()
 
 
 def vpipe(spark: SparkSession, sf_dir: str) -> VPipe:
-    """Build (once per session and data folder) the checkpointed pipeline."""
-    key = (id(spark), sf_dir)
-    if key not in _CACHE:
-        _CACHE[key] = _build(spark, sf_dir)
-    return _CACHE[key]
-
-
-def _build(spark: SparkSession, sf_dir: str) -> VPipe:
+    """Build the pipeline; every query builds its own."""
     from ..session import checkpoint_dir
     checkpoint_dir(spark)
     lines = tables.events_log(spark, sf_dir)
@@ -51,6 +45,4 @@ def _build(spark: SparkSession, sf_dir: str) -> VPipe:
     cc = canonical_contents(dm).checkpoint()  # materialisation point after dedupe (D6)
     vocab = materialize_vocab(build_vocabulary(cc))
     keyed = static_keys(cc, vocab).checkpoint()
-    clusters = (keyed.where(F.col("static_key") != WILDCARD)
-                .select(F.col("static_key").alias("cluster_key"), "canon", "tokens", "n", "min_line", "max_line"))
-    return VPipe(lines, masked, dm, cc, vocab, keyed, clusters, tables.events_truth(spark, sf_dir))
+    return VPipe(lines, masked, dm, cc, vocab, keyed, tables.events_truth(spark, sf_dir))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "logloom") -> SparkSession:
@@ -33,7 +34,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is.  Only when it is unset (local tests) do we create a scratch folder.
+    is.  Only when it is unset on a local master (tests) do we create a scratch
+    folder; on any other master that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +43,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="logloom-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet under the checkpoint directory and read it back.
+
+    For wide or line-level tables: column-encoded and readable by column, where
+    ``checkpoint()`` keeps plain rows.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

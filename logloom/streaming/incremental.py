@@ -19,48 +19,75 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
-from ..functions.tokenizer import tokenize_expr
 from ..operators import induction, merging
 from ..operators.matching import match_catalog, unmatched
 from ..operators.preprocess import distinct_contents, preprocess
-from ..operators.tokens import canonical_contents, materialize_vocab
-from ..session import checkpoint_dir
+from ..operators.tokens import canonical_contents, collapse_canonical, materialize_vocab, tokenize
+from ..session import checkpoint_dir, written
 
 
-def _read_batches(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+STATE_SCHEMAS = {
+    "catalog": "template string, n_lines bigint, first_line bigint, template_key string, batch bigint",
+    "assign": "line_id bigint, template_key string, batch bigint",
+    "alias": "old_key string, new_key string, batch bigint",
+}
+
+
+def _read_batches(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
+    """All batches of a state table; no rows only if its folder does not exist yet.
+
+    The schema is given, so a folder that a failed batch left empty reads as
+    empty, and any other failure is raised.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(state_dir, name))  # noqa: SLF001
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # noqa: SLF001
+        return spark.createDataFrame([], STATE_SCHEMAS[name])
+    return spark.read.schema(STATE_SCHEMAS[name]).parquet(os.path.join(state_dir, name))
 
 
 def load_catalog(spark: SparkSession, state_dir: str, before_batch: int) -> DataFrame | None:
     """The catalog written by the largest batch id below ``before_batch``."""
-    cat = _read_batches(spark, os.path.join(state_dir, "catalog"))
-    if cat is None:
-        return None
-    prev = cat.where(F.col("batch") < before_batch)
+    prev = _read_batches(spark, state_dir, "catalog").where(F.col("batch") < before_batch)
     last = prev.agg(F.max("batch").alias("m")).first()["m"]
     if last is None:
         return None
     return prev.where(F.col("batch") == last).drop("batch")
 
 
-def resolve_alias(assignments: DataFrame, alias: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """Z3: follow old_key -> new_key chains to their end (pointer jumping on
-    the alias table, which has one row per merged template)."""
-    a = alias.select("old_key", "new_key").distinct()
-    for _ in range(max_rounds):
-        nxt = (a.alias("x").join(a.alias("y"), F.col("x.new_key") == F.col("y.old_key"), "left")
-               .select(F.col("x.old_key").alias("old_key"),
-                       F.coalesce(F.col("y.new_key"), F.col("x.new_key")).alias("new_key")))
-        if nxt.exceptAll(a).isEmpty():
+def _next_alias(rows: DataFrame, alias: DataFrame) -> DataFrame:
+    """(key, since) -> (key, since, batch, new_key): the first alias of ``key`` in batch ``since`` or later."""
+    a = alias.select(F.col("old_key").alias("key"), "batch", "new_key")
+    return (rows.join(a, "key").where(F.col("batch") >= F.col("since"))
+            .groupBy("key", "since").agg(F.min(F.struct("batch", "new_key")).alias("m")).select("key", "since", "m.*"))
+
+
+def resolve_alias(assignments: DataFrame, alias: DataFrame) -> DataFrame:
+    """Z3: assignments (line_id, template_key, batch) through the aliases (old_key, new_key, batch).
+
+    An alias of batch ``b`` re-homes what was assigned in batch ``b`` or
+    earlier, and its target may be re-homed by later batches only.  Batches
+    rise along a chain, so a key that is created again, or merged back, ends
+    the chain where it stands: every line keeps exactly one template.  Works on
+    distinct (key, batch) pairs, which double their reach in every round until
+    none moves.
+    """
+    alias = alias.groupBy("old_key", "batch").agg(F.min("new_key").alias("new_key")).checkpoint()
+    starts = assignments.select(F.col("template_key").alias("key"), F.col("batch").alias("since")).distinct()
+    hops = alias.select(F.col("new_key").alias("key"), (F.col("batch") + 1).alias("since")).distinct()
+    # jump(key, since) -> (target, after): where one alias leads
+    jump = (_next_alias(starts.union(hops).distinct(), alias)
+            .select("key", "since", F.col("new_key").alias("target"), (F.col("batch") + 1).alias("after"))).checkpoint()
+    while True:
+        far = (jump.alias("x").join(jump.alias("y"), (F.col("x.target") == F.col("y.key")) & (F.col("x.after") == F.col("y.since")), "left")
+               .select("x.key", "x.since", F.coalesce("y.target", "x.target").alias("target"),
+                       F.coalesce("y.after", "x.after").alias("after"), F.col("y.key").isNotNull().alias("moved"))).checkpoint()
+        jump = far.drop("moved")
+        if far.where("moved").isEmpty():
             break
-        a = nxt.checkpoint()
-    return (assignments.join(a.withColumnRenamed("old_key", "template_key"), "template_key", "left")
-            .select("line_id", F.coalesce("new_key", "template_key").alias("template_key")))
+    to = jump.select(F.col("key").alias("template_key"), F.col("since").alias("batch"), "target")
+    return (assignments.join(to, ["template_key", "batch"], "left")
+            .select("line_id", F.coalesce("target", "template_key").alias("template_key")))
 
 
 def process_batch(batch: DataFrame, batch_id: int, state_dir: str, vocab: DataFrame,
@@ -69,9 +96,10 @@ def process_batch(batch: DataFrame, batch_id: int, state_dir: str, vocab: DataFr
     spark = batch.sparkSession
     checkpoint_dir(spark)
     prev = load_catalog(spark, state_dir, batch_id)
-    masked = preprocess(batch.select("line_id", "line"), regex, drop, rules)
-    dm = distinct_contents(masked)
-    cc = canonical_contents(dm).checkpoint()
+    masked = written(preprocess(batch.select("line_id", F.coalesce("line", F.lit("")).alias("line")), regex, drop, rules)
+                     .select("line_id", "content"))
+    tokenized = written(tokenize(distinct_contents(masked)))
+    cc = collapse_canonical(tokenized).checkpoint()
     if prev is not None:
         matched = match_catalog(cc.select("canon", "tokens"), prev, vocab).select("canon", "template")
         rest = unmatched(cc, matched)
@@ -99,8 +127,7 @@ def process_batch(batch: DataFrame, batch_id: int, state_dir: str, vocab: DataFr
     (alias.select(F.md5("old_template").alias("old_key"), F.md5("new_template").alias("new_key"))
      .write.mode("overwrite").parquet(os.path.join(state_dir, "alias", f"batch={batch_id}")))
     c2 = merging.apply_alias(contents, alias).select("canon", F.md5("template").alias("template_key"))
-    canon_of = dm.select("content", F.array_join(tokenize_expr("content"), " ").alias("canon"))
-    (masked.select("line_id", "content").join(canon_of, "content").join(c2, "canon")
+    (masked.join(tokenized.select("content", "canon").join(c2, "canon"), "content")
      .select("line_id", "template_key")
      .write.mode("overwrite").parquet(os.path.join(state_dir, "assign", f"batch={batch_id}")))
 
@@ -118,11 +145,7 @@ def stream_mine(stream: DataFrame, state_dir: str, vocab: DataFrame, checkpoint_
 
 def final_assignments(spark: SparkSession, state_dir: str) -> DataFrame:
     """All assignments so far, re-homed through every alias written."""
-    assign = spark.read.parquet(os.path.join(state_dir, "assign")).drop("batch")
-    alias = _read_batches(spark, os.path.join(state_dir, "alias"))
-    if alias is None:
-        return assign
-    return resolve_alias(assign, alias.drop("batch"))
+    return resolve_alias(_read_batches(spark, state_dir, "assign"), _read_batches(spark, state_dir, "alias"))
 
 
 def replay_stream(spark: SparkSession, lines: DataFrame, chunks: int = 4, vocab: DataFrame | None = None,
@@ -134,15 +157,13 @@ def replay_stream(spark: SparkSession, lines: DataFrame, chunks: int = 4, vocab:
     from ..operators.tokens import build_vocabulary
     base = os.path.join(checkpoint_dir(spark), f"logloom-stream-{uuid.uuid4().hex}")
     src, state, ck = (os.path.join(base, x) for x in ("source", "state", "ckpt"))
-    ordered = lines.select("line_id", "line").repartitionByRange(chunks, "line_id")
-    ordered.write.parquet(os.path.join(base, "staged"))
-    staged = spark.read.parquet(os.path.join(base, "staged"))
-    bounds = staged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("line_id").alias("lo"))
-    los = sorted(r["lo"] for r in bounds.collect())  # one row per chunk
-    for i, lo in enumerate(los):
-        hi = los[i + 1] if i + 1 < len(los) else None
-        part = staged.where(F.col("line_id") >= lo) if hi is None else staged.where((F.col("line_id") >= lo) & (F.col("line_id") < hi))
-        part.write.parquet(os.path.join(src, f"chunk={i:05d}"))
+    staged = written(lines.select("line_id", "line"))
+    at = [k / chunks for k in range(1, chunks)]
+    cuts = sorted(set(staged.agg(F.percentile_approx("line_id", at, 100_000).alias("q")).first()["q"] or [])) if at else []
+    for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):  # one file stream entry per chunk, in line order
+        part = staged if lo is None else staged.where(F.col("line_id") > lo)
+        part = part if hi is None else part.where(F.col("line_id") <= hi)
+        part.coalesce(1).write.parquet(os.path.join(src, f"chunk={i:05d}"))
     if vocab is None:
         vocab = build_vocabulary(canonical_contents(distinct_contents(preprocess(staged, regex, drop, rules))))
     stream = (spark.readStream.schema("line_id bigint, line string").option("maxFilesPerTrigger", 1)
