@@ -103,6 +103,24 @@ def _cosine_candidates(nodes: DataFrame, t: float) -> DataFrame:
             .select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")))
 
 
+def _cosine_scores(nodes: DataFrame, cand: DataFrame) -> DataFrame:
+    """(a_id, b_id, score) of candidate pairs, by joining token counts: the
+    content with fewer distinct tokens is opened, so a long text costs no more
+    than its partner."""
+    counts = nodes.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("c"))
+    size = counts.groupBy("id").agg(F.count(F.lit(1)).alias("d"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    a = size.select(F.col("id").alias("a_id"), F.col("d").alias("a_d"), F.col("norm").alias("a_norm"))
+    b = size.select(F.col("id").alias("b_id"), F.col("d").alias("b_d"), F.col("norm").alias("b_norm"))
+    pairs = cand.join(a, "a_id").join(b, "b_id")
+    few = F.col("a_d") <= F.col("b_d")
+    pairs = pairs.select("a_id", "b_id", "a_norm", "b_norm", F.when(few, F.col("a_id")).otherwise(F.col("b_id")).alias("s_id"),
+                         F.when(few, F.col("b_id")).otherwise(F.col("a_id")).alias("l_id"))
+    dots = (pairs.join(counts.select(F.col("id").alias("s_id"), "token", F.col("c").alias("s_c")), "s_id")
+            .join(counts.select(F.col("id").alias("l_id"), "token", F.col("c").alias("l_c")), ["l_id", "token"])
+            .groupBy("a_id", "b_id", "a_norm", "b_norm").agg(F.sum(F.col("s_c") * F.col("l_c")).alias("dot")))
+    return dots.select("a_id", "b_id", (F.col("dot") / (F.col("a_norm") * F.col("b_norm"))).alias("score"))
+
+
 def _prefix_candidates(nodes: DataFrame, measure: str, t_lb: float = MIN_DYNAMIC_THRESHOLD) -> DataFrame:
     """Pairs whose rare-first prefixes share a (token, occurrence)."""
     occ = (nodes.select("id", F.posexplode("tokens").alias("pos", "token"))
@@ -165,7 +183,8 @@ def similar_pairs(contents: DataFrame, measure: str = "lcs", sim_th: float = 0.0
                      F.col("min_line").alias("a_min"), F.col("max_line").alias("a_max"))
     b = nodes.select(F.col("id").alias("b_id"), F.col("tokens").alias("b_tokens"),
                      F.col("min_line").alias("b_min"), F.col("max_line").alias("b_max"))
-    scored = score_pairs(cand.join(a, "a_id").join(b, "b_id"), measure)
+    scored = (_cosine_scores(nodes, cand).join(a, "a_id").join(b, "b_id") if measure == "cosine"
+              else score_pairs(cand.join(a, "a_id").join(b, "b_id"), measure))
     if sim_th and sim_th > 0:
         keep = F.col("score") >= F.lit(sim_th)
     else:
