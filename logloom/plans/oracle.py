@@ -21,7 +21,7 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def pipeline_ctes(lines_sql: str = EVENTS_LOG_SQL, regex=EVENTS_REGEX) -> list[tuple[str, str]]:
+def pipeline_ctes(lines_sql: str = EVENTS_LOG_SQL, regex=EVENTS_REGEX, truth_sql: str = TRUTH_VALUES_SQL) -> list[tuple[str, str]]:
     return [
         ("lines", lines_sql),
         ("masked", f"SELECT line_id, event_id, {preprocess_sql(D, 'line', regex=regex)} AS content FROM lines"),
@@ -80,8 +80,7 @@ def pipeline_ctes(lines_sql: str = EVENTS_LOG_SQL, regex=EVENTS_REGEX) -> list[t
         ("wc", "SELECT s.*, a.all_decided, a.template AS asm_template, array_to_string(list_transform(range(1, len(s.tokens) + 1), "
                "lambda i: CASE WHEN list_contains(coalesce(a.wild_pos, []), i - 1) THEN '<*>' ELSE s.tokens[i] END), ' ') AS wcontent "
                "FROM same s JOIN asm a USING (cluster_key)"),
-        ("truth", f"SELECT e.event_id AS line_id, e.event_type AS event_id, tt.template FROM events e "
-                  f"JOIN {TRUTH_VALUES_SQL} ON e.event_type = tt.event_id"),
+        ("truth", f"SELECT line_id, l.event_id, tt.template FROM lines l JOIN {truth_sql} ON l.event_id = tt.event_id"),
     ]
 
 
@@ -99,6 +98,6 @@ EVENTS_CATALOG_SQL = f"""SELECT md5(template) AS template_key, template, CAST(co
  FROM (SELECT event_id, {EVENTS_TEMPLATE_SQL} AS template, {EVENTS_MASKED_SQL} AS masked FROM events) GROUP BY template"""
 
 
-def with_pipeline(select: str, extra: list[tuple[str, str]] | None = None) -> str:
-    ctes = pipeline_ctes() + (extra or [])
+def with_pipeline(select: str, extra: list[tuple[str, str]] | None = None, **view) -> str:
+    ctes = pipeline_ctes(**view) + (extra or [])
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in ctes) + "\n" + select

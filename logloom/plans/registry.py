@@ -266,6 +266,11 @@ def q_distinct_content(spark, sf):
     return v.dm.select("content", *_bigint("n", "min_line", "max_line"))
 
 
+#: the messages view, for rules that the events never reach
+MESSAGES = {"lines_sql": tables.MESSAGES_LOG_SQL, "truth_sql": tables.MESSAGES_TRUTH_SQL}
+MIXED = {"lines_sql": tables.MIXED_LOG_SQL, "truth_sql": tables.MESSAGES_TRUTH_SQL}
+
+
 # ------------------------------------------------------------- tokenizer ---
 DOC_LINES_SQL = "SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
 
@@ -335,10 +340,10 @@ def q_wildcard_absorb(spark, sf):
     return toks.select("t", F.expr(f"array_join({tk._token_pieces(S, 't')}, ' ')").alias("pieces"))
 
 
-@query("tokenize", with_pipeline("SELECT content, array_to_string(tokens, ' ') AS canon, CAST(len(tokens) AS BIGINT) AS n_tokens FROM tok"))
+@query("tokenize", with_pipeline("SELECT content, array_to_string(tokens, ' ') AS canon, CAST(len(tokens) AS BIGINT) AS n_tokens FROM tok", **MESSAGES))
 def q_tokenize(spark, sf):
     """T9 on the distinct masked event messages."""
-    v = vpipe(spark, sf)
+    v = vpipe(spark, sf, **MESSAGES)
     t = v.dm.select("content", tk.tokenize_expr("content").alias("tokens"))
     return t.select("content", F.array_join("tokens", " ").alias("canon"), F.size("tokens").cast("bigint").alias("n_tokens"))
 
@@ -361,9 +366,9 @@ def q_vocabulary(spark, sf):
     return vpipe(spark, sf).vocab.select("token")
 
 
-@query("static_tokens", with_pipeline("SELECT canon, pos, token, is_static FROM st2"))
+@query("static_tokens", with_pipeline("SELECT canon, pos, token, is_static FROM st2", **MESSAGES))
 def q_static_tokens(spark, sf):
-    v = vpipe(spark, sf)
+    v = vpipe(spark, sf, **MESSAGES)
     return classified_tokens(v.cc, v.vocab).select("canon", F.col("pos").cast("bigint").alias("pos"), "token", "is_static")
 
 
@@ -375,9 +380,9 @@ def q_identifier_tokens(spark, sf):
     return identifier_tokens(toks).select("token").distinct()
 
 
-@query("static_key", with_pipeline("SELECT canon, static_key FROM keyed"))
+@query("static_key", with_pipeline("SELECT canon, static_key FROM keyed", **MESSAGES))
 def q_static_key(spark, sf):
-    return vpipe(spark, sf).keyed.select("canon", "static_key")
+    return vpipe(spark, sf, **MESSAGES).keyed.select("canon", "static_key")
 
 
 @query("static_groups", with_pipeline("SELECT static_key, CAST(count(*) AS BIGINT) AS n_contents, CAST(sum(n) AS BIGINT) AS n_lines "
@@ -388,30 +393,30 @@ def q_static_groups(spark, sf):
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_contents"), F.sum("n").cast("bigint").alias("n_lines")))
 
 
-@query("catch_all", with_pipeline("SELECT canon, CAST(n AS BIGINT) AS n FROM keyed WHERE static_key = '<*>'"))
+@query("catch_all", with_pipeline("SELECT canon, CAST(n AS BIGINT) AS n FROM keyed WHERE static_key = '<*>'", **MIXED))
 def q_catch_all(spark, sf):
     """Contents routed to similarity clustering."""
-    return vpipe(spark, sf).keyed.where(F.col("static_key") == WILDCARD).select("canon", F.col("n").cast("bigint"))
+    return vpipe(spark, sf, **MIXED).keyed.where(F.col("static_key") == WILDCARD).select("canon", F.col("n").cast("bigint"))
 
 
 # ------------------------------------------------------------- induction ---
 @query("length_profile", with_pipeline("SELECT cluster_key, CAST(n_contents AS BIGINT) AS n_contents, n_lines, "
                                        "CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len, "
-                                       "CAST(first_line AS BIGINT) AS first_line, path FROM prof"))
+                                       "CAST(first_line AS BIGINT) AS first_line, path FROM prof", **MESSAGES))
 def q_length_profile(spark, sf):
-    p = induction.length_profile(vpipe(spark, sf).clusters)
+    p = induction.length_profile(vpipe(spark, sf, **MESSAGES).clusters)
     return p.select("cluster_key", *_bigint("n_contents", "n_lines", "min_len", "max_len", "first_line"), "path")
 
 
 @query("single_content", with_pipeline("SELECT cluster_key, canon AS template FROM clusters JOIN prof USING (cluster_key) "
-                                       "WHERE path = 'single'"))
+                                       "WHERE path = 'single'", **MESSAGES))
 def q_single_content(spark, sf):
     """A cluster with one distinct content is its own template."""
-    return induction.single_content(vpipe(spark, sf).clusters).select("cluster_key", "template")
+    return induction.single_content(vpipe(spark, sf, **MESSAGES).clusters).select("cluster_key", "template")
 
 
 def _pos_stats(spark, sf):
-    v = vpipe(spark, sf)
+    v = vpipe(spark, sf, **MESSAGES)
     c = v.clusters
     same = c.join(induction.length_profile(c).where("path = 'same'").select("cluster_key"), "cluster_key")
     return induction.position_entropy(same, v.vocab)
@@ -444,10 +449,10 @@ def q_assemble_template(spark, sf):
     return a.select("cluster_key", "all_decided", "template")
 
 
-@query("unique_fallback", with_pipeline("SELECT cluster_key, canon, wcontent AS template FROM wc WHERE NOT all_decided"))
+@query("unique_fallback", with_pipeline("SELECT cluster_key, canon, wcontent AS template FROM wc WHERE NOT all_decided", **MESSAGES))
 def q_unique_fallback(spark, sf):
     """Undecided clusters -> one template per distinct wildcarded content."""
-    v = vpipe(spark, sf)
+    v = vpipe(spark, sf, **MESSAGES)
     c = v.clusters
     same = c.join(induction.length_profile(c).where("path = 'same'").select("cluster_key"), "cluster_key")
     a = induction.assemble(induction.position_decision(induction.position_entropy(same, v.vocab)))
@@ -463,10 +468,10 @@ SELECT cluster_key, 2 AS mode, CAST(row_number() OVER (PARTITION BY cluster_key
   canon AS sample FROM (
   SELECT c.*, row_number() OVER (PARTITION BY c.cluster_key, len(c.tokens) ORDER BY c.min_line) AS r
   FROM clusters c JOIN prof p USING (cluster_key) WHERE p.path = 'mixed') WHERE r = 1
-"""))
+""", **MESSAGES))
 def q_arbitration_queue(spark, sf):
     """I8: what an arbiter would be asked, ranked filters only."""
-    v = vpipe(spark, sf)
+    v = vpipe(spark, sf, **MESSAGES)
     q = induction.arbitration_queue(v.clusters, v.vocab)
     return q.select("cluster_key", F.col("mode").cast("int"), F.col("rank").cast("bigint"), "sample")
 
@@ -510,21 +515,24 @@ SELECT c.cluster_key, c.canon, c.canon AS template FROM clusters c JOIN prof p U
 UNION ALL SELECT cluster_key, canon, CASE WHEN all_decided THEN asm_template ELSE wcontent END AS template FROM wc"""
 
 
-@query("induce_templates", with_pipeline(_INDUCE_SAME_SQL))
+@query("induce_templates", with_pipeline(_INDUCE_SAME_SQL + """
+UNION ALL SELECT c.cluster_key, c.canon, 'Loaded <*>' AS template FROM clusters c JOIN prof p USING (cluster_key) WHERE p.path = 'mixed'""", **MESSAGES))
 def q_induce_templates(spark, sf):
-    """I1-I6 + I11: template of every content in single/same-length clusters."""
-    return _induced(vpipe(spark, sf)).select("cluster_key", "canon", "template")
+    """I1-I7 + I11: template of every content; the one mixed cluster of the view is known by construction."""
+    return _induced(vpipe(spark, sf, **MESSAGES)).select("cluster_key", "canon", "template")
 
 
 @query("apply_decisions", with_pipeline("""
 SELECT c.cluster_key, c.canon, c.canon AS template FROM clusters c JOIN prof p USING (cluster_key) WHERE p.path = 'single'
 UNION ALL SELECT wc.cluster_key, canon, CASE WHEN all_decided THEN asm_template WHEN coalesce(d.template, '') <> '' THEN d.template
- ELSE wcontent END AS template FROM wc LEFT JOIN dec_t d USING (cluster_key)""", [
+ ELSE wcontent END AS template FROM wc LEFT JOIN dec_t d USING (cluster_key)
+UNION ALL SELECT c.cluster_key, c.canon, CASE WHEN d.template <> '' THEN d.template ELSE c.canon END AS template
+ FROM clusters c JOIN prof p USING (cluster_key) JOIN dec_t d USING (cluster_key) WHERE p.path = 'mixed'""", [
     ("dec_t", "SELECT cluster_key, CASE WHEN count(*) % 3 = 0 THEN arg_min(canon, min_line) ELSE '' END AS template "
-              "FROM clusters JOIN prof USING (cluster_key) WHERE path <> 'mixed' GROUP BY cluster_key")]))
+              "FROM clusters GROUP BY cluster_key")], **MESSAGES))
 def q_apply_decisions(spark, sf):
     """A non-empty decision names the cluster's template; empty -> I11."""
-    return _induced(vpipe(spark, sf), decisions=True).select("cluster_key", "canon", "template")
+    return _induced(vpipe(spark, sf, **MESSAGES), decisions=True).select("cluster_key", "canon", "template")
 
 
 @query("template_catalog", with_pipeline(f"""
@@ -914,9 +922,8 @@ def q_param_profile(spark, sf):
 _PRED_SQL = "SELECT m.line_id, k.static_key AS event_id, k.canon AS template FROM masked m JOIN tok t USING (content) JOIN keyed k ON k.canon = array_to_string(t.tokens, ' ')"
 
 
-def _pred(spark, sf):
+def _pred(v):
     """A data-derived prediction: group = static key, template = canonical text."""
-    v = vpipe(spark, sf)
     canon_of = v.dm.select("content", F.array_join(tk.tokenize_expr("content"), " ").alias("canon"))
     return (v.masked.select("line_id", "content").join(canon_of, "content").join(v.keyed.select("canon", "static_key"), "canon")
             .select("line_id", F.col("static_key").alias("event_id"), F.col("canon").alias("template")))
@@ -945,11 +952,12 @@ SELECT round(ga_cnt / n_lines, 4) AS ga, round(tp / n_pred, 4) AS pga, round(tp
 @query("score")
 def q_score(spark, sf):
     """GA, PGA, RGA, FGA, PA, PTA, RTA, FTA of a data-derived prediction."""
-    return metrics.score(_pred(spark, sf), vpipe(spark, sf).truth)
+    v = vpipe(spark, sf, **MESSAGES)
+    return metrics.score(_pred(v), v.truth)
 
 
 def _with_cont(select):
-    sql = with_pipeline(select, [("pred", _PRED_SQL)])
+    sql = with_pipeline(select, [("pred", _PRED_SQL)], **MESSAGES)
     return sql.replace("\n" + select, "," + _CONT_SQL + "\n" + select)
 
 
@@ -960,14 +968,16 @@ ORACLES["score"] = _with_cont(SCORE_SELECT)
                                        "CAST(n_tid AS BIGINT) AS n_tid, group_match FROM cy"))
 def q_grouping_accuracy(spark, sf):
     """E1 detail: the contingency rows and which count toward GA."""
-    g = metrics.grouping_accuracy(_pred(spark, sf), vpipe(spark, sf).truth)
+    v = vpipe(spark, sf, **MESSAGES)
+    g = metrics.grouping_accuracy(_pred(v), v.truth)
     return g.select("pid", "tid", *_bigint("c", "psz", "tsz", "n_tid"), "group_match")
 
 
 @query("template_equal", _with_cont("SELECT DISTINCT ptemplate, ttemplate, template_match FROM cy"))
 def q_template_equal(spark, sf):
     """E3 for every (predicted, true) template pair that shares lines."""
-    c = metrics.contingency(_pred(spark, sf), vpipe(spark, sf).truth)
+    v = vpipe(spark, sf, **MESSAGES)
+    c = metrics.contingency(_pred(v), v.truth)
     return c.select("ptemplate", "ttemplate", "template_match").distinct()
 
 
@@ -976,7 +986,8 @@ def q_template_equal(spark, sf):
  WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.line_id = t.line_id AND p.event_id = c.pid)"""))
 def q_missed_lines(spark, sf):
     """Lines of a split true group outside the pure predicted group."""
-    m = metrics.missed_lines(_pred(spark, sf), vpipe(spark, sf).truth)
+    v = vpipe(spark, sf, **MESSAGES)
+    m = metrics.missed_lines(_pred(v), v.truth)
     return m.select("tid", "pid", F.col("line_id").cast("bigint"))
 
 

@@ -35,14 +35,15 @@ class VPipe:
         return cluster_keyed(self.keyed).select("cluster_key", "canon", "tokens", "n", "min_line", "max_line").checkpoint()
 
 
-def vpipe(spark: SparkSession, sf_dir: str) -> VPipe:
-    """Build the pipeline; every query builds its own."""
+def vpipe(spark: SparkSession, sf_dir: str, lines_sql: str = tables.EVENTS_LOG_SQL, truth_sql: str = tables.TRUTH_VALUES_SQL) -> VPipe:
+    """Build the pipeline over a message view of the events; every query builds its own."""
     from ..session import checkpoint_dir
     checkpoint_dir(spark)
-    lines = tables.events_log(spark, sf_dir)
+    lines = tables.view(spark, sf_dir, lines_sql)
     masked = preprocess(lines.select("line_id", "event_id", "line"), regex=EVENTS_REGEX, rules=[])
     dm = distinct_contents(masked)
     cc = canonical_contents(dm).checkpoint()  # materialisation point after dedupe (D6)
     vocab = materialize_vocab(build_vocabulary(cc))
     keyed = static_keys(cc, vocab).checkpoint()
-    return VPipe(lines, masked, dm, cc, vocab, keyed, tables.events_truth(spark, sf_dir))
+    return VPipe(lines, masked, dm, cc, vocab, keyed,
+                 lines.select("line_id", "event_id").join(spark.sql(f"SELECT * FROM {truth_sql}"), "event_id"))

@@ -62,6 +62,40 @@ ORDERS_TRUTH = [(s, f"Order <*> for customer <*> status {s}") for s in ("F", "O"
 TRUTH_VALUES_SQL = "(VALUES " + ", ".join(f"('{e}', '{t}')" for e, t in EVENTS_TRUTH) + ") AS tt(event_id, template)"
 
 
+# Messages that exercise the rarer rules: snake, camel and scoped tokens, values
+# behind "=", nested brackets, adjacent wildcards, clusters of one content, of
+# mixed lengths and with an undecided position.  event_id is the true template.
+MESSAGES_LOG_SQL = """
+SELECT event_id AS line_id, form AS event_id, CASE form
+ WHEN 'snake' THEN concat('disk_cache ready on x', user_id % 7, 'z')
+ WHEN 'camel' THEN concat('x', user_id % 5, 'z readBlock read Block for user u', user_id % 9, 'k')
+ WHEN 'scoped' THEN concat('q', event_id % 4, 'w net::Socket opened')
+ WHEN 'kv' THEN concat('limit=k', user_id % 6, ':v', event_id % 3, ' {a[b', event_id % 2, ']} done')
+ WHEN 'wild' THEN concat('moved ', 1000 + event_id, ' ', 2000 + user_id, ' blocks')
+ WHEN 'once' THEN concat('Shutdown complete', CASE WHEN event_id % 3 = 0 THEN ' now' ELSE '' END)
+ WHEN 'mixed' THEN concat('Loaded x', event_id % 3, 'z', CASE WHEN event_id % 2 = 0 THEN concat(' y', user_id % 3, 'k') ELSE '' END)
+ ELSE concat('Sent to ', CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END) END AS line
+FROM (SELECT *, CASE event_id % 8 WHEN 0 THEN 'snake' WHEN 1 THEN 'camel' WHEN 2 THEN 'scoped' WHEN 3 THEN 'kv' WHEN 4 THEN 'wild'
+ WHEN 5 THEN 'once' WHEN 6 THEN 'mixed' ELSE 'sent' END AS form FROM events)
+"""
+# The same and messages without any static token (every ninth event).
+MIXED_LOG_SQL = f"""
+SELECT line_id, event_id, line FROM ({MESSAGES_LOG_SQL})
+UNION ALL SELECT -1 - event_id AS line_id, 'free' AS event_id, concat('x', event_id % 5, 'z q', user_id % 4, 'w') AS line FROM events WHERE event_id % 9 = 0
+"""
+# The true template of every message.
+MESSAGES_TRUTH = [("snake", "disk_cache ready on <*>"), ("camel", "<*> readBlock read Block for user <*>"), ("scoped", "<*> net::Socket opened"),
+                  ("kv", "limit=<*>:<*> {a[<*>]} done"), ("wild", "moved <*> blocks"), ("once", "Shutdown complete"),
+                  ("mixed", "Loaded <*>"), ("sent", "Sent to <*>")]
+MESSAGES_TRUTH_SQL = "(VALUES " + ", ".join(f"('{e}', '{t}')" for e, t in MESSAGES_TRUTH) + ") AS tt(event_id, template)"
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A message view over the events table."""
+    read_table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(sql)
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     read_table(spark, sf_dir, "events").createOrReplaceTempView("events")
     return spark.sql(EVENTS_LOG_SQL)
