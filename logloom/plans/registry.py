@@ -15,7 +15,7 @@ from ..functions.masking import WILDCARD, preprocess_sql
 from ..functions.sqlexpr import DUCK as D
 from ..operators import induction, matching, merging, metrics, params, runs, similarity
 from ..operators.preprocess import dataset_mask, distinct_contents, drop_patterns, mask_hits, mask_lines, preprocess
-from ..operators.tokens import (classified_tokens, identifier_tokens, token_table)
+from ..operators.tokens import classified_tokens, identifier_tokens, token_flags, token_table
 from ..sources import raw_logs, tables
 from .oracle import EVENTS_CATALOG_SQL, EVENTS_MASKED_SQL, EVENTS_TEMPLATE_SQL, _q, with_pipeline
 from .settings import EVENTS_REGEX, NAMED_RULES
@@ -348,6 +348,13 @@ def q_tokenize(spark, sf):
     return t.select("content", F.array_join("tokens", " ").alias("canon"), F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
+@query("collapse_wild", "SELECT DISTINCT 'moved <*> <*> blocks' AS content, 'moved <*> blocks' AS canon FROM events WHERE event_id % 8 = 4")
+def q_collapse_wild(spark, sf):
+    """Neighbouring wildcards become one; the view renders them in one form of message."""
+    dm = vpipe(spark, sf, **MESSAGES).dm.where("instr(content, '<*> <*>') > 0")
+    return dm.select("content", F.array_join(tk.tokenize_expr("content"), " ").alias("canon"))
+
+
 @query("tokenize_text", f"SELECT line, array_to_string({tk.tokenize_sql(D, 'line')}, ' ') AS canon FROM ({DOC_LINES_SQL})")
 def q_tokenize_text(spark, sf):
     """T9 on every distinct document line (free text, whole lines)."""
@@ -380,6 +387,13 @@ def q_identifier_tokens(spark, sf):
     return identifier_tokens(toks).select("token").distinct()
 
 
+@query("camel_tokens", with_pipeline("SELECT token FROM camel", **MESSAGES))
+def q_camel_tokens(spark, sf):
+    """C4: camel-case tokens with a part in the vocabulary."""
+    v = vpipe(spark, sf, **MESSAGES)
+    return token_flags(token_table(v.cc), v.vocab).where("camel_ok").select("token")
+
+
 @query("static_key", with_pipeline("SELECT canon, static_key FROM keyed", **MESSAGES))
 def q_static_key(spark, sf):
     return vpipe(spark, sf, **MESSAGES).keyed.select("canon", "static_key")
@@ -906,6 +920,35 @@ def q_extract_params(spark, sf):
     return p.select(F.col("line_id").cast("bigint"), "template", "position", "value", "mask_name")
 
 
+_VALUES_SQL = """SELECT CAST(event_id AS BIGINT) AS line_id, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS position, unnest(v) AS value,
+ unnest(m) AS mask_name FROM (SELECT event_id, CASE event_type
+ WHEN 'click' THEN [CAST(user_id AS VARCHAR), concat('10.0.', event_id % 250, '.', user_id % 250, ':8080')]
+ WHEN 'view' THEN [concat('/page/', user_id, '/', event_id), CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)]
+ WHEN 'signup' THEN [CAST(user_id AS VARCHAR), CAST(event_id % 7 AS VARCHAR)]
+ WHEN 'purchase' THEN [CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), CAST(event_id AS VARCHAR)]
+ ELSE [CAST(event_id AS VARCHAR), CAST(user_id % 9 AS VARCHAR)] END AS v,
+ CASE event_type WHEN 'click' THEN ['NUM', 'HOSTPORT'] WHEN 'view' THEN ['PATH', 'NUM'] ELSE ['NUM', 'NUM'] END AS m FROM events)"""
+
+
+def _named_params(spark, sf, exact):
+    lines = tables.events_log(spark, sf).select("line_id", F.col("line").alias("text"))
+    masked = mask_lines(lines, NAMED_RULES, text_col="text", out_col="template")
+    p = params.extract_params(masked, exact=exact, rules=NAMED_RULES)
+    return p.select(F.col("line_id").cast("bigint").alias("line_id"), "position", "value", "mask_name")
+
+
+@query("named_params", _VALUES_SQL)
+def q_named_params(spark, sf):
+    """O2 with named masks: every value with the name of its mask; the oracle reads the columns that the lines were rendered from."""
+    return _named_params(spark, sf, exact=False)
+
+
+@query("named_params_exact", _VALUES_SQL)
+def q_named_params_exact(spark, sf):
+    """O1/O2 in exact mode: a slot takes only what its own rules match."""
+    return _named_params(spark, sf, exact=True)
+
+
 @query("param_profile", _params_oracle("""
 SELECT a.template, a.position, a.n_values, a.n_distinct, t.value AS top_value, t.c AS top_count FROM
  (SELECT template, position, CAST(sum(c) AS BIGINT) AS n_values, CAST(count(*) AS BIGINT) AS n_distinct FROM
