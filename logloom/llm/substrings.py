@@ -3,8 +3,9 @@
 Texts are cut into units, units are normalised (case, punctuation and white
 space folded) and hashed to 128 bits, and digests are grouped over the whole
 corpus.  Every occurrence but the earliest ranked (smallest doc_id, then
-position) is a repeat.  Runs of neighbouring repeats with at least
-``min_words`` words together are removed; units of fewer than ``unit_words``
+position) is a repeat.  A run of neighbouring repeats is removed if at least
+``min_words`` of its words have their earliest occurrence in one document, so
+common short units that happen to meet stay; units of fewer than ``unit_words``
 words are not hashed and go with a run if they stand inside it.
 
 The query cuts at sentences: passages are shared in the middle of lines, too.
@@ -13,6 +14,7 @@ The query cuts at sentences: passages are shared in the middle of lines, too.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from logloom.llm.common import packed, sliced, table
 from logloom.llm.decontaminate import words_of
 
-BOUNDARY = {"sentence": re.compile(r"[.!?]+\s+|\s*\n\s*"), "line": re.compile(r"\s*\n\s*"), "paragraph": re.compile(r"\s*\n[^\S\n]*\n\s*")}
+# a sentence ends at one mark (or dots) with any symbols behind it; "!!" after every word ends none
+BOUNDARY = {"sentence": re.compile(r"(?<![!?])(?:\.+|[!?])(?![!?])[^\w\s]*\s+|\s*\n\s*"), "line": re.compile(r"\s*\n\s*"), "paragraph": re.compile(r"\s*\n[^\S\n]*\n\s*")}
 UNIT_WORDS = 4
 MIN_WORDS = 15
 
@@ -78,8 +81,11 @@ def repeats(docs: DataFrame, unit: str = "sentence", unit_words: int = UNIT_WORD
             .select("doc_id", "h", "start", F.col("first.doc_id").alias("source")))
 
 
-def _cut(text: str, repeated: set[int], unit: str, unit_words: int, min_words: int) -> tuple[str, list[tuple[int, int]], int, list[int]]:
-    """Text without the long runs, their spans, the number of removed units, and the removed repeats' starts."""
+def _cut(text: str, repeated: dict[int, object], unit: str, unit_words: int, min_words: int) -> tuple[str, list[tuple[int, int]], int, list[int]]:
+    """Text without the long runs, their spans, the number of removed units, and the removed repeats' starts.
+
+    ``repeated``: start of a repeated unit -> document of its earliest occurrence.
+    """
     spans, kept, end, n, starts = [], [], 0, 0, []
     run: list = []
 
@@ -87,7 +93,11 @@ def _cut(text: str, repeated: set[int], unit: str, unit_words: int, min_words: i
         nonlocal end, n
         while run and run[-1][0] not in repeated:
             run.pop()  # short units behind the last repeat stay
-        if sum(w for *_, w in run) >= min_words:
+        shared = Counter()
+        for a, _, _, w in run:
+            if a in repeated:
+                shared[repeated[a]] += w
+        if max(shared.values(), default=0) >= min_words:
             spans.append((run[0][0], run[-1][1]))
             kept.append(text[end:run[0][0]])
             end = run[-1][2]
@@ -126,7 +136,7 @@ def dedup_substrings(docs: DataFrame, unit: str = "sentence", unit_words: int =
                 spans, n, src = [], 0, []
                 if hits:
                     where = {x["start"]: x["source"] for x in hits}
-                    text, spans, n, starts = _cut(text, set(where), unit, unit_words, min_words)
+                    text, spans, n, starts = _cut(text, where, unit, unit_words, min_words)
                     src = sorted({where[a] for a in starts if where[a] is not None})
                 texts.append(text)
                 removed.append([{"start": a, "end": b} for a, b in spans])

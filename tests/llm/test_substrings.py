@@ -13,15 +13,16 @@ def norm(t):
 def brute(docs, unit, unit_words=S.UNIT_WORDS, min_words=S.MIN_WORDS):
     """Removed spans per (doc_id, text), from a list of (doc_id, text)."""
     order = sorted(set(docs), key=lambda r: (r[0] is None, r[0] or 0))
-    seen, out = set(), {}
+    seen, out = {}, {}
     for doc in order:
-        cut, us = [], S.units(doc[1], unit)
+        cut, src, us = [], [], S.units(doc[1], unit)
         for a, b, _ in us:
             key = norm(doc[1][a:b])
             n = len(key.split())
             cut.append("short" if n < unit_words else "old" if key in seen else "new")
+            src.append(seen.get(key) if cut[-1] == "old" else "-")
             if n >= unit_words:
-                seen.add(key)
+                seen.setdefault(key, doc[0])
         spans, i = [], 0
         while i < len(us):
             if cut[i] != "old":
@@ -31,7 +32,11 @@ def brute(docs, unit, unit_words=S.UNIT_WORDS, min_words=S.MIN_WORDS):
             while j < len(us) and cut[j] != "new":
                 last = j if cut[j] == "old" else last
                 j += 1
-            if sum(len(norm(doc[1][a:b]).split()) for a, b, _ in us[i:last + 1]) >= min_words:
+            words = {}
+            for k in range(i, last + 1):
+                if cut[k] == "old":
+                    words[src[k]] = words.get(src[k], 0) + len(norm(doc[1][us[k][0]:us[k][1]]).split())
+            if max(words.values()) >= min_words:
                 spans.append((us[i][0], us[last][1]))
             i = j
         out[doc] = spans
@@ -39,6 +44,8 @@ def brute(docs, unit, unit_words=S.UNIT_WORDS, min_words=S.MIN_WORDS):
 
 
 def test_units_keep_offsets():
+    bangs = "ONE!! TWO!! THREE.%%% four"
+    assert [bangs[a:b] for a, b, _ in S.units(bangs, "sentence")] == ["ONE!! TWO!! THREE", "four"]
     t = " One two. Three 3.5 four!\n\n  five\n \nsix?  "
     assert [t[a:b] for a, b, _ in S.units(t, "sentence")] == [" One two", "Three 3.5 four", "five", "six"]
     assert [t[a:b].strip() for a, b, _ in S.units(t, "paragraph")] == ["One two. Three 3.5 four!", "five", "six?"]
