@@ -27,7 +27,7 @@ from logloom.llm.common import map_batches, packed, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
-CACHE_PIECES = 500_000  # pieces kept by a worker (about 110 MB); then it starts anew
+CACHE_PIECES = 250_000  # pieces kept by a worker (about 55 MB); then it starts anew
 CACHE_LENGTH = 64  # longer pieces are not kept
 GROUP = 64  # new pieces encoded as one text
 MARK = "▁"
