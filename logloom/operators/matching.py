@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masking import WILDCARD, WS_CLASS
-from .tokens import VOCAB_PUNCT, _vocab_side
+from .tokens import VOCAB_PUNCT
 
 _ESCAPE = r"regexp_replace(p, '([\\\\.^$|?*+()\\[\\]{}])', '\\\\$1')"
 
@@ -55,7 +55,7 @@ def template_match(pairs: DataFrame, vocab: DataFrame, content_col="content", te
         captures("_norm", "_pat", "_k"),
         lambda v: F.split(v, WS_CLASS + "+")))).alias("tok"))
         .where((F.col("tok") != "") & (F.col("tok").rlike(r"(?U)^\p{L}+$") | F.col("tok").isin(VOCAB_PUNCT))))
-    bad = caps.join(_vocab_side(vocab).withColumnRenamed("token", "tok"), "tok").select(*ids).distinct()
+    bad = caps.join(vocab.withColumnRenamed("token", "tok"), "tok").select(*ids).distinct()
     return p.join(bad, ids, "left_anti").drop("_norm", "_pat", "_k")
 
 

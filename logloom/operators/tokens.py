@@ -24,8 +24,6 @@ SCOPED_RE = r"^[^:]+::[^:]+$"
 LOWER_SNAKE_RE = r"^[a-z]+(_[a-z]+)+$"
 PLAIN_CAMEL_RE = r"^[a-zA-Z]+([A-Z][a-z0-9]+)+$"
 
-BROADCAST_VOCAB_ROWS = 2_000_000
-
 
 def tokenize(contents: DataFrame, content_col="content") -> DataFrame:
     """Add ``tokens`` and the canonical ``canon`` text (tokens joined by one space)."""
@@ -80,19 +78,8 @@ def vocabulary_from_list(spark, words) -> DataFrame:
 
 
 def materialize_vocab(vocab: DataFrame) -> DataFrame:
-    """Checkpoint the vocabulary once and remember its row count."""
-    v = vocab.select("token").distinct().checkpoint()
-    v._logloom_rows = v.count()  # noqa: SLF001 - cached size for the broadcast check
-    return v
-
-
-def _vocab_side(vocab: DataFrame) -> DataFrame:
-    """Broadcast the vocabulary only after checking its size."""
-    n = getattr(vocab, "_logloom_rows", None)
-    if n is None:
-        vocab = materialize_vocab(vocab)
-        n = vocab._logloom_rows  # noqa: SLF001
-    return F.broadcast(vocab) if n <= BROADCAST_VOCAB_ROWS else vocab
+    """Checkpoint the distinct vocabulary once; it is joined several times."""
+    return vocab.select("token").distinct().checkpoint()
 
 
 def token_flags(tokens: DataFrame, vocab: DataFrame, token_col="token") -> DataFrame:
@@ -100,7 +87,7 @@ def token_flags(tokens: DataFrame, vocab: DataFrame, token_col="token") -> DataF
 
     Works on distinct tokens, so the vocabulary joins see each token once.
     """
-    v = _vocab_side(vocab).withColumn("is_vocab", F.lit(True))
+    v = vocab.withColumn("is_vocab", F.lit(True))
     dt = tokens.select(F.col(token_col).alias("token")).distinct()
     flagged = dt.join(v, "token", "left").select("token", F.coalesce("is_vocab", F.lit(False)).alias("is_vocab"))
     camel = (dt.where(F.col("token").rlike(CAMEL_RE))
