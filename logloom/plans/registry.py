@@ -437,27 +437,27 @@ def _pos_stats(spark, sf):
 
 
 @query("position_entropy", with_pipeline("SELECT cluster_key, CAST(pos AS BIGINT) AS pos, CAST(n_tok AS BIGINT) AS n_tok, "
-                                         "has_wild, round(entropy, 6) AS entropy FROM ps"))
+                                         "has_wild, round(entropy, 6) AS entropy FROM ps", **MESSAGES))
 def q_position_entropy(spark, sf):
     """Column wildcarding and line-weighted entropy per position."""
     ps = _pos_stats(spark, sf)
     return ps.select("cluster_key", *_bigint("pos", "n_tok"), "has_wild", F.round("entropy", 6).alias("entropy"))
 
 
-@query("position_decision", with_pipeline("SELECT cluster_key, CAST(pos AS BIGINT) AS pos, decision FROM dec"))
+@query("position_decision", with_pipeline("SELECT cluster_key, CAST(pos AS BIGINT) AS pos, decision FROM dec", **MESSAGES))
 def q_position_decision(spark, sf):
     d = induction.position_decision(_pos_stats(spark, sf))
     return d.select("cluster_key", F.col("pos").cast("bigint").alias("pos"), "decision")
 
 
-@query("position_decision_alt", with_pipeline("SELECT cluster_key, CAST(pos AS BIGINT) AS pos, decision_alt AS decision FROM dec"))
+@query("position_decision_alt", with_pipeline("SELECT cluster_key, CAST(pos AS BIGINT) AS pos, decision_alt AS decision FROM dec", **MESSAGES))
 def q_position_decision_alt(spark, sf):
     """The older entropy rule as a second decision profile."""
     d = induction.position_decision(_pos_stats(spark, sf), profile="alt")
     return d.select("cluster_key", F.col("pos").cast("bigint").alias("pos"), "decision")
 
 
-@query("assemble_template", with_pipeline("SELECT cluster_key, all_decided, template FROM asm"))
+@query("assemble_template", with_pipeline("SELECT cluster_key, all_decided, template FROM asm", **MESSAGES))
 def q_assemble_template(spark, sf):
     a = induction.assemble(induction.position_decision(_pos_stats(spark, sf)))
     return a.select("cluster_key", "all_decided", "template")
