@@ -16,6 +16,7 @@ from ..functions.sqlexpr import DUCK as D
 from ..operators import induction, matching, merging, metrics, params, runs, similarity
 from ..operators.preprocess import dataset_mask, distinct_contents, drop_patterns, mask_hits, mask_lines, preprocess
 from ..operators.tokens import classified_tokens, identifier_tokens, token_flags, token_table
+from ..session import shared_path
 from ..sources import raw_logs, tables
 from .oracle import EVENTS_CATALOG_SQL, EVENTS_MASKED_SQL, EVENTS_TEMPLATE_SQL, _q, with_pipeline
 from .settings import EVENTS_REGEX, NAMED_RULES
@@ -81,18 +82,30 @@ def _header_oracle():
 ORACLES["header_parse"] = _header_oracle()
 
 
+@query("raw_log_scan", ORACLES["header_parse"])
+def q_raw_log_scan(spark, sf):
+    """S2 on text files: the lines are written in order and scanned with their numbers."""
+    path = shared_path(spark)
+    _raw_lines(spark, sf).orderBy("event_id").select("line").write.text(path)
+    hf = raw_logs.compile_header(RAW_FORMAT)
+    return raw_logs.read_raw_logs(spark, path, RAW_FORMAT).select("LineId", *hf.headers)
+
+
 @query("structured_scan", f"""
 WITH l AS ({tables.EVENTS_LOG_SQL})
 SELECT CAST(l.line_id AS BIGINT) AS LineId, l.line AS Content, l.event_id AS EventId, tt.template AS EventTemplate
 FROM l JOIN {tables.TRUTH_VALUES_SQL} ON l.event_id = tt.event_id
 """)
 def q_structured_scan(spark, sf):
-    """S3: the structured log table (Content, EventId, EventTemplate)."""
+    """S3: the structured log table, written as CSV and scanned."""
     lines = tables.events_log(spark, sf)
     truth = spark.sql(f"SELECT * FROM {tables.TRUTH_VALUES_SQL}")
-    return (lines.join(truth, "event_id")
-            .select(F.col("line_id").cast("bigint").alias("LineId"), F.col("line").alias("Content"),
-                    F.col("event_id").alias("EventId"), F.col("template").alias("EventTemplate")))
+    path = shared_path(spark)
+    (lines.join(truth, "event_id")
+     .select(F.col("line_id").cast("bigint").alias("LineId"), F.col("line").alias("Content"),
+             F.col("event_id").alias("EventId"), F.col("template").alias("EventTemplate"))
+     .write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    return raw_logs.read_structured(spark, path)
 
 
 ORDERS_TRUTH_SQL = ("SELECT o_orderkey AS line_id, o_orderstatus AS event_id, "
@@ -103,9 +116,13 @@ ORDERS_TRUTH_SQL = ("SELECT o_orderkey AS line_id, o_orderstatus AS event_id, "
 SELECT event_id, template, CAST(count(*) AS BIGINT) AS occurrence FROM ({ORDERS_TRUTH_SQL}) GROUP BY event_id, template
 """)
 def q_truth_catalog(spark, sf):
-    """Template catalog (event_id, template, occurrence) of orders_log."""
+    """Template catalog of orders_log, written as CSV with its headers and scanned."""
     tables.register_tables(spark, sf, ["orders"])
-    return metrics.occurrence(spark.sql(ORDERS_TRUTH_SQL)).withColumn("occurrence", F.col("occurrence").cast("bigint"))
+    path = shared_path(spark)
+    (metrics.occurrence(spark.sql(ORDERS_TRUTH_SQL))
+     .select(F.col("event_id").alias("EventID"), F.col("template").alias("EventTemplate"), F.col("occurrence").alias("Occurrence"))
+     .write.csv(path, header=True, escape='"'))
+    return raw_logs.read_truth_catalog(spark, path)
 
 
 RUNLOG_SQL = """

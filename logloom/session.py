@@ -50,6 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path under the checkpoint directory."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint directory and read it back.
 
@@ -57,6 +62,6 @@ def written(df: DataFrame) -> DataFrame:
     ``checkpoint()`` keeps plain rows.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

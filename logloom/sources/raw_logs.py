@@ -126,9 +126,18 @@ def read_raw_logs(spark: SparkSession, path: str, fmt: str) -> DataFrame:
             .drop("_f", "_blk", "_m", "_off", "_r"))
 
 
-def read_structured(spark: SparkSession, path: str) -> DataFrame:
-    """S3: structured CSV (LineId, Content, EventId, EventTemplate, ...)."""
-    return spark.read.csv(path, header=True, escape='"', multiLine=True)
+STRUCTURED_SCHEMA = "LineId bigint, Content string, EventId string, EventTemplate string"
+
+
+def read_structured(spark: SparkSession, path: str, schema: str | None = STRUCTURED_SCHEMA, multiline: bool = False) -> DataFrame:
+    """S3: structured CSV (LineId, Content, EventId, EventTemplate, ...).
+
+    Log lines hold no line break, so files are split among tasks; ``multiline``
+    reads quoted breaks, one task per file.  ``schema=None`` takes the header's
+    columns as strings.
+    """
+    return spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=multiline,
+                          ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_truth_catalog(spark: SparkSession, path: str) -> DataFrame:
