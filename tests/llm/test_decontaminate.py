@@ -48,8 +48,8 @@ def test_both_paths_equal_brute_force(spark):
     want = brute(docs, items)
     for limit in (D.BROADCAST_WORDS, 5):
         got = D.contamination(df, bm, broadcast_words=limit).collect()
-        assert sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r.items)) for r in
-                       ([type("R", (), dict(doc_id=g[0], n_words=g[1], spans=g[2], items=g[3])) for g in got])), key=repr) == want
+        rows = [(r["doc_id"], r["n_words"], sum(s.end - s.start for s in r["spans"]), list(r["items"])) for r in got]
+        assert sorted(rows, key=repr) == want
 
 
 def test_spans_and_documents_are_removed(spark):
