@@ -113,7 +113,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """(BUCKETS, DIM) float32 unit word vectors of all texts of ``docs``; zero rows for unseen buckets."""
     kind = "block int, v binary"
     parts = docs.select(F.col("text").cast("string")).mapInArrow(_partial_sums, kind)
-    some = parts.repartition("block", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(_sum_rows, kind)
+    # a fixed number of partitions: merged ones would bring many tasks' matrices into one
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = parts.repartition(spread, "block", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(_sum_rows, kind)
     full = some.repartition("block").mapInArrow(_sum_rows, kind)
     total = np.zeros((BUCKETS // BLOCK, BLOCK * DIM), np.float64)
     for r in full.collect():  # BUCKETS / BLOCK rows of fixed size
