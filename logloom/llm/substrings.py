@@ -4,11 +4,13 @@ Texts are cut into units, units are normalised (case, punctuation and white
 space folded) and hashed to 128 bits, and digests are grouped over the whole
 corpus.  Every occurrence but the earliest ranked (smallest doc_id, then
 position) is a repeat.  A run of neighbouring repeats is removed if at least
-``min_words`` of its words have their earliest occurrence in one document, so
-common short units that happen to meet stay; units of fewer than ``unit_words``
-words are not hashed and go with a run if they stand inside it.
+``min_words`` of its words have their earliest occurrence in one document; units
+of fewer than ``unit_words`` words are not hashed and go with a run if they
+stand inside it.
 
 The query cuts at sentences: passages are shared in the middle of lines, too.
+Its ``min_words`` is ``unit_words``, so every repeat goes, whatever its
+neighbours' sources.
 """
 
 from __future__ import annotations
@@ -153,7 +155,7 @@ def dedup_substrings(docs: DataFrame, unit: str = "sentence", unit_words: int =
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after removal, the removed spans and the documents that keep them."""
-    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    out = dedup_substrings(table(spark, sf_dir, "documents"), min_words=UNIT_WORDS)
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_removed", spans.alias("removed_spans"),
                       F.col("sources").alias("source_doc_ids"), F.col("new_text").alias("text"))

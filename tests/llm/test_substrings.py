@@ -83,3 +83,14 @@ def test_removal_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert S.dedup_substrings(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_query_removes_every_repeated_unit(spark, tmp_path):
+    short, mixed = "Thanks for reading this.", "one source holds these words. another source holds those words. a third holds seven more words here."
+    parts = [p + "." for p in mixed.rstrip(".").split(". ")]
+    texts = [short, *parts, f"First own text of five. {short} Second own text of five.", f"Third own text of five. {mixed}"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in S.op7_substring_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(4)] == texts[:4]
+    assert got[4].text == "First own text of five. Second own text of five." and got[4].n_removed == 1
+    assert got[5].text.strip() == "Third own text of five." and list(got[5].source_doc_ids) == [1, 2, 3]
