@@ -8,15 +8,21 @@ position) is a repeat.  A run of neighbouring repeats is removed if at least
 of fewer than ``unit_words`` words are not hashed and go with a run if they
 stand inside it.
 
-The query cuts at sentences: passages are shared in the middle of lines, too.
-Its ``min_words`` is ``unit_words``, so every repeat goes, whatever its
-neighbours' sources.
+The query cuts at passages, since these are shared in the middle of lines and of
+sentences, too: sentences, with East Asian stops and one word per ideograph or
+kana, of which those of more than LONG words are cut again at word boundaries
+that their words define, so that equal stretches of words are cut alike wherever
+they stand.  A repeated sentence always goes, whatever its neighbours' sources;
+a repeated part of a sentence goes in a run with LONG words, over all sources.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain, groupby
+from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import packed, sliced, table
-from logloom.llm.decontaminate import words_of
+from logloom.llm.decontaminate import WORD, words_of
 
 # a sentence ends at one mark (or dots) with any symbols behind it; "!!" after every word ends none
-BOUNDARY = {"sentence": re.compile(r"(?<![!?])(?:\.+|[!?])(?![!?])[^\w\s]*\s+|\s*\n\s*"), "line": re.compile(r"\s*\n\s*"), "paragraph": re.compile(r"\s*\n[^\S\n]*\n\s*")}
+BOUNDARY = {"sentence": re.compile(r"(?<![!?])(?:\.+|[!?])(?![!?])[^\w\s]*\s+|\s*\n\s*"), "line": re.compile(r"\s*\n\s*"), "paragraph": re.compile(r"\s*\n[^\S\n]*\n\s*"),
+            "passage": re.compile(r"(?<![!?])(?:\.+|[!?])(?![!?])[^\w\s]*\s+|\s*\n\s*|[。！？｡．][^\w\s]*\s*")}
 UNIT_WORDS = 4
 MIN_WORDS = 15
+LONG = 15  # passages of more words are cut again; parts go in runs of so many words
+REACH = 4  # a part starts at the least word hash of so many on either side, so parts have more words
+MOST = 64  # words of a part without a least hash (the same few words over and over)
+_WIDE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WIDE = re.compile(f"[{_WIDE}]")
+WIDE_WORD = re.compile(rf"[{_WIDE}]|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u3000-\u303f\uff00-\uff0f\uff1a-\uff20{_WIDE}]+")
 
 
 def units(text: str | None, unit: str) -> list[tuple[int, int, int]]:
@@ -45,19 +58,75 @@ def units(text: str | None, unit: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _parts(sizes: list[int], words: list[bytes]) -> list[list[int]]:
+    """Per long unit, the numbers of the words at which its parts start; ``words`` are those of all units."""
+    n, ends = len(words), np.cumsum(sizes)
+    key = np.fromiter(map(crc32, words), np.uint64, n)
+    after = np.append(key[1:], np.uint64(0))
+    after[ends - 1] = 0  # nothing behind a unit counts
+    key = (key * np.uint64(0x9E3779B97F4A7C15) ^ after) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(8)
+    least = np.ones(n, bool)
+    for k in range(1, REACH + 1):
+        less = key[k:] < key[:-k]
+        least[k:] &= less
+        least[:-k] &= ~less
+    found, out, b = np.flatnonzero(least), [], 0
+    lo, hi = np.searchsorted(found, ends - sizes + REACH, "right").tolist(), np.searchsorted(found, ends - REACH).tolist()
+    found = found.tolist()
+    for size, x, y in zip(sizes, lo, hi):
+        at = [0]
+        for q in (*(f - b for f in found[x:y]), size):
+            at.extend(range(at[-1] + MOST, q - REACH, MOST))
+            at.append(q)
+        out.append(at[:-1])
+        b += size
+    return out
+
+
+def _folded(text: str, a: int, b: int, wide: bool) -> list[bytes]:
+    return [w.encode().lower() for w in WIDE_WORD.findall(text, a, b)] if wide else words_of(text[a:b])
+
+
+def pieces(text: str | None, unit: str) -> list[tuple[int, int, int, list[bytes], int, int]]:
+    """(start, end, next start of the unit, folded words, number of the first word, number of parts).
+
+    Units are whole but for long passages, which come in parts.
+    """
+    wide = unit == "passage" and bool(WIDE.search(text or ""))
+    rows = [(a, b, c, _folded(text, a, b, wide)) for a, b, c in units(text, unit)]
+    long_ = [r[3] for r in rows if len(r[3]) > LONG] if unit == "passage" else []
+    if not long_:
+        return [(*r, 0, 1) for r in rows]
+    cuts, out = iter(_parts([len(w) for w in long_], list(chain.from_iterable(long_)))), []
+    for a, b, c, words in rows:
+        at = next(cuts) if len(words) > LONG else (0,)
+        if len(at) == 1:
+            out.append((a, b, c, words, 0, 1))
+        else:
+            out.extend((a, b, c, words[i:j], i, len(at)) for i, j in zip(at, [*at[1:], None]))
+    return out
+
+
+def _placed(text: str, rows: list, wide: bool) -> list[tuple[int, int, int]]:
+    """(start, end, next start) of the parts of one unit."""
+    a, b, c = rows[0][:3]
+    place = [m.start() for m in (WIDE_WORD if wide else WORD).finditer(text, a, b)]
+    begin = [a, *(place[r[4]] for r in rows[1:])]
+    return [*((x, x + len(text[x:y].rstrip()), y) for x, y in zip(begin, begin[1:])), (begin[-1], b, c)]
+
+
 def _unit_rows(unit: str, unit_words: int):
     def run(batches):
         for batch in sliced(batches):
             ids, hashes = batch.column("doc_id"), batch.column("h").to_numpy()
             row, start, digest = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                for a, b, _ in units(text, unit):
-                    words = words_of(text[a:b])
+                for a, _, _, words, i, _ in pieces(text, unit):
                     if len(words) >= unit_words:
                         row.append(k)
-                        start.append(a)
+                        start.append(a + i)  # rises with the place and differs from those of all others
                         digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                if len(row) > 100_000 or k == batch.num_rows - 1:
+                if len(row) > 20_000 or k == batch.num_rows - 1:
                     d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                     take = np.array(row, np.int64)
                     yield pa.RecordBatch.from_pydict({
@@ -70,6 +139,8 @@ def _unit_rows(unit: str, unit_words: int):
 def repeats(docs: DataFrame, unit: str = "sentence", unit_words: int = UNIT_WORDS) -> DataFrame:
     """doc_id, h, start of every repeated unit but the earliest, with ``source``, the doc_id of the earliest.
 
+    A part of a passage has as start that of the passage plus the number of its first word.
+
     h is the hash of the text; rows alike in doc_id and text are one document.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -91,28 +162,45 @@ def _cut(text: str, repeated: dict[int, object], unit: str, unit_words: int, min
     spans, kept, end, n, starts = [], [], 0, 0, []
     run: list = []
 
-    def close():
+    def remove(run):
         nonlocal end, n
         while run and run[-1][0] not in repeated:
             run.pop()  # short units behind the last repeat stay
-        shared = Counter()
-        for a, _, _, w in run:
-            if a in repeated:
-                shared[repeated[a]] += w
-        if max(shared.values(), default=0) >= min_words:
-            spans.append((run[0][0], run[-1][1]))
-            kept.append(text[end:run[0][0]])
-            end = run[-1][2]
+        if run:
+            spans.append((run[0][1], run[-1][2]))
+            kept.append(text[end:run[0][1]])
+            end = run[-1][3]
             n += len(run)
-            starts.extend(a for a, *_ in run if a in repeated)
+            starts.extend(key for key, *_ in run if key in repeated)
+
+    def close():
+        shared = Counter()
+        for key, _, _, _, w, _ in run:
+            if key in repeated:
+                shared[repeated[key]] += w
+        if unit != "passage":
+            if max(shared.values(), default=0) >= min_words:
+                remove(run)
+        elif shared.total() >= LONG:
+            remove(run)
+        else:  # parts at either end of the whole passages stay
+            inner = [k for k, x in enumerate(run) if x[0] in repeated and not x[5]]
+            remove(run[inner[0]:inner[-1] + 1] if inner else [])
         run.clear()
 
-    for a, b, c in units(text, unit):
-        words = len(words_of(text[a:b]))
-        if a in repeated or run and words < unit_words:
-            run.append((a, b, c, words))
+    rows, wide = pieces(text, unit), unit == "passage" and bool(WIDE.search(text))
+    for a, group in groupby(rows, key=itemgetter(0)):
+        group = list(group)
+        if len(group) > 1 and (run or any(a + r[4] in repeated for r in group)):
+            places = _placed(text, group, wide)
         else:
-            close()
+            places = [r[:3] for r in group]
+        for (x, y, z), r in zip(places, group):
+            key, size = a + r[4], len(r[3])
+            if key in repeated or run and size < unit_words:
+                run.append((key, x, y, z, size, r[5] > 1))
+            else:
+                close()
     close()
     return "".join(kept) + text[end:], spans, n, starts
 
@@ -120,6 +208,7 @@ def _cut(text: str, repeated: dict[int, object], unit: str, unit_words: int, min
 def dedup_substrings(docs: DataFrame, unit: str = "sentence", unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """``row`` (all columns of ``docs``) with new_text, removed (spans in the original text), n_removed, sources.
 
+    ``min_words`` holds for all units but passages.
     new_text is the text without repeats and null where the text is null;
     sources are the doc_ids that hold the earliest occurrences.  Null or empty
     texts have no units; null doc_ids rank last; no rows, no result.
@@ -155,7 +244,7 @@ def dedup_substrings(docs: DataFrame, unit: str = "sentence", unit_words: int =
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after removal, the removed spans and the documents that keep them."""
-    out = dedup_substrings(table(spark, sf_dir, "documents"), min_words=UNIT_WORDS)
+    out = dedup_substrings(table(spark, sf_dir, "documents"), "passage")
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_removed", spans.alias("removed_spans"),
                       F.col("sources").alias("source_doc_ids"), F.col("new_text").alias("text"))

@@ -94,3 +94,29 @@ def test_query_removes_every_repeated_unit(spark, tmp_path):
     assert [got[i].text for i in range(4)] == texts[:4]
     assert got[4].text == "First own text of five. Second own text of five." and got[4].n_removed == 1
     assert got[5].text.strip() == "Third own text of five." and list(got[5].source_doc_ids) == [1, 2, 3]
+
+
+def test_query_finds_passages_inside_longer_units(spark, tmp_path):
+    rnd = random.Random(4)
+    own = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    passage, wide = own(60), "".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(80))
+    long_ = own(80).split()
+    texts = [f"{own(90)} {passage} {own(90)}", f"{own(40)}, {passage}; {own(50)}", " ".join(long_), " ".join([*long_[:40], "changed", *long_[41:]]),
+             f"一二三四。{wide}。", f"五六七八九。{wide}。十五个字"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in S.op7_substring_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[i].text == texts[i] for i in (0, 2, 4))
+    assert len(got[1].text.split()) <= 90 + 2 * 15 and list(got[1].source_doc_ids) == [0]
+    assert set(texts[1].split()[:40]) <= set(got[1].text.split()) and texts[1].endswith(got[1].text[-200:])
+    assert "changed" in got[3].text and len(got[3].text.split()) <= 40
+    assert got[5].text == "五六七八九。十五个字"
+
+
+def test_parts_cover_a_unit():
+    rnd = random.Random(5)
+    for text in (" ".join(rnd.choice(["a", "b", "Cé", "x-y", "7"]) for _ in range(400)), "漢字かな" * 60 + " abc def", "w " * 3000):
+        ps = S.pieces(text, "passage")
+        assert " ".join(w.decode() for p in ps for w in p[3]) == norm(re.sub("([漢字かな])", r" \1 ", text))
+        places = S._placed(text, ps, bool(S.WIDE.search(text)))
+        assert places[0][0] == 0 and all(p[2] == q[0] for p, q in zip(places, places[1:])) and len(ps) > 1
+        assert [norm(text[a:b]) for a, b, _ in places] == [norm(b" ".join(p[3]).decode()) for p in ps] or S.WIDE.search(text)
