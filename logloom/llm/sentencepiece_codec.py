@@ -107,11 +107,8 @@ class Codec:
         self.bare = build(proto)  # without normaliser: its input is normalised already
         from tokenizers import normalizers
         self.bare.normalizer = normalizers.Sequence([])
-        # what a piece stands for in a text: its marker is a space, a byte token its byte
-        self.spelling = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         # bytes of a piece, markers included; the unknown piece spells nothing that can be counted
         self.size = np.array([1 if p.type == BYTE else len(p.piece.encode()) if p.type != UNKNOWN else -(1 << 40) for p in proto.pieces])
-        self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.known: dict[str, bytes] = {}  # piece -> its ids as 32-bit integers
         self.odd: set[str] = set()
 
@@ -172,13 +169,8 @@ class Codec:
         self.odd -= {p for p in self.odd if len(p) > CACHE_LENGTH}
         return ids, same
 
-    def spelled(self, ids: np.ndarray) -> str:
-        """The text that ids stand for, read from the model's pieces (for the round-trip check)."""
-        text = b"".join(map(self.spelling.__getitem__, ids.tolist())).decode(errors="replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
-
     def decode(self, ids: list) -> list[str]:
-        return self.tok.decode_batch([list(i) for i in ids], skip_special_tokens=False)
+        return self.tok.decode_batch([i.tolist() if isinstance(i, np.ndarray) else list(i) for i in ids], skip_special_tokens=False)
 
 
 _CODECS: dict = {}
@@ -204,6 +196,15 @@ def _list(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
 
+def _columns(codec: Codec, texts: list[str]) -> dict[str, pa.Array]:
+    """The new columns for texts, which are encoded and decoded again."""
+    ids, same = codec.encode(texts)
+    back = codec.decode(ids)
+    return {"token_ids": _list(ids), "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+            "n_byte_tokens": pa.array([int(codec.bytes[i].sum()) for i in ids], pa.int64()),
+            "parity": pa.array(same, pa.bool_()), "round_trip": pa.array([b == t for b, t in zip(back, texts)], pa.bool_())}
+
+
 TEXTS = 512  # texts encoded at once
 
 
@@ -211,8 +212,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, threads: int = THREADS) ->
     """``docs`` plus token_ids, n_tokens, n_byte_tokens, parity and round_trip.
 
     Null and empty texts have no tokens.  parity: the rebuilt tokenizer and the
-    sentencepiece library agree on the whole text; round_trip: decoding gives the
-    text back.  Columns of ``docs`` that clash with the new ones are replaced.
+    sentencepiece library agree on the whole text; round_trip: the rebuilt
+    tokenizer's decoder gives the text back from its ids.  Columns of ``docs``
+    that clash with the new ones are replaced.
     """
     shared, key = _share(docs.sparkSession, model_path)
     new = "token_ids array<int>, n_tokens long, n_byte_tokens long, parity boolean, round_trip boolean"
@@ -224,11 +226,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, threads: int = THREADS) ->
         codec = _codec(shared, key, threads)
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, same = codec.encode(texts)
-            yield pa.RecordBatch.from_pydict({
-                "row": batch.column("row"), "token_ids": _list(ids), "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
-                "n_byte_tokens": pa.array([int(codec.bytes[i].sum()) for i in ids], pa.int64()),
-                "parity": pa.array(same, pa.bool_()), "round_trip": pa.array([codec.spelled(i) == t for i, t in zip(ids, texts)], pa.bool_())})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), **_columns(codec, texts)})
 
     return rows.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names], *names)
 

@@ -70,3 +70,13 @@ def test_cache_is_bounded(monkeypatch):
     rows = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
     one = np.concatenate([codec.encode([t])[0][0] for t in rows])
     assert len(codec.known) <= 50 + 40 and (one == np.concatenate(codec.encode(rows)[0])).all()
+
+
+def test_round_trip_runs_the_decoder():
+    from tokenizers import decoders
+    codec = C.Codec(open(C.MODEL, "rb").read())
+    rows = ["the words", "漢字 and é", "a\tb\n  c", "x" * 5000, "😀 <s>", ""]
+    assert C._columns(codec, rows)["round_trip"].to_pylist() == [True] * 6
+    # a decoder that leaves the dummy prefix: only the empty text comes back
+    codec.tok.decoder = decoders.Sequence([decoders.Replace(C.MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+    assert C._columns(codec, rows)["round_trip"].to_pylist() == [False] * 5 + [True]
