@@ -7,8 +7,10 @@ many of the host's articles, and what tags, classes and roles name as menus,
 headers, footers, sidebars, notices, adverts, forms or comments, and returns the
 blocks of the article (else of main, else of the body).
 
-Paragraphs and headings inside an article are content even if they recur;
-copies of an article on one host count once.
+Paragraphs and headings inside an article are content even if they recur, and
+whatever their classes and ids are; there, only containers are dropped by name,
+and only if a class is the name itself ("related", not "related-work").  Copies
+of an article on one host count once.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
+#: raw elements whose content is text of an article that holds them
+ARTICLE_TEXT = frozenset("noscript math object".split())
 DROP = frozenset("head nav header footer aside form dialog menu button label fieldset".split()) | RAW
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROP_NAMES = re.compile(
@@ -55,15 +59,22 @@ def _attributes(attr: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attr)} if attr.strip("/ \t\r\n") else {}
 
 
-def _dropped(tag: str, a: dict[str, str]) -> bool:
-    """True for what its tag, role, class or id names as something else than the article."""
+def _dropped(tag: str, a: dict[str, str], within: bool) -> bool:
+    """True for what its tag, role, class or id names as something else than the article.
+
+    ``within``: the element stands in an article, where ids and parts of class names decide nothing.
+    """
     if tag in DROP:
-        return True
+        return not (within and tag in ARTICLE_TEXT)
     if not a or tag in ("html", "body"):
         return False
     if tag == "article" or tag == "main":
         return bool(COMMENT_NAMES.search(a.get("class", ""))) and tag == "article"
-    if a.get("role", "").lower() in DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+        return True
+    if within:
+        return tag in CONTAINERS and (a.get("role", "").lower() in DROP_ROLES or any(map(DROP_NAMES.fullmatch, a.get("class", "").split())))
+    if a.get("role", "").lower() in DROP_ROLES:
         return True
     return bool(DROP_NAMES.search(a.get("class", "")) or DROP_NAMES.search(a.get("id", "")))
 
@@ -78,12 +89,13 @@ def walk(html: str, templates=frozenset()) -> tuple[list, set[int]]:
     picked: dict[str, list] = {"article": [], "main": []}
     stack: list[list] = []  # tag, place in out, dropped, parts of the hash, inside an article or main
     parts: list[str] = []
-    dropping, inside, at = 0, 0, 0
+    dropping, inside, articles, at = 0, 0, 0, 0
 
     def close():
-        nonlocal parts, dropping, inside
+        nonlocal parts, dropping, inside, articles
         tag, place, dropped, outer, name = stack.pop()
         inside -= tag in ("article", "main")
+        articles -= tag == "article"
         digest = 0
         if tag not in ROOTS and tag in BLOCK and (not inside or tag in CONTAINERS or dropped):
             digest = xxhash.xxh3_64_intdigest(f"{tag}|{name}|" + "\x00".join(parts)) & (2**63 - 1)
@@ -123,17 +135,18 @@ def walk(html: str, templates=frozenset()) -> tuple[list, set[int]]:
         else:
             if tag in BLOCK:
                 _end_open(stack, tag, close)
-            if tag in RAW:
+            if tag in RAW and not (articles and tag in ARTICLE_TEXT):
                 last = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
                 at = last.start() if last else len(html)
             a = _attributes(m["attr"])
-            drop = _dropped(tag, a)
+            drop = _dropped(tag, a, articles > 0)
             if tag in BLOCK and not dropping:
                 out.append(BREAK)
             stack.append([tag, len(out), drop, parts, a.get("class", "")])
             parts = []
             dropping += drop
             inside += tag in ("article", "main")
+            articles += tag == "article"
             if m["attr"].endswith("/") and tag in RAW:
                 close()
         m = TAG.search(html, at)

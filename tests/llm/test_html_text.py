@@ -62,3 +62,15 @@ def test_articles_keep_recurring_paragraphs_and_copies(spark):
 
 def test_empty_table(spark):
     assert H.extract(spark.createDataFrame([], PAGE)).count() == 0
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<article><h2 class=section-header>H</h2><div class=entry-header><h1>T</h1></div><p>x</p></article>", "H\n\nT\n\nx"),
+    ("<article><h2 id=related-work>R</h2><section id=social-history><p>s</p></section><p class=notice>n</p></article>", "R\n\ns\n\nn"),
+    ("<article><h2 id=cookies class=promotion>C</h2><p role=alert>a</p></article>", "C\n\na"),
+    ("<article><p>a <math><mi>x</mi><mo>=</mo></math> b <object>o</object><noscript>n</noscript></p></article>", "a x= b on"),
+    ("<article><p>a</p><div class='box related'>r</div><ul role=menu><li>m</ul><div class=ads>d</div></article>", "a"),
+    ("<p>a</p><noscript>n</noscript><div class=related-work>r</div><div id=cookies>c</div>", "a"),
+])
+def test_names_inside_an_article(html, want):
+    assert text(html) == want
