@@ -3,7 +3,8 @@
 Every page is walked twice.  The first walk hashes element subtrees (tag,
 class, text and the children's hashes) and Spark counts, per host, on how many
 different articles each stands.  The second walk deletes subtrees that recur on
-many of the host's articles, and what tags, classes and roles name as menus,
+many of the host's articles (MIN_SHARE of them, or for containers MANY_PAGES, so
+that the block of one section goes on a large host, too), and what tags, classes and roles name as menus,
 headers, footers, sidebars, notices, adverts, forms or comments, and returns the
 blocks of the article (else of main, else of the body).
 
@@ -28,6 +29,7 @@ from logloom.llm.common import durable, map_batches, packed, sliced, table
 
 MIN_PAGES = 5  # articles of a host that must share a subtree ...
 MIN_SHARE = 0.3  # ... and their share of the host's articles
+MANY_PAGES = 100  # articles of a host that make a container a template, whatever their share
 BROADCAST_ROWS = 500_000  # template subtrees sent to all workers (16 bytes each); more are joined
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/<>]*+)(?P<attr>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>"""
@@ -82,6 +84,7 @@ def _dropped(tag: str, a: dict[str, str], within: bool) -> bool:
 def walk(html: str, templates=frozenset()) -> tuple[list, set[int]]:
     """Pieces of the main text (strings and BREAK) and the hashes of the subtrees that may be templates.
 
+    The hash of a container is odd, that of another element even.
     A subtree whose hash is in ``templates`` is left out.
     """
     out: list = []
@@ -98,7 +101,7 @@ def walk(html: str, templates=frozenset()) -> tuple[list, set[int]]:
         articles -= tag == "article"
         digest = 0
         if tag not in ROOTS and tag in BLOCK and (not inside or tag in CONTAINERS or dropped):
-            digest = xxhash.xxh3_64_intdigest(f"{tag}|{name}|" + "\x00".join(parts)) & (2**63 - 1)
+            digest = xxhash.xxh3_64_intdigest(f"{tag}|{name}|" + "\x00".join(parts)) & (2**63 - 2) | (tag in CONTAINERS)
             if any(not p.isspace() for p in parts):
                 found.add(digest)
         elif tag not in ROOTS:
@@ -191,8 +194,11 @@ def text_of(pieces: list) -> str:
     return "\n\n".join(blocks)
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, digest) of the subtrees that stand on many different articles of a host."""
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """(host, digest) of the subtrees that stand on many different articles of a host.
+
+    Many are ``min_share`` of them and ``min_pages`` at least, for containers also ``many_pages``.
+    """
 
     def run(batch):
         host, page, digest = [], [], []
@@ -208,7 +214,8 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     counts = rows.distinct().groupBy("host", "digest").agg(F.count("*").alias("n"))
     sizes = counts.where("digest = -1").select("host", F.col("n").alias("pages"))
     return (counts.where(F.col("digest") >= 0).where(F.col("n") >= min_pages).join(sizes, "host")
-            .where(F.col("n") >= min_share * F.col("pages")).select("host", "digest"))
+            .where((F.col("n") >= min_share * F.col("pages")) | (F.col("digest") % 2 == 1) & (F.col("n") >= many_pages))
+            .select("host", "digest"))
 
 
 def host_of(url) -> F.Column:
@@ -244,7 +251,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 yield pa.RecordBatch.from_pydict(lines(batch, [by_host.get(h, frozenset()) for h in batch.column("host").to_pylist()]))
 
         return rows.mapInArrow(run, schema)
-    # per host at most (subtrees of a page / min_share) digests
+    # per host at most (subtrees of a page / min_share) digests, and containers of many pages
     sets = marks.groupBy("host").agg(F.collect_set("digest").alias("digests"))
     return map_batches(rows.join(sets, "host", "left"),
                        lambda b: lines(b, [frozenset(d or ()) for d in b.column("digests").to_pylist()]), schema)

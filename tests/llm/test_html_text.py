@@ -74,3 +74,20 @@ def test_empty_table(spark):
 ])
 def test_names_inside_an_article(html, want):
     assert text(html) == want
+
+
+def test_a_block_of_one_section_goes_on_a_large_host(spark):
+    box = "<div class=x>Sport desk</div>"
+    rows = [(i, "http://a.example/", f"<body>{box if i < 120 else ''}<h2>Intro</h2><p>Own {i}</p></body>") for i in range(900)]
+    rows += [(1000 + i, "http://b.example/", f"<body>{box if i < 90 else '<h2>Intro</h2>'}<p>Own {i}</p></body>") for i in range(900)]
+    df = spark.createDataFrame([(*r, "h", "m") for r in rows], PAGE)
+    got = {r.row.page_id: r.main_text for r in H.extract(df).collect()}
+    assert all(got[i] == f"Own {i}" for i in range(900))  # the heading stands on every page
+    assert all(got[1000 + i] == ("Sport desk\n\n" if i < 90 else "") + f"Own {i}" for i in range(900))
+
+
+def test_headings_of_many_pages_stay_below_the_share(spark):
+    rows = [(i, "http://a.example/", f"<body>{'<h2>Results</h2>' if i < 150 else ''}<p>Own {i}</p></body>") for i in range(900)]
+    df = spark.createDataFrame([(*r, "h", "m") for r in rows], PAGE)
+    got = {r.row.page_id: r.main_text for r in H.extract(df).collect()}
+    assert got == {i: ("Results\n\n" if i < 150 else "") + f"Own {i}" for i in range(900)}
