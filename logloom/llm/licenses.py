@@ -6,6 +6,11 @@ of their word bigrams.  With a and b bigrams the coefficient is at most
 2 min(a, b) / (a + b), so a template can reach the threshold t only for
 b t / (2 - t) <= a <= b (2 - t) / t: templates are listed under every size they
 admit, and a unit meets only those listed under its own size.
+
+The query also looks inside: a line or paragraph with licence words that matches
+as a whole with nothing has the best template of its sentences, and of two in a
+row; those of a paragraph count only if they run over a line end and no whole
+unit of the document has their licence.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from logloom.llm.common import table
 from logloom.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
+#: every template holds one of these (or is a name of one licence)
+LICENSE_WORDS = r"(?i)licen[sc]|permi|redistribut|public domain|copyright|software|CC0"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,31 +51,52 @@ def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float =
     return rows.where("b > 0").select("part", "license", "grams", "b", F.explode(sizes).alias("a"))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, h, unit number, words of every line, and of every paragraph of two or more lines."""
+def _sentences(piece: str) -> F.Column:
+    """The sentences of a line or paragraph, and each with its next one."""
+    cut = F.split(piece, r"(?<=[.;:!?])(?=\s)")
+    n = F.size(cut) - 1
+    pairs = F.zip_with(F.slice(cut, F.lit(1), n), F.slice(cut, F.lit(2), n), lambda a, b: F.concat(a, b))
+    found = F.transform(F.concat(cut, pairs), lambda s: F.btrim(s, F.lit(" \t\r\n")))
+    return F.when(n > 0, F.filter(found, lambda s: ~F.contains(piece, F.lit("\n")) | F.contains(s, F.lit("\n")))).otherwise(F.array().cast("array<string>"))
+
+
+def units(docs: DataFrame, inside: bool = False) -> DataFrame:
+    """doc_id, h, unit number, kind, words of every line, and of every paragraph of two or more lines.
+
+    kind: 2 for whole units; ``inside``: also 1 and 0, the sentences of lines and paragraphs with licence words.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
     lines = F.split("text", "\n")
     blocks = F.filter(F.split("text", r"\n[\x20\x09\x0D]*\n\s*"), lambda p: F.contains(p, F.lit("\n")))
-    return (rows.select("doc_id", "h", F.posexplode(F.concat(lines, blocks)).alias("unit", "piece"))
-            .where(F.length("piece") > 0).select("doc_id", "h", "unit", _words("piece").alias("words")))
+    rows = rows.select("doc_id", "h", F.posexplode(F.concat(lines, blocks)).alias("unit", "piece")).where(F.length("piece") > 0)
+    parts = F.array(F.struct("piece", F.lit(2).alias("kind")))
+    if inside:
+        more = F.transform(_sentences("piece"), lambda s: F.struct(s.alias("piece"), F.when(F.contains("piece", F.lit("\n")), 0).otherwise(1).alias("kind")))
+        parts = F.when(F.rlike("piece", F.lit(LICENSE_WORDS)), F.concat(parts, more)).otherwise(parts)
+    rows = rows.select("doc_id", "h", "unit", F.explode(parts).alias("p"))
+    return rows.select("doc_id", "h", "unit", "p.kind", _words("p.piece").alias("words"))
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, inside: bool = False) -> DataFrame:
     """doc_id, h and ``found`` (unit, license, dice; by unit) for every row of ``docs(doc_id, text, ...)``.
 
     A unit has the template with the highest coefficient of at least
     ``threshold`` (ties: the first in the list).  Units are lines from 0, then
-    paragraphs of several lines.  Null text has no licence; repeated rows are
+    paragraphs of several lines; with ``inside`` a unit without one has that of
+    its sentences.  Null text has no licence; repeated rows are
     reported each; other columns are not read.
     """
     shelf = template_table(docs.sparkSession, templates, threshold).withColumnRenamed("grams", "want")
-    sized = units(docs).withColumn("grams", _bigrams("words")).drop("words").withColumn("a", F.size("grams"))
+    sized = units(docs, inside).withColumn("grams", _bigrams("words")).drop("words").withColumn("a", F.size("grams"))
     common = F.size(F.array_intersect("grams", "want"))
     close = sized.join(shelf, "a").withColumn("dice", 2 * common / (F.col("a") + F.col("b"))).where(F.col("dice") >= threshold - 1e-12)
-    best = close.groupBy("doc_id", "h", "unit").agg(F.max(F.struct("dice", -F.col("part"), "license")).alias("m"))
-    found = best.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(
-        F.struct("unit", F.col("m.license").alias("license"), F.col("m.dice").alias("dice")))).alias("found"))
+    best = close.groupBy("doc_id", "h", "unit").agg(F.max(F.struct("kind", "dice", -F.col("part"), "license")).alias("m"))
+    every = F.sort_array(F.collect_list(F.struct("unit", F.col("m.license").alias("license"), F.col("m.dice").alias("dice"), F.col("m.kind").alias("kind"))))
+    named = F.transform(F.filter("every", lambda f: f["kind"] == 2), lambda f: f["license"])
+    own = F.filter("every", lambda f: (f["kind"] > 0) | ~F.array_contains("named", f["license"]))
+    found = (best.groupBy("doc_id", "h").agg(every.alias("every")).withColumn("named", named)
+             .select("doc_id", "h", F.transform(own, lambda f: F.struct(f["unit"].alias("unit"), f["license"].alias("license"), f["dice"].alias("dice"))).alias("found")))
     keys = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
     on = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g"))
     out = keys.join(found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "found"), on, "left")
@@ -78,7 +106,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every row of documents: their names, the number of units with one, the units, the best coefficient."""
-    out = license_scan(table(spark, sf_dir, "documents"))
+    out = license_scan(table(spark, sf_dir, "documents"), inside=True)
     names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"])))
     return out.select("doc_id", F.size("found").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"),
                       F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["unit"], f["license"])), ",").alias("matches"),

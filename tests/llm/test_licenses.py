@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -52,3 +53,18 @@ def test_templates_recognise_themselves(spark):
 
 def test_empty_table(spark):
     assert L.license_scan(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_full_texts_and_notices_inside_lines(spark, tmp_path):
+    base = "/usr/share/common-licenses/"
+    names = {"BSD": "BSD-3-Clause", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+             "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "Apache-2.0": "Apache-2.0"}
+    names = {f: n for f, n in names.items() if os.path.exists(base + f)}
+    texts = [open(base + f, encoding="utf-8", errors="replace").read() for f in names]
+    lines = ["Copyright 2019 Foo Inc. Licensed under the MIT License. See LICENSE for details.",
+             "Some words of ours here. This work is licensed under\nthe GNU General Public License, version 2. And other words.",
+             "A page. Nothing about terms; no permission is given here. End."]
+    spark.createDataFrame(list(enumerate(texts + lines)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.licenses for r in L.op9_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert dict(zip(names, got)) == names
+    assert got[len(texts):] == ["MIT", "GPL-2.0", ""]
