@@ -148,25 +148,30 @@ def final_assignments(spark: SparkSession, state_dir: str) -> DataFrame:
     return resolve_alias(_read_batches(spark, state_dir, "assign"), _read_batches(spark, state_dir, "alias"))
 
 
+FILE_ROWS = 100_000  # lines of a replayed file
+
+
 def replay_stream(spark: SparkSession, lines: DataFrame, chunks: int = 4, vocab: DataFrame | None = None,
                   regex=(), drop=(), rules=None) -> DataFrame:
-    """Replay a line table as a file stream of ``chunks`` files in line order
-    and return the final catalog.  Everything is written under the session's
+    """Replay a line table as a file stream of ``chunks`` chunks in line order
+    and return the final catalog.  A chunk is a folder of files of about
+    FILE_ROWS lines, which one micro-batch takes together.  Everything is written under the session's
     checkpoint directory (shared storage on a cluster)."""
     import uuid
     from ..operators.tokens import build_vocabulary
     base = os.path.join(checkpoint_dir(spark), f"logloom-stream-{uuid.uuid4().hex}")
     src, state, ck = (os.path.join(base, x) for x in ("source", "state", "ckpt"))
     staged = written(lines.select("line_id", "line"))
+    files = max(1, -(-staged.count() // (chunks * FILE_ROWS)))  # per chunk
     at = [k / chunks for k in range(1, chunks)]
     cuts = sorted(set(staged.agg(F.percentile_approx("line_id", at, 100_000).alias("q")).first()["q"] or [])) if at else []
-    for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):  # one file stream entry per chunk, in line order
+    for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):  # the stream takes the oldest files first
         part = staged if lo is None else staged.where(F.col("line_id") > lo)
         part = part if hi is None else part.where(F.col("line_id") <= hi)
-        part.coalesce(1).write.parquet(os.path.join(src, f"chunk={i:05d}"))
+        part.repartition(files).write.parquet(os.path.join(src, f"chunk={i:05d}"))
     if vocab is None:
         vocab = build_vocabulary(canonical_contents(distinct_contents(preprocess(staged, regex, drop, rules))))
-    stream = (spark.readStream.schema("line_id bigint, line string").option("maxFilesPerTrigger", 1)
+    stream = (spark.readStream.schema("line_id bigint, line string").option("maxFilesPerTrigger", files)
               .option("recursiveFileLookup", "true").parquet(src))
     q = stream_mine(stream, state, vocab, ck, regex, drop, rules)
     q.awaitTermination()

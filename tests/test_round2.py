@@ -70,3 +70,14 @@ def test_streamed_batches_equal_one_batch(spark):
         assert {(r.template, r.n_lines) for r in replay_stream(spark, lines, chunks).collect()} == one
     shuffled = {(r.template, r.n_lines) for r in mine_templates(lines.repartition(7)).catalog.collect()}
     assert shuffled == one
+
+
+def test_replayed_chunks_are_many_files(spark, monkeypatch):
+    from logloom.streaming import incremental
+    lines = spark.createDataFrame([(i, f"user {i % 7} logged in from host h{i % 3}") for i in range(400)], "line_id bigint, line string")
+    one = {(r.template, r.n_lines) for r in replay_stream(spark, lines, 2).collect()}
+    sizes, process = [], incremental.process_batch
+    monkeypatch.setattr(incremental, "FILE_ROWS", 50)
+    monkeypatch.setattr(incremental, "process_batch", lambda df, *a: sizes.append((df.count(), df.select(F.input_file_name()).distinct().count())) or process(df, *a))
+    assert {(r.template, r.n_lines) for r in replay_stream(spark, lines, 2).collect()} == one
+    assert [n for _, n in sizes] == [4, 4] and sum(n for n, _ in sizes) == 400
