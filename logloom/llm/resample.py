@@ -62,7 +62,7 @@ def feature_buckets(text: bytes, run: int, buckets: int) -> tuple[np.ndarray, in
             first = max(0, len(tail) - k + 1)
             runs = row[first:] if k == 1 else [b" ".join(row[i:i + k]) for i in range(first, len(row) - k + 1)]
             out.append(np.fromiter(map(zlib.crc32, runs), np.uint32, len(runs)) % np.uint32(buckets))
-        tail = row[len(row) - run + 1:] if run > 1 else []
+        tail = row[max(0, len(row) - run + 1):] if run > 1 else []
     return np.concatenate(out) if out else np.zeros(0, np.uint32), n
 
 
