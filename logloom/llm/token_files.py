@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 
@@ -39,11 +40,12 @@ MODEL = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 1
 BLOCK = 256
 PERCENT = 90
-SHARD_IDS = 16_000_000  # ids in a shard, about; a file of some 30 MB
-LEAST_IDS = 1_000_000  # smaller shards are not made for the sake of more tasks
+SHARD_BYTES = 40_000_000  # text in a shard, about; a file of some 30 MB
+LEAST_BYTES = 2_000_000  # smaller shards are not made for the sake of more tasks
 FLUSH = 1 << 20  # ids packed at once
-CACHE_CHUNKS = 400_000  # chunks kept by a worker (about 60 MB); then it starts anew
-CACHE_LENGTH = 48
+GROUP = 256  # new words encoded as one text
+CACHE_WORDS = 600_000  # words kept by a worker (about 110 MB); then it starts anew
+CACHE_LENGTH = 48  # longer ones are not kept
 HEAD = np.dtype([("base", "<u4"), ("width", "u1"), ("zero", "u1"), ("n_exc", "<u2")])
 FOOTER = "<8sIIQQQQQ"  # magic, block size, crc32 of the index, shard, ids, blocks, documents, index start
 MAGIC = b"PFORIDS1"
@@ -131,133 +133,137 @@ def unpack_blocks(data: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 # ---- ids ----------------------------------------------------------------------------
 
-def cuts_at_spaces(model: dict) -> bool:
-    """True if a text's ids are those of its parts between ASCII white space, one after another.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# ASCII and the letters from U+00C0 to U+017F: composed already, and letters in every version of Unicode
+LATIN = re.compile(rb"(?:[\x00-\x7f]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])*")
+#: the words that SPLIT finds in such a text, folded
+WORD = re.compile(rb"[a-z\xc3-\xc5\x80-\xbf]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9\x80-\xff]+")
+
+
+def cuts_into_words(model: dict) -> bool:
+    """True if a text's ids are those of its words, one after another, and a word ends with a token that says so.
 
     So it is where the normaliser only composes, folds case and replaces white
-    space, white space separates words and belongs to none, nothing is added
-    around a text, and added tokens take no white space with them.
+    space, SPLIT finds the words, nothing is added around a text, and added
+    tokens take no white space with them.
     """
     def steps(part, name):
         return [] if not part else part[name] if part["type"] == "Sequence" else [part]
 
     norm, pre = steps(model["normalizer"], "normalizers"), steps(model["pre_tokenizer"], "pretokenizers")
-    plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
-                for n in norm)
-    split = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and pre[0]["pattern"] == {
-        "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
-    rest = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
-    added = model["added_tokens"]
-    return plain and split and rest and bool(added) and not model["truncation"] and not model["padding"] and all(
-        t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].startswith("<|")
-        and t["content"].islower() and not any(c.isspace() for c in t["content"]) for t in added)
+    plain = [n["type"] for n in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": r"\s+"} and norm[1]["content"] == " "
+    split = len(pre) == 2 and (pre[0]["type"], pre[0]["behavior"], pre[0]["invert"], pre[0]["pattern"]) == ("Split", "Removed", True, {"Regex": SPLIT})
+    level = split and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+    bpe = model["model"]["type"] == "BPE" and bool(model["model"]["end_of_word_suffix"]) and not model["model"]["dropout"]
+    return plain and level and bpe and not model["truncation"] and not model["padding"] and all(
+        not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].startswith("<|")
+        and not any(c.isspace() for c in t["content"]) for t in model["added_tokens"])
 
 
 class Encoder:
     """Ids of texts in one worker; equal to those of the library for whole texts.
 
-    Parts between white space recur, so each is encoded once and kept; new ones
-    go to the library together, parted by an added token.
+    Words recur, so each is encoded once and kept; new ones go to the library
+    many at a time.  Parts between white space with other characters, or with
+    what may be an added token, are such words as they stand.
     """
 
     def __init__(self, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         spec = json.loads(model)
-        self.tok, self.parts = Tokenizer.from_str(model.decode()), cuts_at_spaces(spec)
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        mark = spec["added_tokens"][0] if self.parts else {"content": "", "id": -1}
-        self.mark, self.mark_id = mark["content"], mark["id"]
-        self.lower = self.parts and "Lowercase" in json.dumps(spec["normalizer"])
+        self.tok, self.by_word = Tokenizer.from_str(model.decode()), cuts_into_words(spec)
+        size = self.tok.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)  # tokens that end a word
+        if self.by_word:
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        text = {p: p.decode("utf-8", "replace") for p in parts}
-        odd = [p for p in parts if b"<|" in p]  # may hold an added token
-        even = [p for p in parts if b"<|" not in p]
-        out = dict(zip(odd, (a.tobytes() for a in self._library([text[p] for p in odd]))))
-        for i in range(0, len(even), 256):
-            group = even[i:i + 256]
-            ids = self._library([self.mark.join(text[p] for p in group)])[0]
-            ends = np.r_[np.flatnonzero(ids == self.mark_id), len(ids)].tolist()
-            data, size, at = ids.tobytes(), self.dtype.itemsize, 0
-            for p, end in zip(group, ends):
-                out[p] = data[at * size:end * size]
-                at = end + 1
+    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
+        got = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype) for e in got]
+
+    def _learn(self, words: list[bytes], alone: list[bytes]) -> None:
+        groups = [words[i:i + GROUP] for i in range(0, len(words), GROUP)]
+        size = self.dtype.itemsize
+        for group, ids in zip(groups, self._library([b" ".join(g) for g in groups])):
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * size
+            if len(stops) != len(group) or stops[-1] != len(ids) * size:
+                alone += group
+                continue
+            data, stops = ids.tobytes(), stops.tolist()
+            self.known.update(zip(group, [data[i:j] for i, j in zip([0, *stops], stops)]))
+        self.known.update(zip(alone, (a.tobytes() for a in self._library(alone))))
+
+    @staticmethod
+    def _cut(text: bytes, odd: set[bytes]) -> list[bytes]:
+        """Words of a text; those that only the library can cut further are added to ``odd``."""
+        if b"<|" not in text and LATIN.fullmatch(text):
+            return WORD.findall(text.lower())
+        out = []
+        for part in text.split():
+            if b"<|" not in part and LATIN.fullmatch(part):
+                out += WORD.findall(part.lower())
+            else:
+                odd.add(part)
+                out.append(part)
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as bytes of ``dtype``."""
-        if not self.parts:
-            return [a.tobytes() for a in self._library([t.decode("utf-8", "replace") for t in texts])]
-        if len(self.known) > CACHE_CHUNKS:
+        if not self.by_word:
+            return [a.tobytes() for a in self._library(texts)]
+        if len(self.known) > CACHE_WORDS:
             self.known = {}
-        # folding first changes nothing in ASCII texts without added tokens
-        cut = [(t.lower() if self.lower and t.isascii() and b"<|" not in t else t).split() for t in texts]
-        found = [list(map(self.known.get, c)) for c in cut]
-        new = list(dict.fromkeys(p for c, f in zip(cut, found) if None in f for p, x in zip(c, f) if x is None))
-        extra = self._learn(new)
-        out = [b"".join([extra[p] if x is None else x for p, x in zip(c, f)] if None in f else f) for c, f in zip(cut, found)]
-        self.known.update((p, x) for p, x in extra.items() if len(p) <= CACHE_LENGTH)
+        odd: set[bytes] = set()
+        cut = [self._cut(t, odd) for t in texts]
+        new = set().union(*cut).difference(self.known)
+        self._learn(list(new - odd), list(new & odd))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del self.known[w]
         return out
 
 
 _ENCODERS: dict = {}
 
 
-def token_ids(docs: DataFrame, model_path: str = MODEL, end_id: int = END_ID) -> tuple[DataFrame, int]:
-    """doc_id, h, place and ``ids`` (bytes) of every row of ``docs(doc_id, text, ...)``, and the bytes of an id.
-
-    Null text is empty: its ids are the end id alone.
-    """
-    with open(model_path, "rb") as f:  # on the driver only
-        model = f.read()
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model)
-    dtype = Encoder(model).dtype
-    if not 0 <= end_id < 1 << 8 * dtype.itemsize:
-        raise ValueError(f"the end id {end_id} does not fit {dtype.itemsize} bytes")
-    end = np.array([end_id], dtype).tobytes()
-
-    def run(batches):
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(shared.value)
-        for batch in sliced(batches, 512):
-            ids = [i + end for i in _ENCODERS[key].encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "h", "place")} | {"ids": pa.array(ids, pa.binary())})
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"),
-                       F.monotonically_increasing_id().alias("place"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h long, place long, ids binary"), dtype.itemsize
+def _encoder(shared, key: int) -> Encoder:
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(shared.value)
+    return _ENCODERS[key]
 
 
 # ---- files --------------------------------------------------------------------------
 
-def _shard_writer(size: int):
+def _shard_writer(shared, key: int, end: bytes):
     """Task over the sorted documents of one shard: the values that make up its file."""
+    size = len(end)
+
     def run(batches):
         held, n_held, at, starts = [], 0, 0, []
         doc_id, null, n_ids = [], [], []
 
         def flush(last: bool):
             nonlocal held, n_held, at
-            ids = np.concatenate([np.frombuffer(h, f"<u{size}") for h in held])
+            ids = np.frombuffer(b"".join(held), f"<u{size}")
             if last:
                 ids = np.r_[ids, np.repeat(ids[-1:], -len(ids) % BLOCK)]
-            for i in range(0, len(ids) // BLOCK * BLOCK, FLUSH):
-                data, start = pack_blocks(ids[i:min(i + FLUSH, len(ids) // BLOCK * BLOCK)])
+            full = len(ids) // BLOCK * BLOCK
+            for i in range(0, full, FLUSH):
+                data, start = pack_blocks(ids[i:min(i + FLUSH, full)])
                 starts.append(start + at)
                 at += len(data) + 1  # and the line feed
                 yield pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
-            rest = ids[len(ids) // BLOCK * BLOCK:]
-            held, n_held = [rest.tobytes()], len(rest)
+            held, n_held = [ids[full:].tobytes()], len(ids) - full
 
-        for batch in sliced(batches):
-            ids = batch.column("ids").to_pylist()
+        for batch in sliced(batches, 512):
+            ids = [i + end for i in _encoder(shared, key).encode(batch.column("text").to_pylist())]
             held += ids
             n_ids.append(np.array([len(x) // size for x in ids], np.int64))
             n_held += int(n_ids[-1].sum())
@@ -267,35 +273,41 @@ def _shard_writer(size: int):
                 yield from flush(False)
         if not n_ids:
             return
-        total = int(sum(n.sum() for n in n_ids))
+        ends = np.cumsum(np.concatenate(n_ids))
         if n_held:
             yield from flush(True)
-        starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        ends = np.cumsum(np.concatenate(n_ids))
+        starts = np.concatenate(starts)
         index = b"".join([starts.astype("<u8").tobytes(), np.concatenate(doc_id).astype("<i8").tobytes(),
                           ends.astype("<u8").tobytes(), np.concatenate(null).astype("u1").tobytes()])
-        foot = struct.pack(FOOTER, MAGIC, BLOCK, zlib.crc32(index), TaskContext.get().partitionId(), total, len(starts), len(ends), at)
+        foot = struct.pack(FOOTER, MAGIC, BLOCK, zlib.crc32(index), TaskContext.get().partitionId(), int(ends[-1]), len(starts), len(ends), at)
         yield pa.RecordBatch.from_pydict({"data": pa.array([index + foot], pa.binary())})
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, model_path: str = MODEL, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, model_path: str = MODEL, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Write the ids of every row of ``docs(doc_id, text, ...)`` to files under ``path``.
 
-    doc_id is an integer or null (null first).  Rows with the same doc_id
-    follow one another, by a hash of their texts; other columns are not read.
-    An empty table gives no shard.
+    doc_id is an integer or null (null first); null text is empty, its ids are
+    the end id alone.  Rows with the same doc_id follow one another, by a hash
+    of their texts; other columns are not read.  An empty table gives no shard.
     """
     spark = docs.sparkSession
-    ids, size = token_ids(docs, model_path, end_id)
-    ids = written(ids)
-    total = (ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // size
+    with open(model_path, "rb") as f:  # on the driver only
+        model = f.read()
+    dtype = Encoder(model).dtype
+    if not 0 <= end_id < 1 << 8 * dtype.itemsize:
+        raise ValueError(f"the end id {end_id} does not fit {dtype.itemsize} bytes")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"),
+                       F.monotonically_increasing_id().alias("place"), text.cast("binary").alias("text"))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, -(-total // shard_ids), min(spread, total // LEAST_IDS))
-    order = ["doc_id", "h", "place"]
-    sorted_ = ids.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    sorted_.select("doc_id", "ids").mapInArrow(_shard_writer(size), "data binary").select(F.col("data").cast("string")).write.text(path)
+    shards = max(1, -(-total // shard_bytes), min(spread, total // LEAST_BYTES))
+    order = ["doc_id", "h", "place"]  # equal rows are told apart by their place, so they can fill several shards
+    sorted_ = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    task = _shard_writer(spark.sparkContext.broadcast(model), zlib.crc32(model), np.array([end_id], dtype).tobytes())
+    sorted_.mapInArrow(task, "data binary").select(F.col("data").cast("string")).write.text(path)
 
 
 class Shard:

@@ -41,12 +41,12 @@ def test_width_is_the_percentile():
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40) | st.lists(st.sampled_from(
-    ["It's", "'SAVE", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", " ", " ", " ", "\x1c", "\n\n", "H̱", "̱", "İ", "Ω", "12a3", "ﬁ", "東京", "🙂!"]),
+    ["It's", "'SAVE", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", " ", " ", " ", "\x1c", "\n\n", "H̱", "̱", "İ", "Ω", "12a3", "ﬁ", "É", "×", "ŉ", "!\x01?", "ab'llc", "\u00a0", "ª", "ſ", "東京", "🙂!"]),
     max_size=8).map("".join), max_size=5))
-def test_parts_give_the_ids_of_whole_texts(texts):
+def test_words_give_the_ids_of_whole_texts(texts):
     with open(T.MODEL, "rb") as f:
         enc = ENCODERS.setdefault("e", T.Encoder(f.read()))
-    assert enc.parts
+    assert enc.by_word
     got = [np.frombuffer(b, enc.dtype).tolist() + [T.END_ID] for b in enc.encode([t.encode() for t in texts])]
     assert got == library(texts)
 
@@ -65,7 +65,7 @@ def test_files_hold_the_ids_in_order(spark):
     docs = documents()
     df = spark.createDataFrame([(d, t, "i", 0, "h") for d, t in docs], DOC).repartition(5)
     path = shared_path(spark)
-    T.write_tokens(df, path, shard_ids=100_000)
+    T.write_tokens(df, path, shard_bytes=200_000)
     got = sorted(T.read_tokens(spark, path).collect(), key=lambda r: r.start)
     assert len(spark.read.format("binaryFile").load(path).where("length > 0").collect()) > 3
     assert [r.doc_id for r in got] == sorted([d for d, _ in docs], key=lambda d: (d is not None, d or 0))
@@ -82,7 +82,7 @@ def test_files_hold_the_ids_in_order(spark):
 def test_shards_follow_one_another(spark):
     df = spark.createDataFrame([(1, "one two " * 5000) for _ in range(60)], "doc_id long, text string").repartition(4)
     path = shared_path(spark)
-    T.write_tokens(df, path, shard_ids=60_000)  # copies of one document fill several shards
+    T.write_tokens(df, path, shard_bytes=120_000)  # copies of one document fill several shards
     rows = T.read_tokens(spark, path, with_ids=False).orderBy("start").collect()
     assert [r.start for r in rows] == [10_001 * i for i in range(60)]
     assert len({r.ids_crc32 for r in rows}) == 1
