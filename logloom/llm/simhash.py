@@ -32,6 +32,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (shift, width)
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 RUN_LIMIT = 32768  # members of one key compared in one piece; longer runs are split in block pairs
 SHORT_RUN = 12
+NO_LIMIT = 1 << 62
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -204,6 +205,14 @@ def _verify(max_bits: int, limit: int):
 _OUT = "u long, v long, key long"
 
 
+def spread(fps: DataFrame) -> DataFrame:
+    """``fps(fp)`` over all shuffle partitions: each row becomes some 180, which merged partitions would gather in few tasks.
+
+    Dealt by a hash of fp: by fp itself, an input that is distinct already would not be dealt anew.
+    """
+    return fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fps(fp)`` that connect all pairs within ``max_bits``.
 
@@ -224,9 +233,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run_limit: int = RUN_LIMIT)
         key = np.concatenate([k for k, _ in out])
         return {"key": key, "sub": np.zeros(len(key), np.int64), "fp": np.concatenate([f for _, f in out])}
 
-    # a fixed number of partitions: each row becomes some 180, which a small-partition merge would gather in few tasks
-    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    keys = map_batches(spread, expand, "key long, sub long, fp long")
+    keys = map_batches(spread(fps), expand, "key long, sub long, fp long")
     found = durable(keys.repartition("key").sortWithinPartitions("key")
                     .mapInArrow(_verify(max_bits, run_limit), _OUT))
     plain = found.where("key IS NULL").select("u", "v")
@@ -239,7 +246,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run_limit: int = RUN_LIMIT)
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda o: F.least(block, o) * F.col("blocks") + F.greatest(block, o))).alias("sub"))
     rest = (pairs.repartition("key", "sub").sortWithinPartitions("key", "sub")
-            .mapInArrow(_verify(max_bits, 4 * run_limit), _OUT))
+            .mapInArrow(_verify(max_bits, NO_LIMIT), _OUT))  # blocks of about run_limit / 4: none is given up
     return plain.union(durable(rest).select("u", "v"))
 
 

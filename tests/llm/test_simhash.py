@@ -116,3 +116,24 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b", None, None, None), (None, "a b", None, None, None), (5, "A B", None, None, None)], A)
     assert {r.component_id for r in S.near_dedup(df).collect()} == {5}
     assert [r.doc_id for r in S.keep_one(df).collect()] == [5]
+
+
+def test_distinct_fingerprints_are_dealt_out_anew(spark):
+    fps = spark.range(500).select((F.col("id") % 90).alias("fp")).distinct()
+    assert S.spread(fps).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_blocks_of_a_split_run_are_never_given_up(spark):
+    fp = np.concatenate([np.uint64(i) ^ np.r_[np.uint64(0), np.uint64(1) << np.arange(22, 64, dtype=np.uint64)] for i in (0, 1 << 8)])
+    df = spark.createDataFrame([(int(f),) for f in np.unique(fp).view(np.int64)], "fp long")
+    for limit in (6, 1000):  # runs split into blocks, and none
+        edges = S.links(df, run_limit=limit).collect()
+        seen = {int(f): int(f) for f in np.unique(fp).view(np.int64)}
+
+        def root(x):
+            while seen[x] != x:
+                x = seen[x]
+            return x
+        for u, v in edges:
+            seen[root(u)] = root(v)
+        assert len({root(x) for x in seen}) == 1
