@@ -54,4 +54,19 @@ TEMPLATES = (
     ("MPL-1.1", 'MOZILLA PUBLIC LICENSE Version 1.1'),
     ("Artistic-1.0", 'The "Artistic License"'),
     ("CC0-1.0", 'CC0 1.0 Universal'),
-)
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Released under the Apache 2.0 license."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("CC-BY-4.0", "Offered under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Offered under CC BY-SA 4.0."),
+) + tuple((name, f"SPDX-License-Identifier: {name}") for name in (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause",
+    "BSD-3-Clause", "ISC", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0"))

@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import re
@@ -12,16 +13,30 @@ def grams(t):
     return {(a, b) for a, b in zip(w, w[1:])}
 
 
-def brute(text):
+WANT = [(name, grams(t)) for name, t in L.TEMPLATES]
+
+
+def best_of(text):
+    """Best (dice, name), ties: the first template."""
+    have, best = grams(text), None
+    for name, want in WANT:
+        dice = 2 * len(have & want) / (len(have) + len(want)) if have else 0
+        if dice >= L.THRESHOLD - 1e-12 and (best is None or dice > best[0]):
+            best = (dice, name)
+    return best
+
+
+def brute(text, inside=False):
     text, out = text or "", []
-    pieces = text.split("\n") + [p for p in re.split(r"\n[ \t\r]*\n\s*", text) if "\n" in p]
+    pieces = text.split("\n") + [p for p in re.split(r"\n[ \t\r]*\n[ \t\n\v\f\r]*", text) if "\n" in p]
     for u, p in enumerate(pieces):
-        have, best = grams(p), None
-        for k, (name, t) in enumerate(L.TEMPLATES):
-            want = grams(t)
-            dice = 2 * len(have & want) / (len(have) + len(want)) if have else 0
-            if dice >= L.THRESHOLD - 1e-12 and (best is None or dice > best[0]):
-                best = (dice, name)
+        best = best_of(p)
+        if inside and not best:
+            cut = re.split(r"(?<=[.;:!?])(?=[ \t\n\v\f\r])", p)
+            parts = cut + [a + b for a, b in zip(cut, cut[1:])] if len(cut) > 1 else []
+            if "\n" in p:
+                parts = [x for x in parts if "\n" in x.strip(" \t\r\n")]
+            best = max((b for b in map(best_of, parts) if b), key=lambda b: (b[0], -[n for n, _ in WANT].index(b[1])), default=None)
         if best:
             out.append((u, best[1], round(best[0], 9)))
     return out
@@ -40,10 +55,15 @@ def test_scan_equals_brute_force(spark):
             lines.append(t if rnd.random() < 0.7 else t.replace(" ", "\n", 2))
             lines.append(rnd.choice(["", "", "other é text", " \t"]))
         rows.append((10 + i, "\n".join(lines)))
+        if i % 3 == 0:  # notices inside lines and over line ends
+            a, b = rnd.choice(L.TEMPLATES)[1], rnd.choice(L.TEMPLATES)[1]
+            rows.append((300 + i, f"Words of ours! {a} And more of them\n\nFirst. {b.replace(' ', chr(10), 1)} Then: others;\tlast."))
     rows += rows[-2:] + [(None, rows[-1][1])]
     df = spark.createDataFrame([(i, t, "h", "u", 1) for i, t in rows], DOC)
     got = sorted((str(r.doc_id), [(f.unit, f.license, round(f.dice, 9)) for f in r.found]) for r in L.license_scan(df).collect())
     assert got == sorted((str(i), brute(t)) for i, t in rows)
+    got = sorted((str(r.doc_id), [(f.unit, f.license, round(f.dice, 9)) for f in r.found]) for r in L.license_scan(df, inside=True).collect())
+    assert got == sorted((str(i), brute(t, inside=True)) for i, t in rows)
 
 
 def test_templates_recognise_themselves(spark):
@@ -51,8 +71,25 @@ def test_templates_recognise_themselves(spark):
     assert all(r.found[0].license == L.TEMPLATES[r.doc_id][0] and r.found[0].dice == 1 for r in L.license_scan(df).collect())
 
 
+def test_units_at_the_threshold_share_a_mark():
+    for b in range(1, 400):
+        for a in range(1, 700):
+            least = math.ceil(L.THRESHOLD * (a + b) / 2 - 1e-9)  # bigrams in common that the threshold asks for
+            if least <= min(a, b):
+                assert least >= L.need(b, L.THRESHOLD) >= 1
+
+
 def test_empty_table(spark):
     assert L.license_scan(spark.createDataFrame([], DOC)).count() == 0
+    one = spark.createDataFrame([(1, "MIT License", "", "", 0)], DOC)
+    assert [r.found for r in L.license_scan(one, templates=()).collect()] == [[]]
+
+
+def test_no_words_are_needed(spark):
+    df = spark.createDataFrame([(1, "A page. Offered under CC BY 4.0. The end."), (2, "x = 1  # SPDX-License-Identifier: GPL-2.0-or-later")], "doc_id long, text string")
+    assert [[f.license for f in r.found] for r in L.license_scan(df, inside=True).orderBy("doc_id").collect()] == [["CC-BY-4.0"], ["GPL-2.0-or-later"]]
+    tag = spark.createDataFrame([(1, "// SPDX-License-Identifier: MIT")], "doc_id long, text string")
+    assert [f.license for f in L.license_scan(tag).first().found] == ["MIT"]
 
 
 def test_full_texts_and_notices_inside_lines(spark, tmp_path):
