@@ -1,4 +1,4 @@
-"""Similarity of catch-all contents and their connected components.
+"""Similarity of catch-all contents and their connected components (``forests`` joins L7 and L8).
 
 Pairs are never enumerated per group.  ``similar_pairs`` uses prefix
 filtering (tokens in rare-first global order; two contents can only pass the
@@ -230,12 +230,3 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     label = e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
     return (nodes.select("id").distinct().join(label, "id", "left")
             .withColumn("component", F.coalesce("component", "id")))
-
-
-def similarity_clusters(catch_all: DataFrame, measure: str = "lcs", sim_th: float = 0.0) -> DataFrame:
-    """Catch-all contents -> (canon, cluster_key) by connected components."""
-    nodes = catch_all.select(F.col("canon").alias("id"), "tokens", "min_line", "max_line")
-    edges = similar_pairs(nodes, measure, sim_th).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
-    comp = components(nodes, edges)
-    return comp.select(F.col("id").alias("canon"),
-                       F.concat(F.lit("<*>#"), F.md5("component")).alias("cluster_key"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.masking import WILDCARD
 from ..operators import induction, merging
 from ..operators.preprocess import distinct_contents, preprocess
-from ..operators.similarity import similarity_clusters
+from ..operators.forests import similarity_clusters
 from ..operators.tokens import build_vocabulary, collapse_canonical, materialize_vocab, static_keys, tokenize
 from ..session import checkpoint_dir, written
 

@@ -575,13 +575,19 @@ def q_template_catalog(spark, sf):
     return induction.template_catalog(_induced(vpipe(spark, sf))).select("template_key", "template", *_bigint("n_lines", "n_contents", "first_line"))
 
 
+def _turns(spark, sf):
+    """Conversation turns with a line number of their own, in the order of conversations and turns."""
+    conv = tables.read_table(spark, sf, "conversations")
+    turns = (conv.agg(F.max("turn")).first()[0] or 0) + 1
+    return conv.withColumn("line_id", F.col("conv_id") * turns + F.col("turn"))
+
+
 @query("align_template")
 def q_align_template(spark, sf):
     """Conversation turns grouped by role form mixed-length clusters; the
     first text of each length is aligned (rows-checked)."""
-    conv = tables.read_table(spark, sf, "conversations")
-    clusters = conv.select(F.col("role").alias("cluster_key"), tk.tokenize_expr("text").alias("tokens"),
-                           (F.col("conv_id") * 1000 + F.col("turn")).alias("min_line"))
+    clusters = _turns(spark, sf).select(F.col("role").alias("cluster_key"), tk.tokenize_expr("text").alias("tokens"),
+                                        F.col("line_id").alias("min_line"))
     return induction.align_templates(clusters)
 
 
@@ -857,6 +863,26 @@ def q_lcs_similarity(spark, sf):
     return p.select(F.col("a_id").alias("a_canon"), F.col("b_id").alias("b_canon"), F.round("score", 6).alias("score"))
 
 
+@query("similarity_components", with_pipeline("SELECT id AS canon, c AS component FROM r", [
+    ("e", f"""SELECT a_canon AS s, b_canon AS d FROM (
+ SELECT a.canon AS a_canon, b.canon AS b_canon, {_LCS_SCORE_DUCK} AS score, a.tokens AS ta, b.tokens AS tb,
+  a.min_line AS amin, a.max_line AS amax, b.min_line AS bmin, b.max_line AS bmax
+ FROM cc a JOIN cc b ON a.canon < b.canon WHERE len(a.tokens) > 0 AND len(b.tokens) > 0)
+WHERE (amin < bmax AND score >= 1 - log2(len(ta)) / len(ta)) OR (bmin < amax AND score >= 1 - log2(len(tb)) / len(tb))"""),
+    ("u", "SELECT s, d FROM e UNION ALL SELECT d, s FROM e")]).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\nSELECT id AS canon", """,
+r(id, c) USING KEY (id) AS (SELECT canon, canon FROM cc WHERE len(tokens) > 0
+ UNION SELECT u.s, min(x.c) FROM r x JOIN u ON x.id = u.d JOIN recurring.r y ON y.id = u.s WHERE x.c < y.c GROUP BY u.s)
+SELECT id AS canon"""))
+def q_similarity_components(spark, sf):
+    """L7 + L8 over the distinct event contents: components from the forests of
+    the buckets; the oracle links every similar pair."""
+    from ..operators.forests import linked_components
+    cc = vpipe(spark, sf).cc.where(F.size("tokens") > 0)
+    return linked_components(cc.select(F.col("canon").alias("id"), "tokens", "min_line", "max_line")).select(
+        F.col("id").alias("canon"), "component")
+
+
 @query("cosine_similarity", f"""WITH nodes AS MATERIALIZED ({BENCH_NODES_SQL}),
 tc AS MATERIALIZED (SELECT id, t, count(*) AS c FROM (SELECT id, unnest(tokens) AS t FROM nodes) GROUP BY id, t),
 nm AS MATERIALIZED (SELECT id, sqrt(sum(c * c)) AS n FROM tc GROUP BY id),
@@ -886,8 +912,7 @@ def q_similarity_clusters(spark, sf):
     """G3 -> L7 -> L8 on conversation turns (rows-checked)."""
     from .mine import cluster_contents
     from ..operators.tokens import build_vocabulary, canonical_contents, materialize_vocab
-    lines = tables.read_table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), F.col("text").alias("line"))
+    lines = _turns(spark, sf).select("line_id", F.col("text").alias("line"))
     cc = canonical_contents(distinct_contents(preprocess(lines))).checkpoint()
     vocab = materialize_vocab(build_vocabulary(cc, min_df=50))
     return cluster_contents(cc, vocab).groupBy("cluster_key").agg(F.count(F.lit(1)).alias("n_contents"))
