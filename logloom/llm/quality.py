@@ -205,27 +205,35 @@ def held_out(doc_id="doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``limit`` rows (text, y) of labelled documents that may be learned from."""
-    order = [F.xxhash64("doc_id", F.lit(5)), "doc_id", "y"]
+def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, h (of the text), text, y of the documents with one of the first ``limit`` labels that may be learned from."""
     ids = (labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-           .select("doc_id", (F.col("quality") > 0).cast("int").alias("y")).orderBy(*order).limit(limit))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    return rows.orderBy(*order, F.xxhash64("text")).limit(limit).select("text", "y")
+           .select("doc_id", (F.col("quality") > 0).cast("int").alias("y")).orderBy(*_order()).limit(limit))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    return rows.join(F.broadcast(ids), "doc_id")
+
+
+def _order() -> list:
+    return [F.xxhash64("doc_id", F.lit(5)), "doc_id", "y"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, Network | Prior]:
-    """Word vectors of all ``docs`` and the network fitted on the labelled sample."""
+    """Word vectors of all ``docs`` and the network fitted on the labelled sample.
+
+    Texts are pooled where they are; only feature rows of fixed size, at most ``limit``, come together.
+    """
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    rows = labelled_rows(docs, labels, limit)
 
     def features(batch):
         x = [pool(t, shared.value).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_pydict({"x": pa.array(x, pa.binary()), "y": batch.column("y")})
+        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "h", "y")} | {"x": pa.array(x, pa.binary())})
 
-    rows = training_rows(docs, labels, limit).mapInArrow(lambda it: map(features, sliced(it)), "x binary, y int").toArrow()
-    y = rows["y"].to_numpy().astype(np.float64)
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    pooled = rows.mapInArrow(lambda it: map(features, sliced(it)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, y int, x binary")
+    found = pooled.orderBy(*_order(), "h").limit(limit).select("x", "y").toArrow()
+    y = found["y"].to_numpy().astype(np.float64)
+    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     return vectors, Network(x, y) if 0 < y.sum() < len(y) else Prior(y)
 
 

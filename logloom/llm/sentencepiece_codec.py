@@ -4,7 +4,7 @@ The model file (a protobuf) is parsed on the driver and rebuilt: normaliser
 (character map, white-space rules, dummy prefix), the metaspace marker, unigram
 scores or BPE merges ranked by score, and byte fallback.  Tasks encode batches
 with the library's threads; every result is compared with the sentencepiece
-library, whose ids are used (and the row is flagged) where the two differ.
+library; a row whose ids differ from it is flagged.
 
 If no piece goes on after a non-marker character with the marker, a text's
 tokens are those of its pieces "markers + word", one after another.  Then each
@@ -85,6 +85,8 @@ def build(proto):
         steps.append(normalizers.Prepend(MARK))
     if spec.escape_whitespaces:
         steps.append(normalizers.Replace(" ", MARK))
+        if spec.remove_extra_whitespaces:  # markers that the text spells itself go at its end, too
+            steps.append(normalizers.Replace(Regex(f"{MARK}+\\z"), ""))
     if steps:
         tok.normalizer = normalizers.Sequence(steps)
     tok.add_tokens([AddedToken(p.piece, normalized=False) for p in proto.pieces if p.type == USER])
@@ -115,18 +117,18 @@ class Codec:
     def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.reference.encode(texts, num_threads=self.threads)
-        return theirs, [a == b for a, b in zip(mine, theirs)]
+        return mine, [a == b for a, b in zip(mine, theirs)]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of new pieces, verified; many at a time, and cut apart by the bytes that the ids spell."""
         words = [p for p in pieces if p.strip(MARK)]  # markers alone would join with what follows
         out = self._learn_each([p for p in pieces if not p.strip(MARK)])
         groups = [words[i:i + GROUP] for i in range(0, len(words), GROUP)]
-        joined = ["".join(g) for g in groups]
-        mine = [e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)]
-        theirs = self.reference.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=self.threads)
+        joined = ["".join(g)[1:].replace(MARK, " ") for g in groups]
+        mine = [e.ids for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
+        theirs = self.reference.encode(joined, num_threads=self.threads)
         for group, a, b in zip(groups, mine, theirs):
-            ids = np.array(b, np.int32)
+            ids = np.array(a, np.int32)
             spelled, wanted = np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in group])
             stop = np.searchsorted(spelled, wanted)
             if a != b or stop[-1] != len(ids) - 1 or (spelled[stop] != wanted).any():
@@ -140,13 +142,14 @@ class Codec:
 
     def _learn_each(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces (each starts with the marker), verified one by one."""
-        mine = [e.ids for e in self.bare.encode_batch_fast(pieces, add_special_tokens=False)]
-        theirs = self.reference.encode([p[1:].replace(MARK, " ") for p in pieces], num_threads=self.threads)
+        texts = [p[1:].replace(MARK, " ") for p in pieces]
+        mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = self.reference.encode(texts, num_threads=self.threads)
         out = {}
         for p, a, b in zip(pieces, mine, theirs):
-            if p == MARK:  # the reference reads this as an empty text
-                b = a
-            out[p] = array("i", b).tobytes()
+            if p == MARK:  # both read this as an empty text, but in a text it is a piece
+                a = b = self.bare.encode(p, add_special_tokens=False).ids
+            out[p] = array("i", a).tobytes()
             if a != b:
                 self.odd.add(p)
         return out
@@ -211,8 +214,9 @@ TEXTS = 512  # texts encoded at once
 def encode(docs: DataFrame, model_path: str = MODEL, threads: int = THREADS) -> DataFrame:
     """``docs`` plus token_ids, n_tokens, n_byte_tokens, parity and round_trip.
 
-    Null and empty texts have no tokens.  parity: the rebuilt tokenizer and the
-    sentencepiece library agree on the whole text; round_trip: the rebuilt
+    Null and empty texts have no tokens.  The ids are those of the rebuilt
+    tokenizer.  parity: the sentencepiece library gives the same ids for every
+    piece of the text (for models that take whole texts: for the text); round_trip: the rebuilt
     tokenizer's decoder gives the text back from its ids.  Columns of ``docs``
     that clash with the new ones are replaced.
     """
