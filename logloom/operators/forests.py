@@ -18,36 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import lcs_length, token_masks
 from .similarity import MIN_DYNAMIC_THRESHOLD, components, dynamic_threshold, similar_pairs
 
 BLOCK_ROWS = 4096
 
 
-# ---- L2: common subsequence by machine words ----------------------------------------
-
-def token_masks(a: list) -> dict:
-    """Places of each token of ``a`` as bits of one integer."""
-    masks: dict = {}
-    for i, t in enumerate(a):
-        masks[t] = masks.get(t, 0) | 1 << i
-    return masks
-
-
-def lcs_length(masks: dict, n: int, b: list) -> int:
-    """Length of the longest common subsequence of ``b`` and the ``n`` tokens behind ``masks``.
-
-    One row of the table is kept as the bits of an integer: a bit is 0 where the
-    length grows.  Adding carries a run of ones past each match.
-    """
-    full = (1 << n) - 1
-    row = full
-    for t in b:
-        hit = row & masks.get(t, 0)
-        if hit:
-            row = ((row + hit) | (row - hit)) & full
-    return n - row.bit_count()
-
-
 class _Node:
     __slots__ = ("id", "text", "tokens", "first", "last", "least", "own", "masks")
 

@@ -8,12 +8,11 @@ a third of all lines costs one row per (position, token) per task.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masking import WILDCARD
-from .align import align_all
+from .reduction import align_lists
 from .tokens import token_flags
 
 ENTROPY_VARIABLE = 1.8  # fixed value: entropy above which a non-word column is a variable
@@ -142,23 +141,15 @@ def read_decisions(answers: DataFrame, key_col="cluster_key", text_col="answer")
     return answers.select(key_col, F.coalesce(tmpl, F.lit("")).alias("template"))
 
 
-_ALIGN_SCHEMA = "cluster_key string, template string"
-
-
-def _align_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["len", "min_line"])
-    toks = [list(t) for t in pdf["tokens"]]
-    return pd.DataFrame({"cluster_key": [pdf["cluster_key"].iloc[0]], "template": [" ".join(align_all(toks))]})
-
-
 def align_templates(mixed_clusters: DataFrame) -> DataFrame:
-    """Per mixed-length cluster, align the first content of each length.
+    """Per mixed-length cluster, align the first content of each length, from the shortest on.
 
-    Samples are cut with a ranked filter first, so each pandas group holds at
-    most one row per distinct token count.
+    A few neighbours are folded at a time, so a cluster's lengths are spread over tasks.
     """
     samples = _first_of_length(mixed_clusters.withColumn("len", F.size("tokens")), "tokens")
-    return samples.groupBy("cluster_key").applyInPandas(_align_group, _ALIGN_SCHEMA)
+    slot = F.row_number().over(Window.partitionBy("cluster_key").orderBy("len", "min_line")) - 1
+    aligned = align_lists(samples.select(F.col("cluster_key").alias("key"), slot.alias("slot"), "tokens"))
+    return aligned.select(F.col("key").alias("cluster_key"), F.array_join("tokens", " ").alias("template"))
 
 
 def unique_fallback(clusters: DataFrame, content_col="canon") -> DataFrame:

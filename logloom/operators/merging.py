@@ -9,14 +9,13 @@ pattern side's rarest literal token must be a token of the other side.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masking import WILDCARD
 from ..session import checkpoint_dir
-from .align import align_pair, positional_merge
 from .matching import _literal_anchor, template_match
+from .reduction import merge_lists
 
 
 def _with_tokens(catalog: DataFrame) -> DataFrame:
@@ -72,16 +71,6 @@ def mergeable_pairs(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     return equal.unionByName(unequal).distinct()
 
 
-def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["is_hub", "n_lines", "template_key"], ascending=[False, False, True])
-    cur = pdf["template"].iloc[0].split()
-    for tmpl in pdf["template"].iloc[1:]:
-        toks = tmpl.split()
-        merged = positional_merge(cur, toks) if len(toks) == len(cur) else None
-        cur = merged if merged is not None else align_pair(cur, toks)
-    return pd.DataFrame({"hub_key": [pdf["hub_key"].iloc[0]], "new_template": [" ".join(cur)]})
-
-
 def merge_round(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
     """One hub round: alias(old_template, new_template) for templates that merge.
 
@@ -100,10 +89,10 @@ def merge_round(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
     roots = hub.where(F.col("template_key") == F.col("hub_key")).select("hub_key")
     members = hub.join(roots, "hub_key")
     active = members.groupBy("hub_key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("hub_key")
-    grp = (members.join(active, "hub_key").join(t, "template_key")
-           .withColumn("is_hub", F.col("template_key") == F.col("hub_key")))
-    merged = grp.select("hub_key", "template_key", "template", "n_lines", "is_hub") \
-        .groupBy("hub_key").applyInPandas(_merge_group, "hub_key string, new_template string")
+    grp = members.join(active, "hub_key").join(t, "template_key")
+    tokens = F.filter(F.split("template", r"\s+"), lambda x: x != "")
+    merged = merge_lists(grp.select(F.col("hub_key").alias("key"), tokens.alias("tokens"))).select(
+        F.col("key").alias("hub_key"), F.array_join("tokens", " ").alias("new_template"))
     return grp.join(merged, "hub_key").select(F.col("template").alias("old_template"), "new_template")
 
 
