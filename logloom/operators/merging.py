@@ -1,91 +1,95 @@
 """Mergeable template pairs, positional merge, hub merging to a fixpoint.
 
-Works on the template catalog, whose size is the number of templates.  Pair
-candidates come from joins, never from all pairs of a length group:
-equal length -> shared (length, position, literal) or disjoint literal
-positions (joined per distinct position set); unequal length -> the
-pattern side's rarest literal token must be a token of the other side.
+Works on the template catalog, whose size is the number of templates.  Pairs
+come from equi-joins, never from all pairs of a length group: equal length ->
+equal texts once both are generalised by the wildcards of the other; unequal
+length -> the candidates of catalog matching, with the number of tokens as part
+of the key.  The fixpoint needs no pairs of equal length at all, only the best of each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masking import WILDCARD
 from ..session import checkpoint_dir
-from .matching import _literal_anchor, template_match
+from .matching import candidates, template_match, words
 from .reduction import merge_lists
 
 
 def _with_tokens(catalog: DataFrame) -> DataFrame:
-    return (catalog.withColumn("tokens", F.filter(F.split("template", " "), lambda x: x != ""))
-            .withColumn("len", F.size("tokens"))
-            .withColumn("n_wild", F.size(F.filter("tokens", lambda x: x == WILDCARD)))
-            .withColumn("lits", F.filter(F.transform("tokens", lambda x, i: F.when(x != WILDCARD, i)),
-                                         lambda v: v.isNotNull())))
+    """Tokens of every template and, per position, whether it is ``<*>``."""
+    return (catalog.withColumn("tokens", words(F.col("template")))
+            .withColumn("wild", F.transform("tokens", lambda x: x == WILDCARD))
+            .withColumn("n_wild", F.size(F.filter("wild", lambda x: x))))
+
+
+def generalized(t: DataFrame) -> DataFrame:
+    """Every template once per wildcard pattern of its length: ``common`` is its
+    text with ``<*>`` also where the ``other`` pattern has one.
+
+    Two templates of one length agree wherever both have a literal exactly if
+    their texts, each generalised by the pattern of the other, are equal: an
+    equi-join whose matches are the mergeable pairs and nothing else.
+    """
+    patterns = t.select("wild").distinct().withColumn("len", F.size("wild"))
+    both = patterns.join(patterns.withColumnRenamed("wild", "other"), "len").select("wild", "other")
+    common = F.zip_with("tokens", "other", lambda x, w: F.when(w, F.lit(WILDCARD)).otherwise(x))
+    return t.join(both, "wild").withColumn("common", F.array_join(common, " "))
+
+
+def _unequal_pairs(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Pairs (p_key, x_key): template p matches the text of x, which has one or two tokens more or fewer."""
+    texts = catalog.select(F.col("template").alias("canon"))
+    directed = candidates(texts, catalog.select("template_key", "template"), vocab, gaps=(-2, -1, 1, 2))
+    matched = template_match(directed, vocab, content_col="canon", id_cols=("template_key", "canon"))
+    return matched.select(F.col("template_key").alias("p_key"), F.md5("canon").alias("x_key"))
 
 
 def mergeable_pairs(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Undirected pairs (a_key < b_key) that may merge."""
+    """Undirected pairs (a_key < b_key) that may merge; keys are md5 of the template."""
     catalog = catalog.select("template_key", "template").checkpoint()
-    t = _with_tokens(catalog)
-    # equal length, sharing a literal at one position
-    lit = t.select("template_key", "len", F.posexplode("tokens").alias("pos", "tok")).where(F.col("tok") != WILDCARD)
-    a, b = lit.alias("a"), lit.alias("b")
-    shared = (a.join(b, (F.col("a.len") == F.col("b.len")) & (F.col("a.pos") == F.col("b.pos"))
-                     & (F.col("a.tok") == F.col("b.tok")) & (F.col("a.template_key") < F.col("b.template_key")))
-              .select(F.col("a.template_key").alias("a_key"), F.col("b.template_key").alias("b_key")).distinct())
-    # equal length, no literal position in common: compatible by construction
-    groups = t.select("len", F.col("lits").alias("g_lits")).distinct()
-    disjoint = (t.join(groups, "len").where(~F.arrays_overlap("lits", "g_lits") | (F.size("lits") == 0)
-                                             | (F.size("g_lits") == 0))
-                .select(F.col("template_key").alias("a_key"), "len", "g_lits")
-                .join(t.select(F.col("template_key").alias("b_key"), "len", F.col("lits").alias("g_lits")),
-                      ["len", "g_lits"])
-                .where(F.col("a_key") < F.col("b_key")).select("a_key", "b_key"))
-    eq_cand = shared.unionByName(disjoint).distinct()
-    ta = t.select(F.col("template_key").alias("a_key"), F.col("tokens").alias("a_tok"))
-    tb = t.select(F.col("template_key").alias("b_key"), F.col("tokens").alias("b_tok"))
-    equal = (eq_cand.join(ta, "a_key").join(tb, "b_key")
-             .where(F.forall(F.zip_with("a_tok", "b_tok", lambda x, y: (x == y) | (x == WILDCARD) | (y == WILDCARD)),
-                             lambda v: v))
-             .select("a_key", "b_key"))
-    # unequal length: pattern P matches text X (directed), by anchor token
-    anchors = _literal_anchor(catalog)
-    pat = t.join(anchors, "template_key", "left").select(
-        F.col("template_key").alias("p_key"), F.col("template").alias("p_template"), F.col("len").alias("p_len"), "anchor")
-    txt = t.select(F.col("template_key").alias("x_key"), F.col("template").alias("x_template"),
-                   F.col("len").alias("x_len"), F.explode(F.array_distinct("tokens")).alias("anchor"))
-    gap = (F.abs(F.col("p_len") - F.col("x_len")) >= 1) & (F.abs(F.col("p_len") - F.col("x_len")) <= 2)
-    by_anchor = pat.where(F.col("anchor").isNotNull()).join(txt, "anchor").where(gap)
-    free = (pat.where(F.col("anchor").isNull()).drop("anchor")
-            .withColumn("x_len", F.explode(F.array(*[F.col("p_len") + d for d in (-2, -1, 1, 2)])))
-            .join(t.select(F.col("template_key").alias("x_key"), F.col("template").alias("x_template"),
-                           F.col("len").alias("x_len")), "x_len"))
-    directed = (by_anchor.select("p_key", "p_template", "x_key", "x_template")
-                .unionByName(free.select("p_key", "p_template", "x_key", "x_template")).distinct())
-    matched = template_match(directed, vocab, content_col="x_template", template_col="p_template",
-                             id_cols=("p_key", "x_key"))
-    unequal = matched.select(F.least("p_key", "x_key").alias("a_key"), F.greatest("p_key", "x_key").alias("b_key"))
-    return equal.unionByName(unequal).distinct()
-
-
-def merge_round(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
+    g = generalized(_with_tokens(catalog))
+    a = g.select(F.col("template_key").alias("a_key"), "wild", "other", "common")
+    b = g.select(F.col("template_key").alias("b_key"), F.col("other").alias("wild"), F.col("wild").alias("other"), "common")
+    equal = a.join(b, ["wild", "other", "common"]).where("a_key < b_key").select("a_key", "b_key")
+    unequal = _unequal_pairs(catalog, vocab).select(F.least("p_key", "x_key").alias("a_key"), F.greatest("p_key", "x_key").alias("b_key"))
+    return equal.unionByName(unequal.distinct())
+
+
+def _standing() -> F.Column:
+    """Order of hubs: most ``<*>``, then most lines, then the smallest key; the least is taken."""
+    return F.struct((-F.col("n_wild")).alias("w"), (-F.col("n_lines")).alias("n"), F.col("template_key").alias("key"))
+
+
+def hubs(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The most general template (template_key, hub_key) that each may merge with, itself included.
+
+    Templates of equal length never meet in pairs: the first of all that share
+    a generalised text is an aggregate.
+    """
+    t = _with_tokens(catalog).select("template_key", "template", "tokens", "wild", "n_wild", "n_lines")
+    g = generalized(t)
+    first = (g.groupBy(F.col("other").alias("wild"), F.col("wild").alias("other"), "common")
+             .agg(F.min(_standing()).alias("hub")))
+    equal = g.select("template_key", "wild", "other", "common").join(first, ["wild", "other", "common"])
+    u = _unequal_pairs(catalog, vocab).checkpoint()
+    sides = u.select(F.col("p_key").alias("k"), F.col("x_key").alias("template_key")).unionByName(
+        u.select(F.col("x_key").alias("k"), F.col("p_key").alias("template_key")))
+    unequal = (sides.join(t.select("template_key", "n_wild", "n_lines"), "template_key")
+               .select(F.col("k").alias("template_key"), _standing().alias("hub")))
+    return (equal.select("template_key", "hub").unionByName(unequal)
+            .unionByName(t.select("template_key", _standing().alias("hub")))
+            .groupBy("template_key").agg(F.min("hub").alias("hub")).select("template_key", F.col("hub.key").alias("hub_key")))
+
+
+def merge_round(catalog: DataFrame, hub: DataFrame) -> DataFrame:
     """One hub round: alias(old_template, new_template) for templates that merge.
 
-    A template joins its most general compatible template (most ``<*>``,
-    then most lines, then smallest key) if that template is its own hub.
+    A template joins its hub if that template is its own hub.
     """
-    t = _with_tokens(catalog).select("template_key", "template", "n_lines", "n_wild")
-    nbr = pairs.select(F.col("a_key").alias("k"), F.col("b_key").alias("o")).unionByName(
-        pairs.select(F.col("b_key").alias("k"), F.col("a_key").alias("o")))
-    nbr = nbr.unionByName(t.select(F.col("template_key").alias("k"), F.col("template_key").alias("o")))
-    scored = nbr.join(t.select(F.col("template_key").alias("o"), F.col("n_wild").alias("ow"),
-                               F.col("n_lines").alias("on")), "o")
-    w = Window.partitionBy("k").orderBy(F.col("ow").desc(), F.col("on").desc(), F.col("o").asc())
-    hub = scored.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("k").alias("template_key"),
-                                                                                F.col("o").alias("hub_key"))
+    t = catalog.select("template_key", "template")
     roots = hub.where(F.col("template_key") == F.col("hub_key")).select("hub_key")
     members = hub.join(roots, "hub_key")
     active = members.groupBy("hub_key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("hub_key")
@@ -107,18 +111,20 @@ def merge_templates(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     cat = catalog.select("template", "n_lines", "first_line").withColumn("template_key", F.md5("template"))
     alias = None
     while True:
-        pairs = mergeable_pairs(cat, vocab).checkpoint()
-        if pairs.isEmpty():
+        hub = hubs(cat, vocab).checkpoint()
+        if hub.where("template_key <> hub_key").isEmpty():
             break
-        step = merge_round(cat, pairs).checkpoint()
+        step = merge_round(cat, hub).checkpoint()
         if step.isEmpty():
             raise RuntimeError("mergeable templates are left, but none of them was merged")
-        alias = step if alias is None else (
-            alias.join(step.withColumnRenamed("old_template", "new_template")
-                       .withColumnRenamed("new_template", "nn"), "new_template", "left")
-            .select("old_template", F.coalesce("nn", "new_template").alias("new_template"))
-            .unionByName(step.join(alias.select(F.col("old_template").alias("o2")),
-                                   step["old_template"] == F.col("o2"), "left_anti"))).checkpoint()
+        if alias is None:
+            alias = step
+        else:
+            onward = step.select(F.col("old_template").alias("new_template"), F.col("new_template").alias("next"))
+            first_time = step.join(alias.select("old_template"), "old_template", "left_anti")
+            alias = (alias.join(onward, "new_template", "left")
+                     .select("old_template", F.coalesce("next", "new_template").alias("new_template"))
+                     .unionByName(first_time)).checkpoint()
         cat = (cat.join(step, cat["template"] == step["old_template"], "left")
                .select(F.coalesce("new_template", "template").alias("template"), "n_lines", "first_line")
                .groupBy("template").agg(F.sum("n_lines").alias("n_lines"), F.min("first_line").alias("first_line"))

@@ -675,7 +675,7 @@ def q_template_match(spark, sf):
     """H1 for every (content, induced template) pair of the events pipeline."""
     v = vpipe(spark, sf)
     cat = _induced_catalog(v).checkpoint()
-    pairs = matching.candidates(v.cc.select("canon", "tokens"), cat)
+    pairs = matching.candidates(v.cc.select("canon", "tokens"), cat, v.vocab)
     return matching.template_match(pairs, v.vocab, content_col="canon", id_cols=("canon", "template")).select("canon", "template")
 
 
@@ -722,6 +722,34 @@ def q_unmatched_lines(spark, sf):
     return matching.unmatched(v.cc.select("canon", F.col("n").cast("bigint")), m)
 
 
+# Contents of parts, half of them with words of the part's name, and templates
+# without a whole literal token: starts and ends of tokens, and wildcards alone.
+PART_CONTENTS_SQL = """SELECT DISTINCT concat(p_brand, ' ', p_type, ' size=', CAST(p_size AS STRING),
+ CASE WHEN p_partkey % 2 = 0 THEN concat(' ', p_name) ELSE '' END) AS canon FROM part"""
+PART_TEMPLATES_SQL = """SELECT md5(template) AS template_key, template, CAST(count(*) AS BIGINT) AS n_lines, CAST(min(p_partkey) AS BIGINT) AS first_line FROM (
+ SELECT concat(substr(p_brand, 1, 7), '<*>') AS template, p_partkey FROM part
+ UNION ALL SELECT concat('<*>#<*>=', CAST(p_size AS STRING)), p_partkey FROM part WHERE p_size % 3 = 0
+ UNION ALL SELECT concat('<*> ', substr(p_type, 1, 2), '<*>', substr(p_type, 4, 10), ' <*>'), p_partkey FROM part WHERE p_partkey % 7 = 0
+ UNION ALL SELECT '<*> <*> <*>', p_partkey FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT '<*>', p_partkey FROM part WHERE p_partkey % 5 = 0) t GROUP BY template"""
+
+
+@query("match_parts")
+def q_match_parts(spark, sf):
+    """H2 with templates that hold no whole literal token, every part against all of them."""
+    tables.register_tables(spark, sf, ["part"])
+    vocab = spark.sql("SELECT DISTINCT explode(split(p_name, ' ')) AS token FROM part")
+    return matching.match_catalog(spark.sql(PART_CONTENTS_SQL), spark.sql(PART_TEMPLATES_SQL), vocab)
+
+
+ORACLES["match_parts"] = (
+    "WITH cc AS (" + PART_CONTENTS_SQL + "), catf AS (" + PART_TEMPLATES_SQL + "), "
+    "vocab AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part)," +
+    _h1_oracle("SELECT c.canon, t.template_key, t.template, t.n_lines, t.first_line FROM cc c, catf t", "canon", "template", "canon, template_key") +
+    "\nSELECT canon, template_key, template FROM (SELECT *, row_number() OVER (PARTITION BY canon "
+    "ORDER BY n_lines DESC, first_line ASC, template_key) AS r FROM h1) WHERE r = 1")
+
+
 def _merge_input(spark, sf):
     """Templates to merge: the events pipeline's per-content templates (I11
     fallback keeps many near-duplicates, which is what X1 is for)."""
