@@ -113,6 +113,12 @@ def arbitration_queue(clusters: DataFrame, vocab: DataFrame) -> DataFrame:
     return w1.unionByName(w2)
 
 
+def open_questions(clusters: DataFrame, vocab: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """I8 without the clusters that have an answer, an empty one included."""
+    queue = arbitration_queue(clusters, vocab).select("cluster_key", "mode", F.col("rank").cast("bigint").alias("rank"), "sample")
+    return queue if decisions is None else queue.join(decisions.select("cluster_key"), "cluster_key", "left_anti")
+
+
 def last_object(text) -> F.Column:
     """The last balanced top-level ``{...}`` of a text, NULL when there is none.
 

@@ -31,18 +31,30 @@ def generalized(t: DataFrame) -> DataFrame:
 
     Two templates of one length agree wherever both have a literal exactly if
     their texts, each generalised by the pattern of the other, are equal: an
-    equi-join whose matches are the mergeable pairs and nothing else.
+    equi-join whose matches are the mergeable pairs and nothing else.  With a
+    column ``settled`` settled templates meet the patterns of the others only.
     """
-    patterns = t.select("wild").distinct().withColumn("len", F.size("wild"))
-    both = patterns.join(patterns.withColumnRenamed("wild", "other"), "len").select("wild", "other")
+    settled = F.col("settled") if "settled" in t.columns else F.lit(False)
+    patterns = t.groupBy("wild").agg(F.min(settled).alias("old")).withColumn("len", F.size("wild"))
+    others = patterns.select("len", F.col("wild").alias("other"), F.col("old").alias("other_old"))
+    both = patterns.select("len", "wild").join(others, "len").select("wild", "other", "other_old")
     common = F.zip_with("tokens", "other", lambda x, w: F.when(w, F.lit(WILDCARD)).otherwise(x))
-    return t.join(both, "wild").withColumn("common", F.array_join(common, " "))
+    return t.join(both, "wild").where(~settled | ~F.col("other_old")).withColumn("common", F.array_join(common, " "))
 
 
 def _unequal_pairs(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Pairs (p_key, x_key): template p matches the text of x, which has one or two tokens more or fewer."""
-    texts = catalog.select(F.col("template").alias("canon"))
-    directed = candidates(texts, catalog.select("template_key", "template"), vocab, gaps=(-2, -1, 1, 2))
+    """Pairs (p_key, x_key): template p matches the text of x, which has one or two tokens more or fewer.
+
+    Of settled templates only pairs with others.
+    """
+    def directed_pairs(texts, templates):
+        return candidates(texts.select(F.col("template").alias("canon")), templates.select("template_key", "template"), vocab, gaps=(-2, -1, 1, 2))
+
+    if "settled" in catalog.columns:
+        new = catalog.where("NOT settled")
+        directed = directed_pairs(catalog, new).unionByName(directed_pairs(new, catalog.where("settled")))
+    else:
+        directed = directed_pairs(catalog, catalog)
     matched = template_match(directed, vocab, content_col="canon", id_cols=("template_key", "canon"))
     return matched.select(F.col("template_key").alias("p_key"), F.md5("canon").alias("x_key"))
 
@@ -69,7 +81,7 @@ def hubs(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     Templates of equal length never meet in pairs: the first of all that share
     a generalised text is an aggregate.
     """
-    t = _with_tokens(catalog).select("template_key", "template", "tokens", "wild", "n_wild", "n_lines")
+    t = _with_tokens(catalog)
     g = generalized(t)
     first = (g.groupBy(F.col("other").alias("wild"), F.col("wild").alias("other"), "common")
              .agg(F.min(_standing()).alias("hub")))
@@ -105,10 +117,13 @@ def merge_templates(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     map (old_template -> new_template) for every template that changed.
 
     There is no round limit: a round with pairs turns at least two templates
-    into one, and a round that does not is an error."""
+    into one, and a round that does not is an error.  A column ``settled`` may
+    mark templates of which no two can merge (a catalog merged before): only
+    pairs with others are looked for, and what comes out of a merge is not settled."""
     spark = catalog.sparkSession
     checkpoint_dir(spark)
-    cat = catalog.select("template", "n_lines", "first_line").withColumn("template_key", F.md5("template"))
+    keep = [c for c in ("settled",) if c in catalog.columns]
+    cat = catalog.select("template", "n_lines", "first_line", *keep).withColumn("template_key", F.md5("template"))
     alias = None
     while True:
         hub = hubs(cat, vocab).checkpoint()
@@ -126,8 +141,10 @@ def merge_templates(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
                      .select("old_template", F.coalesce("next", "new_template").alias("new_template"))
                      .unionByName(first_time)).checkpoint()
         cat = (cat.join(step, cat["template"] == step["old_template"], "left")
-               .select(F.coalesce("new_template", "template").alias("template"), "n_lines", "first_line")
-               .groupBy("template").agg(F.sum("n_lines").alias("n_lines"), F.min("first_line").alias("first_line"))
+               .select(F.coalesce("new_template", "template").alias("template"), "n_lines", "first_line",
+                       *[(F.col(c) & F.col("new_template").isNull()).alias(c) for c in keep])
+               .groupBy("template").agg(F.sum("n_lines").alias("n_lines"), F.min("first_line").alias("first_line"),
+                                        *[F.min(c).alias(c) for c in keep])
                .withColumn("template_key", F.md5("template"))).checkpoint()
     if alias is None:
         return spark.createDataFrame([], "old_template string, new_template string")

@@ -29,6 +29,7 @@ class MineResult:
     catalog: DataFrame      # template_key, template, n_lines, n_contents, first_line
     assignments: DataFrame  # line_id, template_key, template
     vocab: DataFrame
+    queue: DataFrame        # cluster_key, mode, rank, sample: what an arbiter is asked (I8)
 
 
 def _hash_cols(c: str):
@@ -77,7 +78,7 @@ def mine_templates(lines: DataFrame, vocab: DataFrame | None = None, regex=(), d
                         .select(*_hash_cols("content"), "template_key", "template"))
     line_keys = masked.select("line_id", *_hash_cols("content"))
     assignments = line_keys.join(content_template, ["h1", "h2"]).select("line_id", "template_key", "template")
-    return MineResult(contents, catalog, assignments, vocab)
+    return MineResult(contents, catalog, assignments, vocab, induction.open_questions(clustered, vocab, decisions))
 
 
 def line_templates(result: MineResult) -> DataFrame:

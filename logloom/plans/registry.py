@@ -1127,6 +1127,15 @@ def q_stream_mine(spark, sf):
     return replay_stream(spark, tables.events_log(spark, sf), chunks=2)
 
 
+@query("stream_queue", ORACLES["arbitration_queue"])
+def q_stream_queue(spark, sf):
+    """I8 in the stream: the questions of a batch with all lines of the messages view, as its sink holds them."""
+    from ..streaming.incremental import read_queue, replay
+    v = vpipe(spark, sf, **MESSAGES)
+    state = replay(spark, v.lines, chunks=1, vocab=v.vocab, regex=EVENTS_REGEX, rules=[])
+    return read_queue(spark, state).drop("batch")
+
+
 # batch -> aliases written in it: F is merged in batch 1, created again, merged in
 # batch 2 elsewhere; batch 3 merges O into F and what F became back into F.
 ALIASES = [(1, "F", "A"), (1, "P", "B"), (2, "F", "C"), (2, "A", "C"), (3, "C", "F"), (3, "O", "F"), (4, "B", "P")]
