@@ -122,10 +122,12 @@ def merge_templates(catalog: DataFrame, vocab: DataFrame) -> DataFrame:
     pairs with others are looked for, and what comes out of a merge is not settled."""
     spark = catalog.sparkSession
     checkpoint_dir(spark)
-    keep = [c for c in ("settled",) if c in catalog.columns]
+    keep = [c for c in ("settled",) if c in catalog.columns and not catalog.where("settled").isEmpty()]
     cat = catalog.select("template", "n_lines", "first_line", *keep).withColumn("template_key", F.md5("template"))
     alias = None
     while True:
+        if keep and cat.where("NOT settled").isEmpty():
+            break
         hub = hubs(cat, vocab).checkpoint()
         if hub.where("template_key <> hub_key").isEmpty():
             break
