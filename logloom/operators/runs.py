@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.raw_logs import numbered_lines
+
 # Fixed value: the run summary sentence, as written and read back.
 RUN_LINE_RE = (r"Evaluation on Dataset: (\S+), Group Accuracy: ([\d.]+), PA Accuracy: ([\d.]+), FGA: ([\d.]+), "
                r"FTA: ([\d.]+), Duration: ([\d.]+) sec, Total of (\d+) lines, rate ([\d.]+) lines/sec, (\d+) templates, "
@@ -22,6 +24,12 @@ def read_runs(lines: DataFrame, text_col="line", seq_col="seq") -> DataFrame:
     return m.select(seq_col, *cols)
 
 
+def read_run_files(spark: SparkSession, path: str) -> DataFrame:
+    """S5 on text files: every run sentence, ``seq`` numbering them in file order."""
+    lines = numbered_lines(spark, path, lambda raw: raw.where(F.col("line").rlike(RUN_LINE_RE)), "seq")
+    return read_runs(lines)
+
+
 def best_run(runs: DataFrame, seq_col="seq") -> DataFrame:
     """Highest GA per dataset, the earliest run wins ties."""
     w = Window.partitionBy("dataset").orderBy(F.col("ga").desc(), F.col(seq_col).asc())

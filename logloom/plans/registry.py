@@ -7,6 +7,8 @@ Column names and types agree between the two; floats are rounded.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..operators import induction, matching, merging, metrics, params, runs, sim
 from ..operators.preprocess import dataset_mask, distinct_contents, drop_patterns, mask_hits, mask_lines, preprocess
 from ..operators.tokens import classified_tokens, identifier_tokens, token_flags, token_table
 from ..session import shared_path
-from ..sources import raw_logs, tables
+from ..sources import layouts, raw_logs, tables
 from .oracle import EVENTS_CATALOG_SQL, EVENTS_MASKED_SQL, EVENTS_TEMPLATE_SQL, _q, with_pipeline
 from .settings import EVENTS_REGEX, NAMED_RULES
 from .vpipe import vpipe
@@ -191,6 +193,16 @@ def q_leaderboard(spark, sf):
     return runs.leaderboard(_runs(spark, sf))
 
 
+@query("run_summary_files", ORACLES["leaderboard"])
+def q_run_summary_files(spark, sf):
+    """Run logs as text files, scanned; the leaderboard written as CSV and read back."""
+    tables.register_tables(spark, sf, ["events"])
+    logs, out = shared_path(spark), shared_path(spark)
+    spark.sql(RUNLOG_SQL).orderBy("seq").select("line").write.text(logs)
+    runs.write_summary(runs.leaderboard(runs.read_run_files(spark, logs)), out)
+    return spark.read.csv(out, header=True, schema="dataset string, " + ", ".join(f"{c} double" for c in runs.METRIC_COLS))
+
+
 MULTI_SQL = (f"SELECT 'events' AS dataset, line_id, line FROM ({tables.EVENTS_LOG_SQL}) "
              f"UNION ALL SELECT 'orders' AS dataset, line_id, line FROM ({tables.ORDERS_LOG_SQL})")
 MULTI_RULES = {"events": {"regex": EVENTS_REGEX, "filter": []},
@@ -216,6 +228,46 @@ def q_multi_dataset(spark, sf):
     return df.select("dataset", F.col("line_id").cast("bigint").alias("line_id"), expr.alias("content"))
 
 
+# Lines in every known layout: event e is written in layout e % 18, every eleventh
+# without its optional header part, every thirteenth with a broken header.
+LAYOUT_MESSAGE_SQL = """concat('job ', event_id, ' HTTP/1.1 a-b-c-d-e 10.0.1.2,10.0.3.4 blk_-', user_id, ' LOCAL(3) x_A7 took 10:11:12 (12.5 KB) <3 sec MB of www.shop.org:80 ',
+ 'id ', user_id, ' at /usr/lib/m', user_id % 9, '.so')"""
+
+
+def _layout_line(fmt: str) -> str:
+    """SQL of a header in layout ``fmt`` whose fields hold their name and the user's number, without the content."""
+    full = re.sub(r"\(((?:\\.|[^()\\])*)\)\?", "\0\\1\0", fmt.replace("<Content>", ""))
+    out = []
+    for k, part in enumerate(full.split("\0")):
+        bits = [f"concat({_q(b[1:-1].lower())}, user_id % 50)" if b.startswith("<") else _q(re.sub(r"\\(.)", r"\1", b))
+                for b in re.split(r"(<[^<>]+>)", part) if b]
+        text = f"concat({', '.join(bits)}, '')" if bits else "''"
+        out.append(f"CASE WHEN event_id % 11 = 0 THEN '' ELSE {text} END" if k % 2 else text)
+    return f"concat({', '.join(out)}, '')"
+
+
+_LAYOUT_OF = f"CASE event_id % {len(layouts.LAYOUTS)} " + " ".join(f"WHEN {i} THEN {_q(r[0])}" for i, r in enumerate(layouts.LAYOUTS)) + " END"
+LAYOUT_LINES_SQL = (f"SELECT event_id, dataset, message, CASE WHEN event_id % 13 = 0 THEN 'broken' ELSE concat(CASE dataset "
+                    + " ".join(f"WHEN {_q(d)} THEN {_layout_line(f)}" for d, f, _, _ in layouts.LAYOUTS)
+                    + f" END, message, '  ') END AS line FROM (SELECT *, {_LAYOUT_OF} AS dataset, {LAYOUT_MESSAGE_SQL} AS message FROM events)")
+
+
+def _layout_oracle():
+    cases = " ".join(f"WHEN {_q(d)} THEN {preprocess_sql(D, 'message', masks, drops)}" for d, _, masks, drops in layouts.LAYOUTS)
+    return (f"SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY event_id) AS BIGINT) AS LineId, "
+            f"CASE WHEN dataset IN ('Thunderbird', 'Linux', 'Thunderbird_epd') AND event_id % 11 <> 0 OR dataset = 'Mac' THEN concat('pid', user_id % 50) END AS pid, "
+            f"CASE dataset {cases} END AS content FROM ({LAYOUT_LINES_SQL.replace('SELECT event_id, dataset', 'SELECT event_id, user_id, dataset', 1)}) WHERE event_id % 13 <> 0")
+
+
+@query("layout_scan", _layout_oracle())
+def q_layout_scan(spark, sf):
+    """Lines in all known layouts parsed, masked and numbered per dataset in one job; the oracle knows fields and message."""
+    tables.register_tables(spark, sf, ["events"])
+    parsed = layouts.for_datasets(spark.sql(LAYOUT_LINES_SQL), layouts.layouts(spark), fields=("PID",))
+    rows = parsed.select("event_id", "dataset", F.col("PID").alias("pid"), "content")
+    return raw_logs.number_rows(rows, "event_id", by=("dataset",)).select("dataset", "LineId", "pid", "content")
+
+
 # ------------------------------------------------------------ preprocessing ---
 DROP_URL = [r"\?[^#]*", r"#.*$"]
 URL_MASK = [r"([\w-]+\.)+[\w-]+(:\d+)?", r"/\d+"]
@@ -246,6 +298,13 @@ def q_mask_chain(spark, sf):
     return mask_lines(lines).select(F.col("line_id").cast("bigint").alias("line_id"), "content")
 
 
+@query("mask_forms", f"SELECT CAST(line_id AS BIGINT) AS line_id, CAST(form AS BIGINT) AS form, content FROM ({tables.MASK_TRUTH_SQL})")
+def q_mask_forms(spark, sf):
+    """Every default mask's forms in five places of a line; the oracle puts ``<*>`` where the form was put."""
+    lines = tables.view(spark, sf, tables.MASK_LINES_SQL)
+    return mask_lines(lines).select(*_bigint("line_id", "form"), "content")
+
+
 def _named_sql(expr):
     out = expr
     for p, name in NAMED_RULES:
@@ -1031,6 +1090,25 @@ def q_param_profile(spark, sf):
     return prof.select("template", "position", "n_values", "n_distinct", "top_value", F.col("top_count").cast("bigint"))
 
 
+@query("param_top_k", _params_oracle("""SELECT template, position, CAST(r AS BIGINT) AS rank, value, CAST(c AS BIGINT) AS n FROM
+ (SELECT *, row_number() OVER (PARTITION BY template, position ORDER BY c DESC, value) AS r
+  FROM (SELECT template, position, value, count(*) AS c FROM params GROUP BY ALL)) WHERE r <= 3"""))
+def q_param_top_k(spark, sf):
+    """O3: the three most frequent values of every slot."""
+    top = params.top_values(params.extract_params(_param_lines(spark, sf)), 3)
+    return top.select("template", *_bigint("position", "rank"), "value", *_bigint("n"))
+
+
+@query("param_sketches", _params_oracle("SELECT template, position, CAST(count(*) AS BIGINT) AS n_values, true AS distinct_close FROM params GROUP BY ALL"))
+def q_param_sketches(spark, sf):
+    """O3 from sketches kept per batch (here four) and added up; the estimate must be within 8 % (five standard errors) of the exact count."""
+    p = params.extract_params(_param_lines(spark, sf)).withColumn("batch", F.pmod("line_id", F.lit(4)))
+    found = params.sketch_profile(params.merge_sketches(params.param_sketches(p, by=("batch",))))
+    exact = p.groupBy("template", "position", "value").count().groupBy("template", "position").agg(F.count(F.lit(1)).alias("exact"))
+    return found.join(exact, ["template", "position"]).select(
+        "template", *_bigint("position", "n_values"), (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.08 * F.col("exact")).alias("distinct_close"))
+
+
 # --------------------------------------------------------------- metrics ---
 _PRED_SQL = "SELECT m.line_id, k.static_key AS event_id, k.canon AS template FROM masked m JOIN tok t USING (content) JOIN keyed k ON k.canon = array_to_string(t.tokens, ' ')"
 

@@ -9,12 +9,14 @@ computed; fields inside an optional group read NULL when absent.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.masking import WS_CLASS
+from ..session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -84,48 +86,75 @@ def parse_headers(lines: DataFrame, fmt: str | HeaderFormat, text_col="line", un
     return df.select(*keep, *cols)
 
 
-def number_rows(df: DataFrame, order_col: str, out_col: str = "LineId", buckets: int | None = None) -> DataFrame:
-    """1-based rank by a unique numeric key without a single-partition window.
+def sum_before(totals: DataFrame, order: list[str], value: str, out_col: str) -> DataFrame:
+    """``totals`` plus ``out_col``: the sum of ``value`` over all rows before this one in ``order`` (unique).
 
-    Approximate quantiles of the key (``buckets - 1`` values on the driver)
-    cut it into balanced ranges; rows are counted per range (one row per
-    range), the counts become offsets, and each row adds its rank inside its
-    range (a window partitioned by range).  Deterministic: no row ids.
+    The table is dealt by sampled ranges of the order and materialised; each
+    range is summed in its own task, and only the ranges' totals (one row per
+    shuffle partition) meet in one window.
+    """
+    spark = totals.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = totals.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    heads = rows.groupBy("_p").agg(F.sum(value).alias("_t"))
+    heads = heads.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_before"))
+    return (rows.withColumn("_in", F.coalesce(inside, F.lit(0))).join(heads, "_p")
+            .withColumn(out_col, F.col("_in") + F.col("_before")).drop("_p", "_in", "_before"))
+
+
+def number_rows(df: DataFrame, order_col: str, out_col: str = "LineId", by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+    """1-based rank by a unique key, within ``by`` if given, without a window over all rows.
+
+    Rows are dealt by sampled ranges of (by, key), sorted in their range and
+    materialised once with their place in it, so the plan has the same size for
+    any number of partitions and a ``by`` value that holds most rows is spread
+    over many of them.  Places become ranks by the counts of each (by, range),
+    at most one row per range and ``by`` value.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    qs = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
-    b = F.lit(0)
-    for q in qs:
-        b = b + (F.col(order_col) > F.lit(q)).cast("int")
-    d = df.withColumn("_b", b)
-    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.withColumn("_off", F.sum("_cnt").over(Window.orderBy("_b")) - F.col("_cnt")).select("_b", "_off")
-    w = Window.partitionBy("_b").orderBy(order_col)
-    return (d.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offsets), "_b")
-            .withColumn(out_col, (F.col("_off") + F.col("_r")).cast("bigint"))
-            .drop("_b", "_off", "_r"))
-
-
-def read_raw_logs(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """S2 on text files: LineId follows (file, block, position in block).
+    rows = (df.repartitionByRange(n, *by, order_col).sortWithinPartitions(*by, order_col)
+            .withColumn("_p", F.spark_partition_id())
+            .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint())
+    counts = rows.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_at").alias("_first"))
+    before = F.sum("_cnt").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_cnt")
+    shift = counts.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+                          (before - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return (rows.join(shift, same).withColumn(out_col, (F.col("_at") + F.col("_shift")).cast("bigint"))
+            .select(*df.columns, out_col))
+
+
+def numbered_lines(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame], out_col: str) -> DataFrame:
+    """Rows that ``keep`` makes of the text files' lines (column ``line``), numbered from 1 by (file, block, position in block).
 
     Rows of one file block are read by one task in file order, so the
     monotonically increasing id orders them inside the block; blocks are
     counted (one row each) and turned into offsets in (file, block) order.
+    ``keep`` must pass the other columns on.
     """
     raw = (spark.read.text(path)
            .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"),
                    F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_m")))
-    parsed = parse_headers(raw, fmt)
-    counts = parsed.groupBy("_f", "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.withColumn("_off", F.sum("_cnt").over(Window.orderBy("_f", "_blk")) - F.col("_cnt")).drop("_cnt")
+    rows = keep(raw)
+    counts = rows.groupBy("_f", "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = sum_before(counts, ["_f", "_blk"], "_cnt", "_off").select("_f", "_blk", "_off")
     w = Window.partitionBy("_f", "_blk").orderBy("_m")
-    return (parsed.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offsets), ["_f", "_blk"])
-            .withColumn("LineId", (F.col("_off") + F.col("_r")).cast("bigint"))
+    return (rows.withColumn("_r", F.row_number().over(w)).join(offsets, ["_f", "_blk"])
+            .withColumn(out_col, (F.col("_off") + F.col("_r")).cast("bigint"))
             .drop("_f", "_blk", "_m", "_off", "_r"))
 
 
+def read_raw_logs(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """S2 on text files: the lines that fit the header, numbered in file order."""
+    return numbered_lines(spark, path, lambda raw: parse_headers(raw, fmt), "LineId")
+
+
 STRUCTURED_SCHEMA = "LineId bigint, Content string, EventId string, EventTemplate string"
 
 

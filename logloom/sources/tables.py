@@ -90,6 +90,41 @@ MESSAGES_TRUTH = [("snake", "disk_cache ready on <*>"), ("camel", "<*> readBlock
 MESSAGES_TRUTH_SQL = "(VALUES " + ", ".join(f"('{e}', '{t}')" for e, t in MESSAGES_TRUTH) + ") AS tt(event_id, template)"
 
 
+# Every default mask's form (M1 to M13) in five places: between words, at the line's
+# end and start, in brackets, and twice.  ``value`` is the form, ``masked`` what the
+# rules make of it between words; a station code (M2) goes only between white space.
+MASK_FORMS_SQL = """
+SELECT event_id, form, place, value, masked, CASE WHEN form = 2 THEN value ELSE masked END AS outer_masked FROM (
+ SELECT event_id, 1 + event_id % 13 AS form, CAST(floor(event_id / 13) AS BIGINT) % 5 AS place, CASE event_id % 13
+  WHEN 0 THEN concat('Mon Jan ', 1 + user_id % 28, ' 10:11:12 ', CASE WHEN user_id % 2 = 0 THEN 'UTC ' ELSE '' END, '2020')
+  WHEN 1 THEN concat('R0', user_id % 10)
+  WHEN 2 THEN CASE WHEN user_id % 2 = 0 THEN '<*>  <*>' ELSE '<*> <*> <*>' END
+  WHEN 3 THEN concat('fe80:0:0:0:1:2:', user_id % 10, ':4')
+  WHEN 4 THEN concat('api', user_id, '.shop.example.', CASE WHEN user_id % 2 = 0 THEN 'com:443' ELSE 'io' END)
+  WHEN 5 THEN concat(CASE WHEN user_id % 2 = 0 THEN 'hdfs://node' ELSE '10.1.2.' END, user_id % 200, ':8080')
+  WHEN 6 THEN concat('/var/log/app', user_id, '.log')
+  WHEN 7 THEN concat('00:1b:2c:3', CASE WHEN user_id % 2 = 0 THEN 'd' ELSE 'e:4f' END)
+  WHEN 8 THEN concat('10.1.2.', user_id % 250)
+  WHEN 9 THEN CASE user_id % 4 WHEN 0 THEN '0x1f' WHEN 1 THEN '0X1F' WHEN 2 THEN 'DEADBEEF' ELSE 'deadbeef' END
+  WHEN 10 THEN concat(CASE user_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE '' END, user_id)
+  WHEN 11 THEN concat(user_id, CASE WHEN user_id % 2 = 0 THEN ' KB' ELSE ' sec' END)
+  ELSE concat('executed cmd "ls all ', user_id, ' x"') END AS value,
+  CASE event_id % 13 WHEN 11 THEN '<*> <*>' WHEN 12 THEN 'executed cmd <*>' ELSE '<*>' END AS masked
+ FROM events)
+"""
+
+
+def _placed(inner: str, outer: str) -> str:
+    """The line of a form; ``inner`` stands between white space, ``outer`` at an edge or in brackets."""
+    return (f"CASE place WHEN 0 THEN concat('job ', {inner}, ' done') WHEN 1 THEN concat('job ended at ', {outer}) "
+            f"WHEN 2 THEN concat({outer}, ' begins') WHEN 3 THEN concat('see (', {outer}, '), next') "
+            f"ELSE concat('pair ', {inner}, ' and ', {outer}) END")
+
+
+MASK_LINES_SQL = f"SELECT event_id AS line_id, form, {_placed('value', 'value')} AS line FROM ({MASK_FORMS_SQL})"
+MASK_TRUTH_SQL = f"SELECT event_id AS line_id, form, {_placed('masked', 'outer_masked')} AS content FROM ({MASK_FORMS_SQL})"
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A message view over the events table."""
     read_table(spark, sf_dir, "events").createOrReplaceTempView("events")
