@@ -3,7 +3,9 @@
 Built-in functions only.  Kinds email, ip, card and phone are the base kinds;
 iban (mod-97) and ssn (nearby words needed) are added.  Each span has a score:
 a prior of its kind, plus ``CONTEXT_GAIN`` if a word of its kind stands within
-40 characters.  Base spans are always kept; added ones from ``MIN_SCORE`` on.
+40 characters, less ``CONTEXT_LOSS`` if a contrary one does (a version number
+is no address), within 0 and 100.  Base spans are always kept, with their
+score; added ones from ``MIN_SCORE`` on.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ SSN = (r"[0-9]{3}-[0-9]{2}-[0-9]{4}",) * 2
 _PART = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_VALID = rf"^({_PART}\.){{3}}{_PART}$"
 
-# Score of a kind without and the words that raise it.
-PRIOR = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
-WORDS = {"email": "mail|contact|write", "ip": r"\bip\b|address|host|server|login", "card": "card|visa|credit|debit|pay",
+# Score of a kind in percent, the words that raise it and those that lower it.
+PRIOR = {"email": 90, "ip": 50, "card": 80, "phone": 60, "iban": 80, "ssn": 30}
+WORDS = {"email": "mail|contact|write", "ip": "(^|[^a-z0-9_])ip([^a-z0-9_]|$)|address|host|server|login", "card": "card|visa|credit|debit|pay",
          "phone": "phone|tel|call|mobile|fax", "iban": "iban|account|bank|konto", "ssn": "ssn|social security"}
-CONTEXT_GAIN = 0.4
-MIN_SCORE = 0.7
+CONTRARY = {"email": "example|no-?reply|sample", "ip": "version|release|build|section|chapter", "card": "order|invoice|tracking|serial|isbn",
+            "phone": "order|invoice|tracking|serial|isbn", "iban": "serial|tracking|part no", "ssn": "serial|tracking|part no"}
+CONTEXT_GAIN, CONTEXT_LOSS = 40, 30
+MIN_SCORE = 70
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
@@ -72,15 +76,19 @@ def _ssn(s):
 
 
 def _scored(kind: str, spans: F.Column) -> F.Column:
-    near = lambda s: F.lower(F.concat(s["before"], F.lit(" "), s["after"])).rlike(WORDS[kind])
+    def score(s):
+        near = F.lower(F.concat(s["before"], F.lit(" "), s["after"]))
+        gain = F.when(near.rlike(WORDS[kind]), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0))
+        loss = F.when(near.rlike(CONTRARY[kind]), F.lit(CONTEXT_LOSS)).otherwise(F.lit(0))
+        return F.greatest(F.lit(0), F.least(F.lit(100), F.lit(PRIOR[kind]) + gain - loss))
+
     out = F.transform(spans, lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-        F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near(s), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))).alias("score")))
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score(s).alias("score")))
     return out if kind in BASE else F.filter(out, lambda s: s["score"] >= MIN_SCORE)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and one array of spans (kind, start, end, value, score) per kind for every row of ``docs``.
+    """``doc_id`` and one array of spans (kind, start, end, value, score in percent) per kind for every row of ``docs``.
 
     Positions are code points, end exclusive.  Null text is empty; only doc_id
     and text are read, repeated rows are reported once each.
@@ -109,7 +117,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data of every row of documents."""
     found = personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[total(k).alias(f"n_{k}") for k in BASE],
-                        F.sha2(joined(_plain(BASE)), 256).alias("base_sha256"), joined(_plain(KINDS)).alias("spans"))
+                        F.sha2(joined(_plain(BASE)), 256).alias("base_sha256"), joined(_plain(KINDS)).alias("spans"),
+                        F.array_join(F.concat(*[F.transform(k, lambda s: s["score"].cast("string")) for k in KINDS]), ",").alias("scores"))
 
 
 _DIGITS = "list_transform(string_split(regexp_replace(m.v, '[^0-9]', '', 'g'), ''), lambda x: CAST(x AS BIGINT))"
@@ -120,6 +129,13 @@ _TURNED = "concat(substr(replace(m.v, ' ', ''), 5), substr(m.v, 1, 4))"
 _SQL_MOD97 = f"""list_reduce(list_transform(string_split(array_to_string(list_transform(string_split({_TURNED}, ''),
   lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), ''), ''),
   lambda x: CAST(x AS BIGINT)), lambda a, x: (a * 10 + x) % 97) = 1"""
+def _sql_score(kind: str) -> str:
+    near = "lower(concat(m.b, ' ', m.a))"
+    return (f"greatest(0, least(100, {PRIOR[kind]} + CASE WHEN regexp_matches({near}, '{WORDS[kind]}') THEN {CONTEXT_GAIN} ELSE 0 END"
+            f" - CASE WHEN regexp_matches({near}, '{CONTRARY[kind]}') THEN {CONTEXT_LOSS} ELSE 0 END))")
+
+
+_SQL_SCORES = " || ".join(f"list_transform({k}, lambda m: CAST({_sql_score(k)} AS VARCHAR))" for k in KINDS)
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS MATERIALIZED (SELECT doc_id,
@@ -127,12 +143,13 @@ f AS MATERIALIZED (SELECT doc_id,
   {sql_spans("ip", IP[1], f"regexp_matches(m.v, '{IP_VALID}')")} AS ip,
   {sql_spans("card", CARD[1], _SQL_LUHN)} AS card,
   {sql_spans("phone", PHONE[1], "length(regexp_replace(m.v, '[^0-9]', '', 'g')) BETWEEN 9 AND 15")} AS phone,
-  {sql_spans("iban", IBAN[1], _SQL_ALONE.format("[A-Za-z0-9]") + " AND " + _SQL_MOD97)} AS iban,
-  {sql_spans("ssn", SSN[1], _SQL_ALONE.format("[0-9-]") + f" AND NOT regexp_matches(m.v, '^(000|666|9)|-00-|-0000$') AND regexp_matches(lower(concat(m.b, ' ', m.a)), '{WORDS['ssn']}')")} AS ssn
+  {sql_spans("iban", IBAN[1], _SQL_ALONE.format("[A-Za-z0-9]") + " AND " + _SQL_MOD97 + f" AND {_sql_score('iban')} >= {MIN_SCORE}")} AS iban,
+  {sql_spans("ssn", SSN[1], _SQL_ALONE.format("[0-9-]") + f" AND NOT regexp_matches(m.v, '^(000|666|9)|-00-|-0000$') AND {_sql_score('ssn')} >= {MIN_SCORE}")} AS ssn
   FROM d)
 SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip, CAST(len(card) AS BIGINT) AS n_card,
   CAST(len(phone) AS BIGINT) AS n_phone,
   sha256({sql_joined("list_concat(list_concat(email, ip), list_concat(card, phone))")}) AS base_sha256,
-  {sql_joined("list_concat(list_concat(list_concat(email, ip), list_concat(card, phone)), list_concat(iban, ssn))")} AS spans
+  {sql_joined("list_concat(list_concat(list_concat(email, ip), list_concat(card, phone)), list_concat(iban, ssn))")} AS spans,
+  array_to_string({_SQL_SCORES}, ',') AS scores
 FROM f
 """

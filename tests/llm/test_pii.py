@@ -57,10 +57,18 @@ def test_added_kinds_and_scores(spark):
     assert [text[s.start:s.end] for s in r.iban] == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
     assert text[r.ssn[0].start:r.ssn[0].end] == "123-45-6789" and all(s.score >= P.MIN_SCORE for s in r.ssn)
     assert "123-45-6780" not in [s.value for s in r.ssn]
-    assert [round(s.score, 2) for s in r.phone] == [1.0, 0.6]
+    assert [s.score for s in r.phone] == [100, 60]
 
 
 def test_empty_repeated_and_null_ids(spark):
     assert P.personal_data(spark.createDataFrame([], DOC)).count() == 0
     df = spark.createDataFrame([(None, "a@b.c", None, None, None), (7, "a@b.c", "", "", 1), (7, "a@b.c", "", "", 1)], DOC)
     assert sorted(str(r.doc_id) + r.email[0].value for r in P.personal_data(df).collect()) == ["7a@b.c", "7a@b.c", "Nonea@b.c"]
+
+
+def test_contrary_words_lower_the_score(spark):
+    gap = " far" * 20
+    text = f"release 10.1.2.3{gap} server 10.1.2.4{gap} version of server 10.1.2.5{gap} 10.1.2.6{gap} ssn serial 123-45-6789{gap} part no DE89370400440532013000"
+    r = P.personal_data(spark.createDataFrame([(1, text, "", "", 0)], DOC)).first()
+    assert [s.score for s in r.ip] == [20, 90, 60, 50]
+    assert r.ssn == [] and r.iban == []  # 30 + 40 - 30 and 80 - 30
