@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import packed, table
+from logloom.llm.common import durable, packed, table
 from logloom.llm.spans import add_spans, joined, sql_spans, total
 
 _parse, _ops = re._parser.parse, re._constants
@@ -145,6 +145,32 @@ def candidates(postings: DataFrame, queries: dict[str, frozenset]) -> DataFrame:
     return got.select("doc_id", "h", rules.alias("rules")).where(F.size("rules") > 0)
 
 
+#: Candidates broadcast at most, about 100 bytes each; beyond that a bitmap of fixed size leaves out most other texts.
+BROADCAST_ROWS = 500_000
+_MAP_BITS = 32768  # bits of one map of bitmap_construct_agg
+_MAPS = 1024
+
+
+def _meeting(docs: DataFrame, found: DataFrame, key) -> DataFrame:
+    """The rows of ``docs`` that are candidates, with their rules; texts of other rows are not shuffled.
+
+    ``found`` is a written table.  Up to BROADCAST_ROWS candidates are
+    broadcast.  More are joined by key behind a bitmap of their hashes (4 MB
+    for any input): a text whose bit is not set is no candidate.
+    """
+    named = found.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("rules").alias("__rules"))
+    if found.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(named), key).drop("__d", "__h")
+    place = lambda h: F.pmod(h, F.lit(_MAPS * _MAP_BITS))
+    bits = found.select(place(F.col("h")).alias("at")).select((F.col("at") / _MAP_BITS).cast("int").alias("__map"), F.col("at") % _MAP_BITS)
+    bits = bits.toDF("__map", "bit").groupBy("__map").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    at = place(F.col("h"))
+    byte = F.conv(F.hex(F.substring("__bits", ((at % _MAP_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    kept = docs.join(F.broadcast(bits), (at / _MAP_BITS).cast("int") == F.col("__map"))
+    kept = kept.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__map", "__bits")
+    return kept.join(named, key).drop("__d", "__h")
+
+
 def _long_enough(rule: Rule):
     def keep(s):
         value = F.regexp_extract(s["value"], rule.pattern, rule.group) if rule.group else s["value"]
@@ -173,14 +199,13 @@ def secrets(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     out = out.drop("text")
     if indexed:
         grams = sorted({g for r in indexed for clause in queries[r.kind] for alt in clause for g in alt})
-        found = candidates(build_index(docs, grams), {r.kind: queries[r.kind] for r in indexed})
+        found = durable(candidates(build_index(docs, grams), {r.kind: queries[r.kind] for r in indexed}))
         key = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("h").eqNullSafe(F.col("__h"))
-        named = found.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("rules").alias("__rules"))
-        hits = docs.withColumn("h", F.xxhash64("text")).join(named, key).drop("__d", "__h").dropDuplicates(["doc_id", "h"])
+        hits = _meeting(docs.withColumn("h", F.xxhash64("text")), found, key)
         for r in indexed:
             hits = _verify(hits, r, F.array_contains("__rules", r.kind))
         # no filter on the spans here: pushed below them, it would evaluate every expression again
-        hits = hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), *[r.kind for r in indexed])
+        hits = hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), *[r.kind for r in indexed]).dropDuplicates(["__d", "__h"])
         out = out.join(hits, key, "left").drop("__d", "__h")
         for r in indexed:
             out = out.withColumn(r.kind, F.coalesce(r.kind, F.array().cast(out.schema[r.kind].dataType)))
