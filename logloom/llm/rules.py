@@ -2,19 +2,22 @@
 
 Built-in functions only.  Each rule rejects a document whose count reaches a
 cutoff (percent of its words or lines).  Cutoffs come from fixed grids and are
-chosen per stratum on labelled documents: a cutoff may be used only if the
-exact binomial test rejects "more than ALPHA / rules of the good documents of
-this stratum are lost" at level DELTA / (rules x cutoffs x strata), so with
-probability 1 - DELTA every stratum loses at most ALPHA of its good documents
-(Bonferroni).  Of the allowed cutoffs the one that rejects most bad documents
-is taken, of equal ones the largest.  A stratum with too few labels gets none.
+chosen on labelled documents.  For each stratum and rule the cutoffs are tested
+in a fixed sequence, from the one that rejects least to the strictest: the
+exact binomial test must refute "more than ALPHA / rules of the good documents
+of this stratum are lost", and the first failure ends the sequence.  The
+sequences (rules x strata) share DELTA by Holm's steps: one whose tests all
+pass hands its part on to the others.  So with probability 1 - DELTA every
+stratum loses at most ALPHA of its good documents.  Of the allowed cutoffs the
+one that rejects most bad documents is taken, of equal ones the largest.  A
+stratum with too few labels gets none.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import durable, table
@@ -110,19 +113,24 @@ def binomial_p(k: F.Column, n: F.Column, share: float) -> F.Column:
 def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with labels: stratum and the chosen cutoff of each rule (null: none is allowed)."""
     marks = labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("q")).distinct()
-    known = feats.join(marks, "doc_id")
+    known = feats.join(marks, "doc_id").dropDuplicates()
     counts = [F.count_if(F.col("q") > 0).alias("n")]
     for rule, (count, base, grid) in RULES.items():
         for c in grid:
             hit = (F.col(base) > 0) & (100 * F.col(count) >= c * F.col(base))
             counts += [F.count_if(hit & (F.col("q") > 0)).alias(f"{rule}_{c}_good"), F.count_if(hit & (F.col("q") <= 0)).alias(f"{rule}_{c}_bad")]
     table_ = durable(known.groupBy("stratum").agg(*counts))
-    tests = sum(len(grid) for _, _, grid in RULES.values()) * table_.count()
-    level = delta / max(1, tests)
     tried = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{c}_good").alias("k"), F.col(f"{rule}_{c}_bad").alias("bad"))
                       for rule, (_, _, grid) in RULES.items() for c in grid])
     rows = table_.select("stratum", "n", F.explode(tried).alias("t")).select("stratum", "n", "t.*")
-    passed = rows.where((binomial_p(F.col("k"), F.col("n"), alpha / len(RULES)) <= level) & (F.col("bad") > 0))
+    one = Window.partitionBy("stratum", "rule")
+    rows = rows.withColumn("p", F.max(binomial_p(F.col("k"), F.col("n"), alpha / len(RULES))).over(one.orderBy(F.desc("cutoff"))))
+    # A few rows per stratum: the sequences in the order of their largest p; those before the first failing step pass whole.
+    whole = rows.groupBy("stratum", "rule").agg(F.max("p").alias("p"))
+    every = Window.partitionBy(F.lit(0))
+    steps = whole.withColumn("m", F.count(F.lit(1)).over(every)).withColumn("j", F.row_number().over(every.orderBy("p", "stratum", "rule")))
+    left = steps.groupBy().agg(F.coalesce(F.max(F.when(F.col("p") > delta / (F.col("m") - F.col("j") + 1), F.col("m") - F.col("j") + 1)), F.lit(1)).alias("left"))
+    passed = rows.where((F.col("p") <= delta / left.first()["left"]) & (F.col("bad") > 0))
     best = lambda rule: F.max(F.when(F.col("rule") == rule, F.struct("bad", "cutoff")))["cutoff"]
     return passed.groupBy("stratum").agg(*[best(rule).alias(f"cut_{rule}") for rule in RULES])
 
@@ -172,11 +180,14 @@ f AS MATERIALIZED (SELECT w.r, doc_id, stratum, CAST(len(words) AS BIGINT) AS n_
   length(text) - length(replace(text, '!', '')) AS n_bangs, CAST(len(lines) AS BIGINT) AS n_lines,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words
   FROM w LEFT JOIN rep USING (r)),
-known AS MATERIALIZED (SELECT f.*, q FROM f JOIN (SELECT DISTINCT doc_id, quality AS q FROM labels WHERE quality IS NOT NULL) USING (doc_id)),
+known AS MATERIALIZED (SELECT DISTINCT f.* EXCLUDE (r), q FROM f JOIN (SELECT DISTINCT doc_id, quality AS q FROM labels WHERE quality IS NOT NULL) USING (doc_id)),
 tried AS ({tried}),
-passed AS (SELECT * FROM tried WHERE bad > 0 AND k < n * {share} AND list_sum(list_transform(range(0, k + 1), lambda j:
-  exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share}))))
-  <= {DELTA} / ({len(tests)} * (SELECT count(DISTINCT stratum) FROM tried))),
+ps AS MATERIALIZED (SELECT *, max(CASE WHEN k >= n * {share} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+  exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))) END)
+  OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS p FROM tried),
+steps AS (SELECT p, count(*) OVER () - row_number() OVER (ORDER BY p, stratum, rule) + 1 AS l FROM
+  (SELECT stratum, rule, max(p) AS p FROM ps GROUP BY ALL)),
+passed AS (SELECT * FROM ps WHERE bad > 0 AND p <= {DELTA} / (SELECT coalesce(max(l) FILTER (p > {DELTA} / l), 1) FROM steps)),
 cuts AS (SELECT stratum, {pick} FROM passed GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

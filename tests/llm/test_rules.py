@@ -66,3 +66,16 @@ def test_bad_documents_are_rejected_where_labels_suffice(spark):
     out = R.apply_rules(df, lab)
     assert out.where("doc_id < 4000 AND kept = (doc_id % 5 > 0)").count() == 4000
     assert R.apply_rules(spark.createDataFrame([], DOC), lab).count() == 0
+
+
+def test_repeated_rows_count_once_and_sequences_stop_at_a_failure(spark):
+    # 300 good documents listed ten times are 300: too few for any cutoff, as 3000 different ones would not be
+    text = lambda i: "".join(f"{'x##' if i % 2 else 'z'}{j} " for j in range(25))
+    rows = [(i, text(i), "en", "", "", "") for i in range(600)]
+    lab = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(600)], "doc_id long, quality int")
+    many = spark.createDataFrame(rows * 10 + [(None, text(1), "en", "", "", "")], DOC)
+    assert R.cutoffs(R.features(many), lab).count() == 0
+    # cutoffs 100 to 20 lose nothing, 10 loses every good document: 5 is not tried
+    rows = [(i, "".join(f"{'x##' if i % 2 else ('y#' if j % 8 == 0 else 'z')}{j} " for j in range(32)), "en", "", "", "") for i in range(4000)]
+    lab = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(4000)], "doc_id long, quality int")
+    assert R.cutoffs(R.features(spark.createDataFrame(rows, DOC)), lab).first().cut_symbols == 100
