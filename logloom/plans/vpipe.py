@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.preprocess import distinct_contents, preprocess
 from ..operators.tokens import build_vocabulary, canonical_contents, materialize_vocab, static_keys
+from ..session import checkpoint_dir, written
 from ..sources import tables
 from .mine import cluster_keyed
 from .settings import EVENTS_REGEX
@@ -37,11 +38,11 @@ class VPipe:
 
 def vpipe(spark: SparkSession, sf_dir: str, lines_sql: str = tables.EVENTS_LOG_SQL, truth_sql: str = tables.TRUTH_VALUES_SQL) -> VPipe:
     """Build the pipeline over a message view of the events; every query builds its own."""
-    from ..session import checkpoint_dir
     checkpoint_dir(spark)
     lines = tables.view(spark, sf_dir, lines_sql)
-    masked = preprocess(lines.select("line_id", "event_id", "line"), regex=EVENTS_REGEX, rules=[])
-    dm = distinct_contents(masked)
+    # written once: the mask chain runs once per line, whatever reads the lines and their contents later
+    masked = written(preprocess(lines.select("line_id", "event_id", "line"), regex=EVENTS_REGEX, rules=[]))
+    dm = distinct_contents(masked).checkpoint()
     cc = canonical_contents(dm).checkpoint()  # materialisation point after dedupe (D6)
     vocab = materialize_vocab(build_vocabulary(cc))
     keyed = static_keys(cc, vocab).checkpoint()
