@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masking import DEFAULT_MASK_RULES, as_rules
+from ..session import written
 
 _SPECIAL = r"([\\.^$|?*+()\[\]{}])"
 
@@ -73,12 +74,14 @@ def _noncapturing(p: str) -> str:
 def extract_params(lines: DataFrame, text_col: str = "text", template_col: str = "template",
                    key_cols=("line_id",), exact: bool = False, rules=None) -> DataFrame:
     """O2: (line, position, mask name, value) for lines whose text the
-    template's regex matches.  Rows are sorted by template inside each task
-    so the JVM compiles each pattern once per run of equal templates."""
-    df = (lines.withColumn("_pat", param_regex(F.col(template_col), exact, rules))
-          .withColumn("_names", slot_names(F.col(template_col), rules)).withColumn("_k", F.size("_names"))
-          .sortWithinPartitions("_pat")
-          .where(F.expr(f"`{text_col}` RLIKE _pat") & (F.col("_k") > 0)))
+    template's regex matches.  The lines are written once, since their text is
+    read for the match and for every capture; a pattern is made once per
+    template.  Rows are sorted by template inside each task so the JVM compiles
+    each pattern once per run of equal templates."""
+    lines = written(lines.select(*key_cols, text_col, template_col))
+    patterns = (lines.select(template_col).distinct().withColumn("_pat", param_regex(F.col(template_col), exact, rules))
+                .withColumn("_names", slot_names(F.col(template_col), rules)).withColumn("_k", F.size("_names")).where("_k > 0"))
+    df = lines.join(patterns, template_col).sortWithinPartitions("_pat").where(F.expr(f"`{text_col}` RLIKE _pat"))
     caps = F.expr(f"transform(_names, (n, i) -> struct(n AS mask_name, regexp_extract(`{text_col}`, _pat, i + 1) AS value))")
     return (df.select(*key_cols, template_col, F.posexplode(caps).alias("position", "s"))
             .select(*key_cols, template_col, F.col("position").cast("bigint").alias("position"), "s.value", "s.mask_name"))
