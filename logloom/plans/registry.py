@@ -1102,7 +1102,8 @@ def q_param_top_k(spark, sf):
 @query("param_sketches", _params_oracle("SELECT template, position, CAST(count(*) AS BIGINT) AS n_values, true AS distinct_close FROM params GROUP BY ALL"))
 def q_param_sketches(spark, sf):
     """O3 from sketches kept per batch (here four) and added up; the estimate must be within 8 % (five standard errors) of the exact count."""
-    p = params.extract_params(_param_lines(spark, sf)).withColumn("batch", F.pmod("line_id", F.lit(4)))
+    from ..session import written
+    p = written(params.extract_params(_param_lines(spark, sf))).withColumn("batch", F.pmod("line_id", F.lit(4)))
     found = params.sketch_profile(params.merge_sketches(params.param_sketches(p, by=("batch",))))
     exact = p.groupBy("template", "position", "value").count().groupBy("template", "position").agg(F.count(F.lit(1)).alias("exact"))
     return found.join(exact, ["template", "position"]).select(
