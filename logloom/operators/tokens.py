@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.masking import WILDCARD
 from ..functions.tokenizer import tokenize_expr
+from ..session import written
 
 # Tokens that always count as vocabulary words (the guard in the
 # template-match test assumes these punctuation marks are words).
@@ -42,9 +43,19 @@ def canonical_contents(distinct_masked: DataFrame) -> DataFrame:
 
 def collapse_canonical(tokenized: DataFrame) -> DataFrame:
     """One row per canonical text of a tokenized table of distinct contents."""
+    return with_tokens(canonical_texts(tokenized))
+
+
+def canonical_texts(tokenized: DataFrame) -> DataFrame:
+    """The canonical texts with their weights and line spans, without the tokens."""
     return (tokenized.groupBy("canon")
-            .agg(F.first("tokens").alias("tokens"), F.sum("n").cast("bigint").alias("n"),
-                 F.min("min_line").alias("min_line"), F.max("max_line").alias("max_line")))
+            .agg(F.sum("n").cast("bigint").alias("n"), F.min("min_line").alias("min_line"), F.max("max_line").alias("max_line")))
+
+
+def with_tokens(texts: DataFrame) -> DataFrame:
+    """``tokens`` of canonical texts: the tokenizer leaves no blank in a token and no empty one."""
+    tokens = F.when(F.col("canon") == "", F.array().cast("array<string>")).otherwise(F.split("canon", " "))
+    return texts.select("canon", tokens.alias("tokens"), "n", "min_line", "max_line")
 
 
 def token_table(contents: DataFrame, key_col="canon", keep=("n", "min_line")) -> DataFrame:
@@ -129,15 +140,24 @@ def classified_tokens(contents: DataFrame, vocab: DataFrame, key_col="canon") ->
 def static_keys(contents: DataFrame, vocab: DataFrame, key_col="canon") -> DataFrame:
     """G1: ``pos||token`` of static tokens in order, ``<*>`` when none.
 
-    The token rows are grouped back per content; content text is already
-    distinct, so a hot template never makes a hot key here.
+    A token row holds the 96-bit hash of its content, never its text, and the
+    rows of a content are made, flagged and grouped back in the task that its
+    tokens are sent to (as lines of one text: no token holds white space, T1),
+    so nothing that grows with the square of a text's length is shuffled.
+    Flags are those of vocabulary and camel tokens only, written once, so that
+    the engine knows their size.
     """
-    ct = classified_tokens(contents, vocab, key_col)
-    keys = (ct.where("is_static")
-            .groupBy(key_col)
+    ids = [F.xxhash64(key_col).alias("_h1"), F.hash(key_col).alias("_h2")]
+    every = contents.select(F.explode("tokens").alias("token"))
+    flags = written(token_flags(every, vocab).where("is_vocab OR camel_ok"))
+    sent = contents.where(F.size("tokens") > 0).select(*ids, F.array_join("tokens", "\n").alias("lines")).repartition("_h1", "_h2")
+    tt = token_table(sent.withColumn("tokens", F.split("lines", "\n")), "_h1", keep=("_h2",)).join(flags, "token", "left")
+    tt = tt.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_vocab", "camel_ok")})
+    keys = (tt.where(static_flag(tt))
+            .groupBy("_h1", "_h2")
             .agg(F.expr("array_join(transform(array_sort(collect_list(struct(pos, token))), "
                         "s -> concat(CAST(s.pos AS STRING), s.token)), '')").alias("static_key")))
-    return (contents.join(keys, key_col, "left")
+    return (contents.withColumns(dict(zip(("_h1", "_h2"), ids))).join(keys, ["_h1", "_h2"], "left").drop("_h1", "_h2")
             .withColumn("static_key", F.coalesce("static_key", F.lit(WILDCARD))))
 
 

@@ -18,7 +18,7 @@ from ..functions.sqlexpr import DUCK as D
 from ..operators import induction, matching, merging, metrics, params, runs, similarity
 from ..operators.preprocess import dataset_mask, distinct_contents, drop_patterns, mask_hits, mask_lines, preprocess
 from ..operators.tokens import classified_tokens, identifier_tokens, token_flags, token_table
-from ..session import shared_path
+from ..session import shared_path, written
 from ..sources import layouts, raw_logs, tables
 from .oracle import EVENTS_CATALOG_SQL, EVENTS_MASKED_SQL, EVENTS_TEMPLATE_SQL, _q, with_pipeline
 from .settings import EVENTS_REGEX, NAMED_RULES
@@ -998,9 +998,9 @@ def q_components(spark, sf):
 def q_similarity_clusters(spark, sf):
     """G3 -> L7 -> L8 on conversation turns (rows-checked)."""
     from .mine import cluster_contents
-    from ..operators.tokens import build_vocabulary, canonical_contents, materialize_vocab
+    from ..operators.tokens import build_vocabulary, canonical_contents, materialize_vocab, with_tokens
     lines = _turns(spark, sf).select("line_id", F.col("text").alias("line"))
-    cc = canonical_contents(distinct_contents(preprocess(lines))).checkpoint()
+    cc = with_tokens(written(canonical_contents(distinct_contents(preprocess(lines))).drop("tokens")))
     vocab = materialize_vocab(build_vocabulary(cc, min_df=50))
     return cluster_contents(cc, vocab).groupBy("cluster_key").agg(F.count(F.lit(1)).alias("n_contents"))
 
@@ -1102,7 +1102,6 @@ def q_param_top_k(spark, sf):
 @query("param_sketches", _params_oracle("SELECT template, position, CAST(count(*) AS BIGINT) AS n_values, true AS distinct_close FROM params GROUP BY ALL"))
 def q_param_sketches(spark, sf):
     """O3 from sketches kept per batch (here four) and added up; the estimate must be within 8 % (five standard errors) of the exact count."""
-    from ..session import written
     p = written(params.extract_params(_param_lines(spark, sf))).withColumn("batch", F.pmod("line_id", F.lit(4)))
     found = params.sketch_profile(params.merge_sketches(params.param_sketches(p, by=("batch",))))
     exact = p.groupBy("template", "position", "value").count().groupBy("template", "position").agg(F.count(F.lit(1)).alias("exact"))
