@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.masking import WILDCARD
 from ..operators import induction, merging
-from ..operators.preprocess import distinct_contents, preprocess
+from ..operators.preprocess import distinct_contents, masked_lines
 from ..operators.forests import similarity_clusters
 from ..operators.tokens import build_vocabulary, collapse_canonical, materialize_vocab, static_keys, tokenize
 from ..session import checkpoint_dir, written
@@ -58,8 +58,7 @@ def mine_templates(lines: DataFrame, vocab: DataFrame | None = None, regex=(), d
                    min_df: int = 2, text_col: str = "line") -> MineResult:
     checkpoint_dir(lines.sparkSession)
     # materialisation point 1: masked lines, so that the mask chain runs once per line; a null line is an empty one
-    masked = written(preprocess(lines.select("line_id", F.coalesce(text_col, F.lit("")).alias(text_col)),
-                                regex, drop, rules, text_col=text_col).select("line_id", "content"))
+    masked = written(masked_lines(lines.select("line_id", F.coalesce(text_col, F.lit("")).alias(text_col)), regex, drop, rules, text_col))
     tokenized = written(tokenize(distinct_contents(masked)))  # distinct contents (D6), tokenized once
     contents_m = collapse_canonical(tokenized)
     vocab = materialize_vocab(build_vocabulary(contents_m, min_df) if vocab is None else vocab)
