@@ -63,3 +63,29 @@ def test_no_candidate_is_shuffled(spark):
     df = spark.createDataFrame(contents(), KIND)
     plan = similarity.similar_pairs(df, "jaccard", 0.2)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Distinct" not in plan and "Aggregate" not in plan
+
+
+def test_blocks_of_other_sizes_do_not_meet(spark):
+    """Two blocks whose contents' sizes are too far apart for the threshold are left out (before: every two met)."""
+    df = spark.createDataFrame(contents(), KIND)
+    plan = similarity.similar_pairs(df, "jaccard", 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_large" in plan and "b_small" in plan and "RepartitionByExpression" in plan
+
+
+def test_few_pairs_are_compared_in_full():
+    """Short vectors leave the near pairs of two blocks, and some others (before: prefixes of a third of the tokens)."""
+    import pickle
+
+    import numpy as np
+    from logloom.operators import blocks
+
+    rnd = np.random.default_rng(5)
+    hashes = rnd.integers(-1 << 62, 1 << 62, 3000)
+    packer = blocks._Packer(hashes[:blocks.FREQUENT], True)
+    rows = [hashes[np.minimum(2999, rnd.exponential(400, 120)).astype(int)] for _ in range(200)]
+    rows += rows[:20]
+    packer.add([(i, i, i, 0.97) for i in range(len(rows))], np.concatenate(rows), np.array([len(x) for x in rows]))
+    block = pickle.loads(packer.packed()["content"])
+    asked = sum(len(js) for _, js, _ in blocks._met_cosine(block, block))
+    assert {(i, j) for i, js, _ in blocks._similar(block, block, True, True, False) for j in js.tolist()} == {(i, 200 + i) for i in range(20)}
+    assert asked < 0.05 * len(rows) ** 2
