@@ -1,7 +1,8 @@
 """Similarity of catch-all contents and their connected components (``forests`` joins L7 and L8).
 
 Pairs are never enumerated per group.  For Jaccard and cosine ``similar_pairs``
-compares blocks of contents (``blocks``).  For LCS it uses prefix filtering
+compares blocks of contents (``blocks``), for Jaccard with the dynamic threshold
+those that share a rare token (``prefixes``).  For LCS it uses prefix filtering
 (tokens in rare-first global order; two contents can only pass the threshold if
 their short prefixes share a token) plus a character-gram join for the substring
 rule, then scores candidates with JVM expressions.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .blocks import block_pairs
+from .prefixes import prefix_pairs
 
 # Smallest value of the dynamic threshold 1 - log2(n)/n over n >= 1 (at n = 3),
 # rounded down; used only to size candidate prefixes safely.
@@ -134,6 +136,8 @@ def similar_pairs(contents: DataFrame, measure: str = "lcs", sim_th: float = 0.0
     dedupe both orders can occur, so either passing orientation makes an edge.
     """
     dynamic = not (sim_th and sim_th > 0)
+    if measure == "jaccard" and dynamic:
+        return prefix_pairs(contents, dynamic_threshold)
     if measure != "lcs":
         return block_pairs(contents, measure, dynamic_threshold if dynamic else lambda n: F.lit(float(sim_th)), dynamic)
     nodes = contents.where(F.size("tokens") > 0)

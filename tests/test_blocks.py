@@ -89,3 +89,12 @@ def test_few_pairs_are_compared_in_full():
     asked = sum(len(js) for _, js, _ in blocks._met_cosine(block, block))
     assert {(i, j) for i, js, _ in blocks._similar(block, block, True, True, False) for j in js.tolist()} == {(i, 200 + i) for i in range(20)}
     assert asked < 0.05 * len(rows) ** 2
+
+
+def test_dynamic_threshold_does_not_compare_every_two_blocks(spark):
+    """What is compared shares a rare token: no product of all blocks (before: one)."""
+    df = spark.createDataFrame(contents(4), KIND)
+    found = similarity.similar_pairs(df, "jaccard", 0.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_block" not in plan
+    assert sorted((r.a_id, r.b_id, round(r.score, 9)) for r in found.collect()) == brute(spark, contents(4), "jaccard", 0.0)
