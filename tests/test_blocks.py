@@ -98,3 +98,16 @@ def test_dynamic_threshold_does_not_compare_every_two_blocks(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "a_block" not in plan
     assert sorted((r.a_id, r.b_id, round(r.score, 9)) for r in found.collect()) == brute(spark, contents(4), "jaccard", 0.0)
+
+
+def test_a_task_leaves_out_edges_that_link_nothing(spark):
+    """Edges of a clique are as many as its nodes before any is sent (before: every edge was)."""
+    import pyarrow as pa
+
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60)] + [(100, 101), (101, 102), (100, 102)]
+    batches = [pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs[k::3]], "b": [b for _, b in pairs[k::3]]}) for k in range(3)]
+    assert sum(x.num_rows for x in similarity._linking(iter(batches))) == 61
+    edges = spark.createDataFrame([*pairs, (None, 5), (7, 7)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(60), 100, 101, 102, 103]], "id long")
+    assert {(r.id, r.component) for r in similarity.components(nodes, edges).collect()} == {
+        (i, 0) for i in range(60)} | {(100, 100), (101, 100), (102, 100), (103, 103)}
